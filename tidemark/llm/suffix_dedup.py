@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bloom_has, bloom_of, column_name, flat_bytes, materialize, mix, plus, prefix_hash, slices, span_hash
 
-HOT, SALTS, STEP = 2000, 32, 1 << 22
+HOT, SALTS, STEP = 2000, 32, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -141,7 +141,7 @@ def _occurrences(docs: DataFrame, text: str, length: int, again: tuple[np.ndarra
     return docs.select(text).mapInArrow(run, "khash long, salt int, tkey binary, start long, more int, before int, around binary")
 
 
-def _matches(found: DataFrame, length: int, chunk: int = 50_000) -> DataFrame:
+def _matches(found: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
     """Runs (tkey, start, upto) of repeated strings; of suffixes in several groups also strings (wid) to be counted over the groups."""
     k = length - length // 2
     schema = "tkey binary, start long, upto long, wid long"
@@ -152,7 +152,7 @@ def _matches(found: DataFrame, length: int, chunk: int = 50_000) -> DataFrame:
         col = t.column("around").combine_chunks()
         data, at = flat_bytes(col if isinstance(col, pa.Array) else col.chunk(0))
         n = more + 1
-        row = np.repeat(np.arange(len(n)), n)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         lo = at[row] + nth
         wid = mix(span_hash(prefix_hash(data), lo, lo + k) ^ mix(khash[row] + (before[row] - nth).astype(np.uint64)))
