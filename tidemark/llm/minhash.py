@@ -7,8 +7,8 @@ into common buckets. Texts with the same set of shingles are one class and take
 Not all pairs of a bucket are formed. Each member is compared with the bucket's smallest and largest class (two pairs
 a member, however large the bucket); links are confirmed by the exact similarity of the whole sets and joined to
 components. Members of a bucket that still holds several components are the rest, which is settled exactly: two sets
-alike enough share one of their rarest shingles (prefix filtering), so the rest are joined on those, and only pairs
-from different components are confirmed. The chance that a linked pair shares no bucket is below `miss`.
+alike enough share one of their rarest shingles (prefix filtering), so the rest are joined on those; pairs of one
+component, and pairs whose parities show that too many shingles differ, are left out, and the others confirmed. The chance that a linked pair shares no bucket is below `miss`.
 
 Defined cases: null text, empty text or one without words has an empty set and is linked with nothing; with fewer
 words than a shingle has, all of them are one shingle; repeated rows are in the same component; rows without a doc_id
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bloom_has, bloom_of, flat_bytes, materialize, mix, prefix_hash, slices, span_hash
 from tidemark.llm.components import components
 
-ROWS = 6
+ROWS, PARITY = 6, 16
 
 
 def shape(threshold: Fraction, miss: float = 1e-6, rows: int = ROWS) -> tuple[int, int]:
@@ -106,6 +106,14 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, whether each of 64 * PARITY groups of hashes holds an odd number of them. Bits that differ between two sets are no more than elements that only one of them has."""
+    out = np.zeros((len(at) - 1, PARITY * 64), np.uint8)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    np.bitwise_xor.at(out, (doc, (h % np.uint64(PARITY * 64)).astype(np.int64)), 1)
+    return np.packbits(out, 1).view(np.int64)
+
+
 def profile(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
     """id, sid (digest of the set), n_shingles and the keys of all bands."""
     kind = docs.schema[key].dataType.simpleString()
@@ -122,7 +130,7 @@ def profile(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(sid, v): the sorted sets of the wanted sids, read again from the texts of the rows (id, sid) in `wanted`."""
+    """(sid, v, odd): the sorted sets and their parities of the wanted sids, read again from the texts of the rows (id, sid) in `wanted`."""
     spark = docs.sparkSession
     own = wanted.withColumn("h", F.xxhash64("id"))
     cells, bits = bloom_of(own, "h")
@@ -135,11 +143,12 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame)
             for s in slices(b, "t"):
                 h, at = shingle_sets(*flat_bytes(s.column("t")), width)
                 sid = [hashlib.blake2b(h[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() for i in range(s.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), s.column("id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(h.view(np.int64)))], ["sid", "id", "v"])
+                odd = parities(h, at)
+                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), s.column("id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(np.arange(0, odd.size + 1, PARITY, dtype=np.int32), pa.array(odd.ravel()))], ["sid", "id", "v", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.xxhash64(key).alias("h")).mapInArrow(run, f"sid binary, id {kind}, v array<long>")
-    return found.join(wanted, (found.sid == wanted.sid) & found.id.eqNullSafe(wanted.id), "left_semi").select("sid", "v").dropDuplicates(["sid"])
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.xxhash64(key).alias("h")).mapInArrow(run, f"sid binary, id {kind}, v array<long>, odd array<long>")
+    return found.join(wanted, (found.sid == wanted.sid) & found.id.eqNullSafe(wanted.id), "left_semi").select("sid", "v", "odd").dropDuplicates(["sid"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -155,6 +164,12 @@ def _alike_sizes(x: Column, y: Column, t: Fraction) -> Column:
     return (x * t.denominator >= y * t.numerator) & (y * t.denominator >= x * t.numerator)
 
 
+def _few_differ(n: Column, t: Fraction, a: str, b: str) -> Column:
+    """False only if more elements differ than two sets with n elements together may have at similarity t."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, PARITY)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return differ * (t.numerator + t.denominator) <= n * (t.denominator - t.numerator)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float | Fraction = 0.8, width: int = 5, miss: float = 1e-6) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept."""
     t = Fraction(threshold).limit_denominator(1000)
@@ -179,7 +194,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     named = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("bucket", "sid", F.coalesce("component", "sid").alias("c"))
     mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     rest = named.join(mixed, "bucket", "left_semi").select("sid", "c").distinct()
-    rest = materialize(rest.join(sets, "sid"), "rest")
+    rest = materialize(rest.join(sets.select("sid", "v"), "sid"), "rest")
     tokens = rest.select("sid", "c", F.size("v").alias("n"), F.explode("v").alias("x"))
     rare = tokens.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one text only come first in the order of rarity and can't be shared: the prefix is what is left of it
@@ -188,9 +203,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     heads = known.select("sid", "c", "n", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(0), (lead - (F.col("n") - F.size("v"))).cast("int")))).alias("h")).select("sid", "c", "n", "h.x")
     heads = materialize(heads, "heads")
     spread = heads.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
-    heads = heads.join(spread, "x", "left_semi")
-    one, two = (heads.select("x", *(F.col(c).alias(c + i) for c in ("sid", "c", "n"))) for i in "12")
-    more = one.join(two, "x").where((F.col("sid1") < F.col("sid2")) & (F.col("c1") != F.col("c2")) & _alike_sizes(F.col("n1"), F.col("n2"), t)).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
+    heads = heads.join(spread, "x", "left_semi").join(sets.select("sid", "odd"), "sid")
+    one, two = (heads.select("x", *(F.col(c).alias(c + i) for c in ("sid", "c", "n", "odd"))) for i in "12")
+    more = one.join(two, "x").where((F.col("sid1") < F.col("sid2")) & (F.col("c1") != F.col("c2")) & _alike_sizes(F.col("n1"), F.col("n2"), t) & _few_differ(F.col("n1") + F.col("n2"), t, "odd1", "odd2")).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
     extra = materialize(confirmed(more, sets, t), "links")
     if extra.limit(1).count():
         comp = components(links.union(extra))
