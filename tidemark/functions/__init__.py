@@ -1,0 +1,95 @@
+"""Expression builders: dates, guarded arithmetic, labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def norm_date(c: Column) -> Column:
+    """A date from YYYYMMDD text, an integer or float of those digits, or ISO text; anything else is null."""
+    text = F.regexp_replace(F.trim(c.cast("string")), r"^(\d+)\.0+$", "$1")
+    return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")).when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-M-d"))
+
+
+def date_text(c: Column) -> Column:
+    return F.date_format(norm_date(c), "yyyyMMdd")
+
+
+def finite(c: Column) -> Column:
+    """A finite double, or null."""
+    d = c.try_cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
+
+def safe_change(cur: Column, prev: Column) -> Column:
+    """Relative change, where the former value is positive and the present one not negative."""
+    return F.when((prev > 0) & (cur >= 0), (cur - prev) / prev)
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    return F.when(b != 0, a / b)
+
+
+def loose_bool(c: Column) -> Column:
+    t = F.lower(F.trim(c.cast("string")))
+    return F.when(t.isin("1", "true", "yes", "y", "t"), True).when(t.isNotNull() & (t != ""), False)
+
+
+def first_of(*names: str) -> tuple[Column, Column]:
+    """The first value of a row that isn't null, and the name of its column."""
+    source = F.lit(None).cast("string")
+    for n in reversed(names):
+        source = F.when(F.col(n).isNotNull(), F.lit(n)).otherwise(source)
+    return F.coalesce(*[F.col(n) for n in names]), source
+
+
+def bounded(v: Column, scale: float) -> Column:
+    return F.lit(50.0) + F.lit(50.0) * F.tanh(v * scale)
+
+
+def mean_known(*cols: Column) -> Column:
+    """The mean of what is known; null if nothing is."""
+    known = F.filter(F.array(*cols), lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+
+def positive_penalty(x: Column, t: float) -> Column:
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)) / t, F.lit(1.0)))
+
+
+def spike_penalty(x: Column, t: float) -> Column:
+    return F.when(x.isNotNull(), F.least(F.greatest(x - 1, F.lit(0.0)) / max(t - 1, 1e-4), F.lit(1.0)))
+
+
+def sign_transition(prev: Column, cur: Column) -> Column:
+    side = lambda c: F.when(c > 0, "positive").when(c < 0, "negative").otherwise("zero")
+    return F.when(prev.isNull() | cur.isNull(), "unknown").when(F.signum(prev) == F.signum(cur), F.concat(F.lit("stays_"), side(cur))).otherwise(F.concat(side(prev), F.lit("_to_"), side(cur)))
+
+
+def growth(cur: Column, prev: Column) -> tuple[Column, Column]:
+    """Guarded growth and its reason: a change of sign, a zero and a negative base are refused, in this order."""
+    reason = (
+        F.when(cur.isNull() | prev.isNull(), "missing_value")
+        .when((prev > 0) & (cur < 0), "sign_transition")
+        .when(prev == 0, "invalid_denominator")
+        .when(prev < 0, "negative_denominator")
+    )
+    return F.when(reason.isNull(), (cur - prev) / prev), reason
+
+
+def coverage_bucket(c: Column) -> Column:
+    return F.when(c < 0.25, "[0,.25)").when(c < 0.5, "[.25,.5)").when(c < 0.75, "[.5,.75)").when(c < 0.9, "[.75,.9)").when(c.isNotNull(), "[.9,1]")
+
+
+def redact(c: Column) -> Column:
+    """Secrets, authorization headers, addresses and hosts as placeholders."""
+    c = F.regexp_replace(c, r"(?i)(authorization\s*[:=]\s*)\S+(\s+\S+)?", "$1[redacted]")
+    c = F.regexp_replace(c, r"(?i)\b((?:api[_-]?key|token|secret|password)\s*[:=]\s*)\S+", "$1[redacted]")
+    c = F.regexp_replace(c, r"https?://[^\s\"'<>]+", "[url]")
+    return F.regexp_replace(c, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[host]")
+
+
+def version_id(dataset: str, *cols: str) -> Column:
+    """A stable identity of a row's values."""
+    return F.concat(F.lit(dataset + ":"), F.substring(F.sha2(F.to_json(F.struct(*sorted(cols))), 256), 1, 20))
