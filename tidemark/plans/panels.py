@@ -82,7 +82,7 @@ def w08(v: Views) -> DataFrame:
     return P.prior_median_ratio(v.px, "vol", 60, 20).select("code", "idx", *r6("ratio"))
 
 
-@query("W10_self_percentile", " SELECT code, idx, round(CASE WHEN len(b) >= 21 THEN len(list_filter(b, x -> x <= turnover)) / len(b) END, 6) AS pct FROM (SELECT *, coalesce(list(turnover) OVER (PARTITION BY code ORDER BY idx ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), []) AS b FROM px)")
+@query("W10_self_percentile", " SELECT code, idx, round(CASE WHEN len(b) >= 21 THEN len(list_filter(b, lambda x: x <= turnover)) / len(b) END, 6) AS pct FROM (SELECT *, coalesce(list(turnover) OVER (PARTITION BY code ORDER BY idx ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), []) AS b FROM px)")
 def w10(v: Views) -> DataFrame:
     return P.self_percentile(v.px, "turnover", 252, 21).select("code", "idx", *r6("pct"))
 

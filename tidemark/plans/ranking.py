@@ -84,7 +84,7 @@ def k05(v: Views) -> DataFrame:
 SETS = "t AS (SELECT as_of, list(code) AS s FROM pk GROUP BY as_of), l AS (SELECT as_of, s, lag(s) OVER (ORDER BY as_of) AS p FROM t)"
 
 
-@query("G17_turnover", f"{PICKS}, {SETS} SELECT as_of, round(len(list_intersect(s, p)) / greatest(1, len(list_distinct(list_concat(s, p)))), 6) AS jaccard, len(list_filter(s, x -> NOT list_contains(p, x))) AS added, len(list_filter(p, x -> NOT list_contains(s, x))) AS removed FROM l WHERE p IS NOT NULL")
+@query("G17_turnover", f"{PICKS}, {SETS} SELECT as_of, round(len(list_intersect(s, p)) / greatest(1, len(list_distinct(list_concat(s, p)))), 6) AS jaccard, len(list_filter(s, lambda x: NOT list_contains(p, x))) AS added, len(list_filter(p, lambda x: NOT list_contains(s, x))) AS removed FROM l WHERE p IS NOT NULL")
 def g17(v: Views) -> DataFrame:
     return P.set_turnover(picks(v), "as_of", "code")
 

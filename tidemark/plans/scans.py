@@ -52,20 +52,20 @@ def f22(v: Views) -> DataFrame:
     return v.documents.select("doc_id", redact(F.col("text")).alias("text"))
 
 
-@query("J01_full_outer", " SELECT code, idx, a.close, b.vol FROM (SELECT * FROM px WHERE (code + idx) % 5 <> 0) a FULL JOIN (SELECT code, idx, vol FROM px WHERE (code + idx) % 7 <> 0) b USING (code, idx)".replace("a.close", "round(a.close, 6) AS close"))
+@query("J01_full_outer", " SELECT code, idx, a.close, b.vol FROM (SELECT * FROM px WHERE (code + idx) % 5 <> 0) a FULL JOIN (SELECT code, idx, vol FROM px WHERE (code + idx) % 7 <> 0) b USING (code, idx)")
 def j01(v: Views) -> DataFrame:
     a = v.px.where((F.col("code") + F.col("idx")) % 5 != 0).select("code", "idx", "close")
     b = v.px.where((F.col("code") + F.col("idx")) % 7 != 0).select("code", "idx", "vol")
-    return a.join(b, ["code", "idx"], "full_outer").select("code", "idx", F.round("close", 6).alias("close"), "vol")
+    return a.join(b, ["code", "idx"], "full_outer").select("code", "idx", "close", "vol")
 
 
-@query("J02_as_of_reference", " SELECT a.as_of, r.code, max(p.session_date) AS last_date, round(arg_max(p.close, p.idx), 6) AS close FROM as_of a CROSS JOIN ref r JOIN px p ON p.code = r.code AND p.idx <= a.idx GROUP BY a.as_of, r.code")
+@query("J02_as_of_reference", " SELECT a.as_of, r.code, max(p.session_date) AS last_date, arg_max(p.close, p.idx) AS close FROM as_of a CROSS JOIN ref r JOIN px p ON p.code = r.code AND p.idx <= a.idx GROUP BY a.as_of, r.code")
 def j02(v: Views) -> DataFrame:
     """The latest row on or before each date, found as the row whose successor comes after the date."""
     nxt = F.lead("idx").over(Window.partitionBy("code").orderBy("idx"))
     rows = v.px.withColumn("nxt", nxt)
     a = F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at")))
-    return rows.join(a, (F.col("idx") <= F.col("at")) & (F.col("nxt").isNull() | (F.col("nxt") > F.col("at")))).select("as_of", "code", F.col("session_date").alias("last_date"), F.round("close", 6).alias("close"))
+    return rows.join(a, (F.col("idx") <= F.col("at")) & (F.col("nxt").isNull() | (F.col("nxt") > F.col("at")))).select("as_of", "code", F.col("session_date").alias("last_date"), "close")
 
 
 @query("J07_semi_anti", " SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has FROM customer")
