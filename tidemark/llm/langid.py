@@ -112,9 +112,12 @@ def machine(texts: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray,
         c = code[sets[k]]
         c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
         t = automaton(c.tolist(), width).astype(np.int64)
-        restart = np.where(t[0] >= 0, t[0], 0)
-        whole = np.where(t >= 0, t, restart[None, :])
-        flat = (whole * width + base) | np.where(t >= 0, 0, _FLAG)
+        # a code that no phrase holds is a phrase of its own: after it, in the last state, all codes begin a phrase
+        t = np.concatenate([t, np.full((1, width), -1)])
+        restart = np.where(t[0] >= 0, t[0], len(t) - 1)
+        flag = np.where(t >= 0, 0, _FLAG)
+        flag[0] = 0
+        flat = (np.where(t >= 0, t, restart[None, :]) * width + base) | flag
         tables.append(flat.astype(np.int32).ravel())
         roots.append(base)
         base += t.size
