@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,34 +210,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     cuts = runs.where("wid is null").select("tkey", "start", "upto").union(open_.join(over, "wid", "left_semi").select("tkey", "start", "upto"))
     # copies of a text list the same runs
     listed = cuts.distinct().groupBy("tkey").agg(F.collect_list(F.struct("start", "upto")).alias("cuts"))
-    listed = materialize(listed.withColumn("h", F.xxhash64("tkey")), "cuts")
+    listed = materialize(listed.withColumn("h", F.conv(F.hex(F.substring("tkey", 1, 8)), 16, -10).cast("long")), "cuts")
     cells, bits = bloom_of(listed, "h")
     sent = spark.sparkContext.broadcast(cells.tobytes())
 
     keep = [c for c in docs.columns if c not in made and c != text]
-    own = {c: column_name(docs, c) for c in ("tkey", "maybe", "size", "sha", "h")}
+    own = {c: column_name(docs, c) for c in ("tkey", "maybe", "size", "sha")}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts go on only where runs may be listed for them."""
+        mask = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             for s in slices(b, text):
                 data, at = flat_bytes(s.column(text))
                 whole = data.tobytes()
                 texts = [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array(_text_key(data, at), pa.binary()), pa.array(np.diff(at)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())], [*keep, own["tkey"], own["size"], own["sha"], own["maybe"]])
+                keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+                hit = bloom_has(mask, bits, np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array(keys, pa.binary()), pa.array(np.diff(at)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t if keep_text or h else None for t, h in zip(texts, hit.tolist(), strict=True)], pa.binary())], [*keep, own["tkey"], own["size"], own["sha"], own["maybe"]])
 
     schema = plus(docs.select(*keep), {own["tkey"]: "binary", own["size"]: "long", own["sha"]: "string", own["maybe"]: "binary"})
-    rows = docs.select(*keep, text).mapInArrow(split, schema).withColumn(own["h"], F.xxhash64(own["tkey"]))
-
-    def drop_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(sent.value, np.uint8)
-        for b in batches:
-            hit = bloom_has(mask, bits, b.column(own["h"]).to_numpy(zero_copy_only=False))
-            if not keep_text:
-                gone = pc.if_else(pa.array(hit), b.column(own["maybe"]), pa.nulls(b.num_rows, pa.binary()))
-                b = b.set_column(b.schema.get_field_index(own["maybe"]), own["maybe"], gone)
-            yield b
-
-    rows = rows.mapInArrow(drop_text, rows.schema)
+    rows = docs.select(*keep, text).mapInArrow(split, schema)
     joined = rows.join(listed.select(F.col("tkey").alias(own["tkey"]), "cuts"), own["tkey"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
