@@ -141,7 +141,7 @@ def _occurrences(docs: DataFrame, text: str, length: int, again: tuple[np.ndarra
 
 
 def _matches(found: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
-    """Runs (tkey, start, upto) of repeated strings; of suffixes in several groups also strings (wid) to be counted over the groups."""
+    """Runs (tkey, start, upto) of repeated strings; of suffixes in several groups also each group's distinct strings (wid), to be counted over the groups, without upto if the group itself shows that they repeat."""
     k = length - length // 2
     schema = "tkey binary, start long, upto long, wid long"
 
@@ -170,7 +170,7 @@ def _matches(found: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
             if len(often):
                 _, one = np.unique(wid[often], return_index=True)
                 one = often[one]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[one])), pa.array(start[row[one]] + nth[one]), pa.array(start[row[one]] + nth[one] + length), pa.array(wid[one].view(np.int64))], ["tkey", "start", "upto", "wid"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[one])), pa.array(start[row[one]] + nth[one]), pa.array(start[row[one]] + nth[one] + length, mask=twice[one]), pa.array(wid[one].view(np.int64))], ["tkey", "start", "upto", "wid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     runs = materialize(_matches(_occurrences(docs, text, length, again, hot), length), "runs")
     open_ = runs.where("wid is not null")
     over = open_.groupBy("wid").agg(F.count("*").alias("groups")).where("groups > 1").select("wid")
-    cuts = runs.where("wid is null").select("tkey", "start", "upto").union(open_.join(over, "wid", "left_semi").select("tkey", "start", "upto"))
+    cuts = runs.where("wid is null").select("tkey", "start", "upto").union(open_.where("upto is not null").join(over, "wid", "left_semi").select("tkey", "start", "upto"))
     # copies of a text list the same runs
     listed = cuts.distinct().groupBy("tkey").agg(F.collect_list(F.struct("start", "upto")).alias("cuts"))
     listed = materialize(listed.withColumn("h", F.conv(F.hex(F.substring("tkey", 1, 8)), 16, -10).cast("long")), "cuts")
