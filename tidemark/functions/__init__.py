@@ -93,3 +93,27 @@ def redact(c: Column) -> Column:
 def version_id(dataset: str, *cols: str) -> Column:
     """A stable identity of a row's values."""
     return F.concat(F.lit(dataset + ":"), F.substring(F.sha2(F.to_json(F.struct(*sorted(cols))), 256), 1, 20))
+
+
+def fiscal_period(c: Column) -> tuple[Column, Column]:
+    """The end of the quarter meant by YYYYQn, YYYYH1, YYYYFY or a quarter-end date, and its number year * 4 + quarter - 1; else null."""
+    text = F.upper(F.trim(c.cast("string")))
+    quarter = F.when(text.rlike(r"^\d{4}Q[1-4]$"), F.substring(text, 6, 1).try_cast("int")).when(text.rlike(r"^\d{4}H1$"), 2).when(text.rlike(r"^\d{4}(FY|H2)$"), 4)
+    named = F.last_day(F.make_date(F.substring(text, 1, 4).try_cast("int"), quarter * 3, F.lit(1)))
+    dated = norm_date(c)
+    end = F.coalesce(named, F.when(F.date_format(dated, "MM-dd").isin("03-31", "06-30", "09-30", "12-31"), dated))
+    return end, F.year(end) * 4 + F.quarter(end) - 1
+
+
+def first_available(*candidates: tuple[str, Column]) -> tuple[Column, Column]:
+    """The first candidate that parses as a date, and its name."""
+    dates = [(n, norm_date(c)) for n, c in candidates]
+    source = F.lit(None).cast("string")
+    for n, d in reversed(dates):
+        source = F.when(d.isNotNull(), n).otherwise(source)
+    return F.coalesce(*[d for _, d in dates]), source
+
+
+def evidence_class(value: Column, reason: Column) -> Column:
+    """valid, missing, unsupported or invalid, from a value and the reason given for its absence."""
+    return F.when(value.isNotNull() & reason.isNull(), "valid").when(reason.isNull() | reason.startswith("missing"), "missing").when(reason.startswith("unsupported"), "unsupported").otherwise("invalid")
