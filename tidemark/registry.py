@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tidemark.plans import audits, facts, history, panels, ranking, scans  # noqa: F401
+    from tidemark.plans import audits, facts, history, panels, ranking, scans, sessions  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
