@@ -1,0 +1,57 @@
+"""Datasets as folders of Parquet: reads with a union of columns, partitioned writes, merges by key, observation files."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import norm_date
+
+
+def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: str | Column | None = None) -> DataFrame:
+    """All files of a dataset, united by column name; the filter and the columns reach the scan."""
+    df = spark.read.option("mergeSchema", True).parquet(path)
+    df = df if where is None else df.where(where)
+    return df.select(*columns) if columns else df
+
+
+def stamp(df: DataFrame, source: str, api: str, at: Column | None = None) -> DataFrame:
+    """Where rows came from, and when."""
+    return df.withColumns({"retrieved_at": F.current_timestamp() if at is None else at, "source": F.lit(source), "source_api": F.lit(api)})
+
+
+def partitioned(df: DataFrame, by: str, date: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Adds the partition columns of a layout: none, year or date. A date that doesn't parse fails the job that writes."""
+    if by == "none":
+        return df, []
+    day = norm_date(F.col(date))
+    sure = F.when(day.isNotNull(), day).otherwise(F.raise_error(F.lit(f"invalid partition date in {date}")).cast("date"))
+    return (df.withColumn("year", F.year(sure)), ["year"]) if by == "year" else (df.withColumn("day", F.date_format(sure, "yyyyMMdd")), ["day"])
+
+
+def write(df: DataFrame, path: str, by: str = "none", date: str | None = None) -> None:
+    """Replaces the partitions that df touches; a table without rows changes nothing in a partitioned layout."""
+    rows, cols = partitioned(df, by, date)
+    out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.partitionBy(*cols) if cols else out).parquet(path)
+
+
+def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row for each key, null being a value: new rows replace old ones, and among new rows the last by `order` stays."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), *[F.col(c).desc_nulls_last() for c in order])
+    return both.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_new", "_nth")
+
+
+def observations(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """Rows of a Parquet, CSV or JSON artifact; a JSON artifact holds them in `observations` beside its own fields."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "json":
+        whole = spark.read.option("multiLine", True).json(path)
+        others = [c for c in whole.columns if c != "observations"]
+        rows = whole.select(*others, F.explode("observations").alias("_row")).select(*others, "_row.*")
+    else:
+        rows = spark.read.option("header", True).csv(path, inferSchema=True) if kind == "csv" else spark.read.parquet(path)
+    return rows.withColumn("variant", F.lit(label))

@@ -1,0 +1,31 @@
+"""Incremental upsert of arriving batches, with a ledger of what became of each."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.sources import merged
+
+
+def upsert(stream: DataFrame, target: str, ledger: str, checkpoint: str, keys: Sequence[str], order: Sequence[str] = ()) -> StreamingQuery:
+    """Merges each micro-batch into a table by key and writes its outcome (success or pending) to the ledger.
+
+    Versions are written to a new folder named for the batch, from the folder before it, so that a batch that runs again
+    after a lost driver gives the same table. The ledger's folder of a batch is overwritten likewise.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.persist()
+        before = spark.read.parquet(f"{target}/version={batch_id - 1}") if batch_id else new.limit(0)
+        merged(before, new, keys, order).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        outcome = F.when(F.count("*") > 0, "success").otherwise("pending").alias("outcome")
+        counts = new.agg(F.count("*").alias("n"), outcome).withColumn("batch", F.lit(batch_id).cast("long"))
+        counts.write.mode("overwrite").parquet(f"{ledger}/run={batch_id}")
+        new.unpersist()
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
