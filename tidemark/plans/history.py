@@ -116,10 +116,10 @@ def g15(v: Views) -> DataFrame:
     return coverage(v).groupBy("as_of", "confidence").agg(F.count("*").alias("n"), F.count_if("critical").alias("unknown"))
 
 
-@query("P02_as_of_query", f", {KNOWN} SELECT as_of, code, count(*) AS n, round(sum(CAST(revenue AS decimal(28,4)))::double, 2) AS revenue FROM k WHERE end_date <= as_of GROUP BY 1, 2")
+@query("P02_as_of_query", f", {KNOWN} SELECT as_of, code, count(*) AS n, sum(CAST(revenue AS decimal(28,6)))::double AS revenue FROM k WHERE end_date <= as_of GROUP BY 1, 2")
 def p02(v: Views) -> DataFrame:
     rows = known(v).where("end_date <= as_of")
-    return rows.groupBy("as_of", "code").agg(F.count("*").alias("n"), F.round(F.sum(F.col("revenue").cast("decimal(28,4)")).cast("double"), 2).alias("revenue"))
+    return rows.groupBy("as_of", "code").agg(F.count("*").alias("n"), F.sum(F.col("revenue").cast("decimal(28,6)")).cast("double").alias("revenue"))
 
 
 @query("P03_disclosure_fallback", " SELECT i.code, i.yr, i.q, i.update_flag, CASE WHEN (i.code + i.q) % 4 = 0 THEN d.actual ELSE i.ann_date END AS available FROM income i JOIN (SELECT code, end_date, min(ann_date + CAST(code % 3 AS int))::date AS actual FROM income GROUP BY 1, 2) d USING (code, end_date)")
@@ -169,7 +169,7 @@ def months(v: Views) -> DataFrame:
     return p21(v).select("month", "as_of", F.coalesce("regime", F.lit("none")).alias("regime"))
 
 
-@query("P22_stratified_sample", f"{MONTHS} SELECT year(month) AS yr, regime, month FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY year(month), regime) AS t FROM ms WINDOW w AS (PARTITION BY year(month), regime ORDER BY month)) WHERE n = (t - 1) // 2 + 1")
+@query("P22_stratified_sample", f"{MONTHS} SELECT year(month)::int AS yr, regime, month FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY year(month), regime) AS t FROM ms WINDOW w AS (PARTITION BY year(month), regime ORDER BY month)) WHERE n = (t - 1) // 2 + 1")
 def p22(v: Views) -> DataFrame:
     """Of each year and regime the lower median month."""
     w = Window.partitionBy("yr", "regime")

@@ -123,7 +123,7 @@ def w13(v: Views) -> DataFrame:
     return rows.select("code", "idx", F.round(F.when((F.col("n") >= 20) & (F.col("m") != 0), F.col("vol") / F.col("m")), 6).alias("ratio"))
 
 
-@query("K07_first_of_year", " SELECT year(session_date) AS yr, min(session_date) AS first_session, count(*) AS sessions FROM cal GROUP BY 1")
+@query("K07_first_of_year", " SELECT year(session_date)::int AS yr, min(session_date) AS first_session, count(*) AS sessions FROM cal GROUP BY 1")
 def k07(v: Views) -> DataFrame:
     return v.cal.groupBy(F.year("session_date").alias("yr")).agg(F.min("session_date").alias("first_session"), F.count("*").alias("sessions"))
 
