@@ -29,6 +29,9 @@ CTES = {
                   FROM q_cum WHERE (code * 13 + yr * 4 + q) % 17 <> 0""",
     "income": """SELECT code, yr, q, pn, end_date, CAST(end_date + CAST(20 + (code * 7 + q * 3) % 40 AS int) AS date) AS ann_date, 0 AS update_flag, revenue, profit FROM q_first
                  UNION ALL SELECT code, yr, q, pn, end_date, CAST(end_date + CAST(80 + (code * 7 + q * 3) % 40 AS int) AS date), 1, revenue * 1.05, profit * 1.05 FROM q_first WHERE (code + yr + q) % 5 = 0""",
+    "statements": """SELECT code, yr, q, pn, end_date, ann_date, update_flag, revenue, profit, 0.3 * revenue AS gross, 1.2 * profit AS operating,
+                       profit * (0.5 + (code % 4) / CAST(4 AS double)) - CASE WHEN (code + q) % 5 = 0 THEN 0.12 * revenue ELSE 0 END AS cfo,
+                       10 * revenue AS assets, 4 * revenue AS equity, 0.2 * revenue * (1 + q % 3) AS inventories, 0.1 * revenue * (1 + (code + q) % 2) AS receivables FROM income""",
     "ref": """SELECT s_suppkey AS code, CASE WHEN s_suppkey % 11 = 0 THEN 60 ELSE 1 END AS list_idx, CASE WHEN s_suppkey % 23 = 0 THEN 250 END AS delist_idx,
                 CASE WHEN s_suppkey % 19 = 0 THEN 'ST' || s_name ELSE s_name END AS name, CASE WHEN s_suppkey % 29 = 0 THEN '.BJ' ELSE '.SH' END AS board, s_nationkey AS industry FROM supplier""",
 }
