@@ -134,7 +134,7 @@ SERIES = ("revenue", "profit", "cfo")
 OBS = f"""{SINGLE_ALL}, ob AS ({" UNION ALL ".join(
     f"SELECT s.as_of, s.code, s.pn, '{k}_{c}' AS metric, {change_sql('s.sq_' + c, o + '.sq_' + c)} AS value{SHIFTED}" for k, o in (("yoy", "y"), ("qoq", "p")) for c in SERIES)} UNION ALL {" UNION ALL ".join(
     f"SELECT as_of, code, pn, '{n}', {over_sql(c, 'sq_revenue')} FROM s" for n, c in MARGINS.items())} UNION ALL {" UNION ALL ".join(
-    f"SELECT as_of, code, pn, 'ttm_{c}', CASE WHEN count(sq_{c}) OVER w = 4 THEN sum(sq_{c}) OVER w END FROM s WINDOW w AS (PARTITION BY as_of, code ORDER BY pn RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)" for c in SERIES)})"""
+    f"SELECT as_of, code, pn, 'ttm_{c}', CASE WHEN count(sq_{c}) OVER w = 4 THEN (sum(CAST(sq_{c} AS decimal(28,6))) OVER w)::double END FROM s WINDOW w AS (PARTITION BY as_of, code ORDER BY pn RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)" for c in SERIES)})"""
 
 
 def observations(v: Views) -> DataFrame:
@@ -142,7 +142,7 @@ def observations(v: Views) -> DataFrame:
     cols = ["sq_" + c for c in SERIES]
     year = Window.partitionBy("as_of", "code").orderBy("pn").rangeBetween(-3, 0)
     s = single_all(v).withColumn("y", back(cols, 4)).withColumn("p", back(cols, 1))
-    s = s.withColumns({"t_" + c: F.when(F.count("sq_" + c).over(year) == 4, F.sum("sq_" + c).over(year)) for c in SERIES})
+    s = s.withColumns({"t_" + c: F.when(F.count("sq_" + c).over(year) == 4, F.sum(F.col("sq_" + c).cast("decimal(28,6)")).over(year).cast("double")) for c in SERIES})
     values = {f"{k}_{c}": safe_change(F.col("sq_" + c), F.col(f"{o}.sq_{c}")) for k, o in (("yoy", "y"), ("qoq", "p")) for c in SERIES}
     values |= {n: over(c, "sq_revenue") for n, c in MARGINS.items()} | {"ttm_" + c: F.col("t_" + c) for c in SERIES}
     return s.select("as_of", "code", "pn", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in values.items()])))
