@@ -238,3 +238,21 @@ def test_neighbours_recall(spark):
         assert [k for k, _, _ in v] == list(range(1, 21)) and all(abs(s[i] - y) < 1e-12 for _, i, y in v)
     assert hits / (20 * len(by)) >= 0.9
     assert ann.neighbours(frame.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+def test_neighbours_with_copies_and_ties(spark):
+    """Hundreds of copies of one vector, and many other vectors with equal scores: the smaller vec_ids come first."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-1, 2, (1500, 6)).astype(np.float64)
+    x[rng.choice(1500, 500, replace=False)] = [1, 1, 0, -1, 1, 0]
+    x[~x.any(1)] = 1
+    ids = rng.permutation(3000)[:1500]
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(frame, "vec_id % 20 = 0", curves=2, windows=2).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    for q, v in zip(ids, x, strict=True):
+        if q % 20 == 0:
+            best = sorted((-s, i) for s, i in zip((x @ v).tolist(), ids.tolist(), strict=True) if i != q)[:20]
+            assert sorted(got[int(q)]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
