@@ -211,6 +211,17 @@ def test_main_text(spark):
     assert html_wrap.extract(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_mixed_templates(spark):
+    """A page is judged by its own slots, whatever other templates its host has."""
+    one = "<body><nav>menu</nav><article><p>First kind, page {i}.</article></body>"
+    two = "<body><div class=menu>menu</div><div id=content><p>Second kind, page {i}.</div></body>"
+    three = "<body><div class=menu>menu</div><div id=text-{i}><p>Third kind of page, number {i}, with no telling mark at all.</div></body>"
+    rows = [(k * 100 + i, "http://a.org/", t.replace("{i}", str(i))) for k, t in enumerate((one, two, three)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_wrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert (got[i], got[100 + i], got[200 + i]) == (f"First kind, page {i}.", f"Second kind, page {i}.", f"Third kind of page, number {i}, with no telling mark at all.")
+
+
 def test_wrappers_align():
     w = html_wrap.align(html_wrap.fold(["a", "b", "b", "c"]), html_wrap.fold(["a", "b", "d", "c"]))
     assert w == ["a", ["+", "b"], ["?", "d"], "c"]

@@ -1,19 +1,21 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A page is a stream of block tags and text slots; inline markup belongs to the text around it, and end tags that may be
-left out are put in. The streams of a host's pages are aligned one after the other into a union-free regular
-expression, the host's wrapper: what repeats side by side becomes a repeated group, what only some pages have becomes
-an optional group, and differing texts become slots. Each slot is known by its path of tags, and carries what was
-counted over all pages of the host: pages, characters, characters inside links, and whether its text is always the
-same. From these the wrapper says which slots are the main text.
+left out are put in. Each slot is known by its path of tags and marks, from which numbers and titles are left out, and
+carries what was counted over all pages of the host: pages, characters, characters inside links, and whether its text
+is always the same; texts that at least half of an unmarked slot's pages share are counted too. These are the host's wrapper.
+Each page is judged by the slots that it has itself, so that a host may mix templates. A host's pages aren't aligned:
+statistics of paths and texts replace the expression that fold() and align() make.
 
 Defined cases: a null or empty page has an empty text; a page without a host shares a wrapper with others of the kind;
 repeated rows are repeated in the result; an empty table gives an empty result. A page of a host with one page is
-judged by its own wrapper.
+judged by its own wrapper. A shared text stays if the page's main slots hold no other.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html as html_lib
 import json
 import re
@@ -41,6 +43,16 @@ BOILER = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\
 BODY = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body)(?:$|[^a-z])")
 
 
+@functools.lru_cache(10_000)
+def _common(mark: str) -> str:
+    """A mark without what only one page may have: numbers, and of titles all but the words that tell slots."""
+    mark = re.sub(r"[0-9]+", "#", re.sub(r"[0-9a-f]{8,}", lambda m: "#" if re.search("[0-9]", m[0]) else m[0], mark))
+    if len(mark) > 32 or len(re.findall("[-_]", mark)) > 3:
+        words = sorted((m.start(), m[0].strip("-_.# ")) for r in (BOILER, BODY) for m in r.finditer(mark))
+        mark = "-".join([*dict.fromkeys(w for _, w in words), "#"])
+    return mark
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path, text, characters in links) of each block of text, in page order."""
     stack: list[tuple[str, str]] = []
@@ -90,7 +102,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 stack.pop()
             if name in VOID:
                 continue
-            mark = ".".join(x.lower() for a in ATTRIBUTE.finditer(m[4] or "") for x in (a[1] or a[2] or a[3] or "").split())
+            mark = ".".join(_common(x.lower()) for a in ATTRIBUTE.finditer(m[4] or "") for x in (a[1] or a[2] or a[3] or "").split())
             stack.append((name, f"{name}.{mark}" if mark else name))
         path = ">".join(s for _, s in stack)
     text(page[at:])
@@ -98,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-# Wrappers: lists of slots' paths, ["+", ...] repeated and ["?", ...] optional groups.
+# Expressions: lists of slots' paths, ["+", ...] repeated and ["?", ...] optional groups.
 
 
 def fold(seq: list, widest: int = 8) -> list:
@@ -163,6 +175,7 @@ def slots(wrapper: list) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+@functools.lru_cache(10_000)
 def _outside(path: str) -> bool:
     parts = path.split(">")
     inner = max((i for i, p in enumerate(parts) if p.split(".")[0] in MAIN), default=-1)
@@ -175,18 +188,22 @@ def _outside(path: str) -> bool:
     return False
 
 
-def main_slots(wrapper: list, stats: dict[str, dict]) -> set[str]:
-    """Which slots of a wrapper are the main text."""
-    own = [p for p in slots(wrapper) if not _outside(p)]
-    marked = [p for p in own if any(x.split(".")[0] in MAIN or ".main" in x for x in p.split(">"))]
+def _marked(path: str) -> bool:
+    return any(x.split(".")[0] in MAIN or ".main" in x for x in path.split(">"))
+
+
+def main_slots(paths: list[str], weights: dict[str, float]) -> set[str]:
+    """Which of a page's slots are the main text; weights are those of the host's unmarked slots that aren't left out."""
+    own = [p for p in dict.fromkeys(paths) if not _outside(p)]
+    marked = [p for p in own if _marked(p)]
     if marked:
         return set(marked)
-    own = [p for p in own if p not in stats or not (stats[p]["pages"] >= 3 and stats[p]["lo"] == stats[p]["hi"]) and stats[p]["links"] <= 0.5 * stats[p]["chars"]]
+    own = [p for p in own if p in weights]
     named = [p for p in own if any(BODY.search(x.partition(".")[2]) for x in p.split(">"))]
     if named:
         own = named
     # the deepest element that still holds most of the text
-    weight = {p: max(0, stats.get(p, {"chars": 1, "links": 0})["chars"] - 2 * stats.get(p, {"links": 0})["links"]) for p in own}
+    weight = {p: weights[p] for p in own}
     total = sum(weight.values())
     best = ""
     prefixes = {">".join(p.split(">")[:i]) for p in own for i in range(1, len(p.split(">")) + 1)}
@@ -203,70 +220,86 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+@functools.lru_cache(100_000)
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, keep): the slots of each host's wrapper that are the main text, from all its pages."""
+    """(host, rule): weights of each host's unmarked slots and the texts that its pages share, from all its pages."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, html):
-                skeletons: dict[tuple[str, str], int] = {}
                 found: dict[tuple[str, str], list] = {}
+                seen: dict[tuple[str, int, int], int] = {}
                 for u, page in zip(s.column(url).to_pylist(), s.column(html).to_pylist(), strict=True):
                     host = host_of(u)
-                    got = blocks(page or "")
-                    key = (host, json.dumps(fold([p for p, _, _ in got])))
-                    skeletons[key] = skeletons.get(key, 0) + 1
                     whole: dict[str, list[str]] = {}
-                    for p, t, n in got:
+                    for p, t, n in blocks(page or ""):
                         x = found.setdefault((host, p), [0, 0, 0, None, None])
                         x[1] += len(t)
                         x[2] += n
                         whole.setdefault(p, []).append(t)
-                    for p, t in whole.items():
-                        x, h = found[host, p], zlib.crc32(" ".join(t).encode("utf-8", "replace"))
+                    for p, ts in whole.items():
+                        x, h = found[host, p], zlib.crc32(" ".join(ts).encode("utf-8", "replace"))
                         x[0], x[3], x[4] = x[0] + 1, min(h, h if x[3] is None else x[3]), max(h, h if x[4] is None else x[4])
-                rows = [(h, k, None, n, 0, 0, None, None) for (h, k), n in skeletons.items()] + [(h, None, p, *x) for (h, p), x in found.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), *[pa.int64()] * 5), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), *[pa.int64()] * 5)], ["host", "skeleton", "path", "pages", "chars", "links", "lo", "hi"])
+                        if not _outside(p) and not _marked(p):
+                            for t in set(ts):
+                                k = (host, _hash(p), _hash.__wrapped__(t))
+                                seen[k] = seen.get(k, 0) + 1
+                rows = [(h, p, _hash(p), None, *x) for (h, p), x in found.items()] + [(h, None, p, t, n, 0, 0, None, None) for (h, p, t), n in seen.items()]
+                kinds = (pa.string(), pa.string(), *[pa.int64()] * 7)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], ["host", "path", "slot", "same", "pages", "chars", "links", "lo", "hi"])
+
+    kinds = "host string, path string, slot long, same long, pages long, chars long, links long, lo long, hi long"
+    parts = pages.select(url, html).mapInArrow(streams, kinds).groupBy("host", "path", "slot", "same").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    parts = materialize(parts.where("path is not null or pages >= 3"), "streams")
+    stats = parts.where("path is not null")
+    # at most two texts for each of a page's blocks of a slot
+    shared = parts.where("path is null").select("host", "slot", "same", F.col("pages").alias("n")).join(stats.select("host", "slot", "pages"), ["host", "slot"]).where("2 * n >= pages")
+    shared = shared.groupBy("host").agg(F.collect_list(F.struct("slot", "same")).alias("shared"))
+    stats = stats.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "links", "lo", "hi")).alias("stats"))
 
-    kinds = "host string, skeleton string, path string, pages long, chars long, links long, lo long, hi long"
-    parts = pages.select(url, html).mapInArrow(streams, kinds).groupBy("host", "skeleton", "path").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    parts = materialize(parts, "streams")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for st, sh in zip(b.column("stats").to_pylist(), b.column("shared").to_pylist(), strict=True):
+                own = [x for x in st if not _outside(x["path"]) and not _marked(x["path"])]
+                fine = [x for x in own if not (x["pages"] >= 3 and x["lo"] == x["hi"]) and x["links"] <= 0.5 * x["chars"]]
+                out.append(json.dumps([{x["path"]: max(0, x["chars"] - 2 * x["links"]) for x in fine}, sorted([x["slot"], x["same"]] for x in sh or [])]))
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], ["host", "rule"])
 
-    def merge(t: pa.Table) -> pa.Table:
-        rows = sorted(t.select(["skeleton", "pages"]).to_pylist(), key=lambda r: (-r["pages"], r["skeleton"]))
-        w = json.loads(rows[0]["skeleton"])
-        for r in rows[1:]:
-            w = align(w, json.loads(r["skeleton"]))
-        return pa.table({"host": t.column("host").slice(0, 1), "salt": pa.array([0], pa.int32()), "skeleton": [json.dumps(w)], "pages": pa.array([sum(r["pages"] for r in rows)], pa.int64())})
+    return stats.join(shared, "host", "left").mapInArrow(judge, "host string, rule string")
 
-    kinds = "host string, salt int, skeleton string, pages long"
-    some = parts.where("skeleton is not null").select("host", F.pmod(F.crc32("skeleton"), F.lit(16)).cast("int").alias("salt"), "skeleton", "pages")
-    expressions = some.groupBy("host", "salt").applyInArrow(merge, kinds).groupBy("host").applyInArrow(merge, kinds).select("host", "skeleton")
-    stats = parts.where("path is not null").groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "links", "lo", "hi")).alias("stats"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [sorted(main_slots(json.loads(w), {x["path"]: x for x in s or []})) for w, s in zip(b.column("skeleton").to_pylist(), b.column("stats").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("skeleton"), pa.array(keep, pa.list_(pa.string()))], ["host", "wrapper", "keep"])
+@functools.lru_cache(64)
+def _rule(rule: str | None) -> tuple[dict[str, float], set[tuple[int, int]]]:
+    weights, shared = json.loads(rule or "[{}, []]")
+    return weights, {tuple(x) for x in shared}
+
 
-    return expressions.join(stats, "host", "left").mapInArrow(judge, "host string, wrapper string, keep array<string>")
+def main_text(page: str, rule: str | None) -> str:
+    """The text of a page's main slots without what the host's pages share in unmarked ones."""
+    weights, shared = _rule(rule)
+    got = blocks(page)
+    keep = main_slots([p for p, _, _ in got], weights)
+    own = [(p, t) for p, t, _ in got if p in keep]
+    return " ".join([t for p, t in own if not shared or (_hash(p), _hash.__wrapped__(t)) not in shared] or [t for _, t in own])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages' columns (without the markup) with text and n_chars."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    host, slot = column_name(pages, "host"), column_name(pages, "keep")
-    rules = materialize(wrappers(pages, url, html), "wrappers").select(F.col("host").alias(host), F.col("keep").alias(slot))
+    host, slot = column_name(pages, "host"), column_name(pages, "rule")
+    rules = materialize(wrappers(pages, url, html), "wrappers").select(F.col("host").alias(host), F.col("rule").alias(slot))
     host_sql = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
     joined = pages.select(*keep, html, host_sql.alias(host)).join(rules, host, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, html):
-                out = []
-                for page, k in zip(s.column(html).to_pylist(), s.column(slot).to_pylist(), strict=True):
-                    k = set(k or ())
-                    out.append(" ".join(t for p, t, _ in blocks(page or "") if p in k))
+                out = [main_text(page or "", r) for page, r in zip(s.column(html).to_pylist(), s.column(slot).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*keep, "text", "n_chars"])
 
     return joined.mapInArrow(run, plus(pages.select(*keep), {"text": "string", "n_chars": "long"}))
