@@ -222,6 +222,17 @@ def test_main_text_of_mixed_templates(spark):
         assert (got[i], got[100 + i], got[200 + i]) == (f"First kind, page {i}.", f"Second kind, page {i}.", f"Third kind of page, number {i}, with no telling mark at all.")
 
 
+def test_main_text_without_shared_texts(spark):
+    page = "<body><div id=post-{i}><p>We use cookies.</p><p>Story {i}.</p><p>Its end {i}.</p></div></body>"
+    rows = [(i, "http://a.org/", page.replace("{i}", str(i))) for i in range(8)] + [(20, "http://b.org/", page)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrap.extract(frame).collect()}
+    assert [got[i] for i in range(8)] == [f"Story {i}. Its end {i}." for i in range(8)]
+    assert got[20] == "We use cookies. Story {i}. Its end {i}."
+    assert html_wrap.wrappers(frame, "url", "html").where("host = 'a.org'").count() == 1
+    assert html_wrap.blocks(page.replace("{i}", "1"))[0][0] == html_wrap.blocks(page.replace("{i}", "23"))[0][0]
+
+
 def test_wrappers_align():
     w = html_wrap.align(html_wrap.fold(["a", "b", "b", "c"]), html_wrap.fold(["a", "b", "d", "c"]))
     assert w == ["a", ["+", "b"], ["?", "d"], "c"]
