@@ -199,6 +199,17 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none, frame.limit(0), F.lit(True)) is None
 
 
+def test_mixed_disguises(spark):
+    words = "you are worthless idiot stupid shit and the river stone lamp".split()
+    frame = spark.createDataFrame([(i, prose(i, 60, words).translate(str.maketrans("", "", "0123456789"))) for i in range(40)], "doc_id long, text string")
+    logp = toxicity.language_model(frame)
+    for disguised, plain in (("an i d 1 0 t here", "an idiot here"), ("so s.h.1.t so", "so shit so"), ("$ t u p 1 d", "stupid"), ("y.o.u._.a.r.e._.w.o.r.t.h.l.e.s.s._.i.d.i.o.t", "you are worthless idiot")):
+        assert toxicity.restore([disguised], logp, {}) == [plain]
+    assert toxicity.restore(["from 1 2 3 to 1.2.3.4"], logp, {}) == ["from 1 2 3 to 1.2.3.4"]
+    long = "y.o.u._.a.r.e._." * 2000
+    assert toxicity.restore([long], logp, {})[0].split() == ["you", "are"] * 2000
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=x>menu</a></ul></nav><div class=ad>Buy</div><article><h1>Head {i}</h1><p>One&amp;two  {i}<p>three<br>four</p></article><div class='comments'><p>me too</div><footer>&copy; x</footer></body></html>"
     plain = "<html><body><div class='menu'><a href=1>a</a></div><div id='c'><p>Text number {i} is long enough to count as such.</p><p>And more {i}.</p></div><div class='sidebar'>s</div></body></html>"

@@ -83,7 +83,7 @@ def suspicious(texts: list[str]) -> list[list[tuple[int, int]]]:
     sign = k[:n] == 2
     bang = (points == 33) | (points == 40)
     hit = sign & ((after == 1) | ((before == 1) & ~bang & ((after == 8) | ((after == 2) & (after2 == 8)))))
-    hit |= (k[:n] == 4) & (before == 1) & (after == 1) & (np.r_[after2[1:], np.uint8(8)] == 1) & (after2 == 4)
+    hit |= (k[:n] == 4) & (before <= 2) & (before > 0) & (after <= 2) & (after > 0) & np.isin(np.r_[after2[1:], np.uint8(8)], (1, 2)) & (after2 == 4)
     three = np.zeros(n, bool)
     three[2:] = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] > 0)
     three[at[:-1][at[:-1] < n]] = False
@@ -101,9 +101,10 @@ def suspicious(texts: list[str]) -> list[list[tuple[int, int]]]:
     marked[word[hit]] = True
     has_letter = np.zeros(len(start), bool)
     has_letter[word[(k[:n] == 1)]] = True
-    marked &= has_letter & (end - start <= 40)
-    # three or more letters standing alone
-    alone = (end - start == 1) & (k[start] == 1)
+    marked &= has_letter
+    # three or more letters or signs standing alone, a letter among them
+    alone = (end - start == 1) & ((k[start] == 1) | (k[start] == 2))
+    letters = np.r_[0, np.cumsum(k[start] == 1)]
     run = alone.copy()
     run[1:-1] = alone[1:-1] & alone[:-2] & alone[2:] & (doc[1:-1] == doc[:-2]) & (doc[1:-1] == doc[2:]) if len(run) > 2 else False
     run[[0, -1]] = False
@@ -113,14 +114,16 @@ def suspicious(texts: list[str]) -> list[list[tuple[int, int]]]:
     if len(middle):
         for g in np.split(middle, np.flatnonzero(np.diff(middle) > 1) + 1):
             a, b = g[0] - 1, g[-1] + 1
-            out[doc[a]].append((int(start[a] - at[doc[a]]), int(end[b] - at[doc[a]])))
+            if letters[b + 1] > letters[a]:
+                out[doc[a]].append((int(start[a] - at[doc[a]]), int(end[b] - at[doc[a]])))
     return [sorted(x) for x in out]
 
 
 def decode(word: str, logp: np.ndarray) -> str:
     """The likeliest original of a stretch: Viterbi search over the last two codes."""
     code = _tables()[0]
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # each state's path is its last piece and the path before
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     chars = word.lower()
     run = 0
     for i, ch in enumerate(chars):
@@ -136,18 +139,26 @@ def decode(word: str, logp: np.ndarray) -> str:
             options = [(" ", -0.5), ("", -1.0)]
         else:
             options = [(" ", 0.0)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             for x, cost in options:
                 if x == "" or x == " " and b == 0:
-                    key, value, text = (a, b), score + cost, path + (x if x == " " and path[-1:] != " " and path else "")
+                    key, value, text = (a, b), score + cost, (x, path) if x == " " and path and path[0] != " " else path
                 else:
                     d = int(code[ord(x)])
-                    key, value, text = (b, d), score + cost + float(logp[a, b, d]), path + x
+                    key, value, text = (b, d), score + cost + float(logp[a, b, d]), (x, path)
                 if key not in new or value > new[key][0]:
                     new[key] = (value, text)
         states = new
-    return max(((score + float(logp[a, b, 0]) if b else score, path) for (a, b), (score, path) in states.items()), key=lambda x: (x[0], x[1]))[1]
+    return max(((score + float(logp[a, b, 0]) if b else score, _joined(path)) for (a, b), (score, path) in states.items()), key=lambda x: (x[0], x[1]))[1]
+
+
+def _joined(path: tuple | None) -> str:
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out))
 
 
 def restore(texts: list[str], logp: np.ndarray, cache: dict[str, str]) -> list[str]:
@@ -160,9 +171,11 @@ def restore(texts: list[str], logp: np.ndarray, cache: dict[str, str]) -> list[s
                     continue
                 w = t[a:b]
                 if (r := cache.get(w)) is None:
+                    r = decode(w, logp)
                     if len(cache) > 50_000:
                         cache.clear()
-                    r = cache[w] = decode(w, logp)
+                    if len(w) <= 40:
+                        cache[w] = r
                 parts += [t[at:a], r]
                 at = b
             t = "".join(parts) + t[at:]
