@@ -172,6 +172,14 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.detect(docs, {}).collect()} == {"und"}
 
 
+def test_language_of_copies(spark):
+    """A language with many rows but few texts is in the sample, with each text once."""
+    rows = [(f"copy number {i % 5} of few", "cc") for i in range(4000)] + [(f"text number {i}", "dd") for i in range(100)]
+    sample = langid.sample_texts(spark.createDataFrame(rows, "text string, lang string"), rows_per_lang=4)
+    assert set(sample) == {"cc", "dd"}
+    assert all(sample["cc"].count(f"number {i} ") <= 1 for i in range(5)) and sample["cc"].count("copy") == 4
+
+
 def test_phrases_equal_greedy_search():
     model = (("a", "the cat sat on the mat"), ("b", "der hund lief"))
     text = "the mat sat der hund xyz"

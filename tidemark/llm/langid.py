@@ -32,16 +32,18 @@ _FLAG = 1 << 30
 def sample_texts(docs: DataFrame, rows_per_lang: int = 64, chars_per_lang: int = 20_000) -> dict[str, str]:
     """Labelled text of each language, at most rows_per_lang rows and chars_per_lang characters: a bounded sample.
 
-    Rows are taken in the order of a hash, shorter ones (an eighth of the budget) first, so that many texts fit in.
+    Copies of a text count once. Texts are taken in the order of a hash, shorter ones (an eighth of the budget) first, so
+    that many fit in. Of a language with more than 8 * rows_per_lang distinct texts about that many are looked at.
     """
     named = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
-    part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 8 * rows_per_lang / n))])
+    part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 8 * rows_per_lang / max(1, n)))])
     few = named.where(F.shiftrightunsigned("h", 1) / float(1 << 63) <= part[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy(F.length("text") > chars_per_lang // 8, "h", F.xxhash64("text", F.lit(1)))
-    rows = few.select("lang", "h", F.substring("text", 1, chars_per_lang).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_lang).orderBy("lang", "r").collect()
+    few = few.groupBy("lang", "h").agg(F.min(F.struct(F.length("text").alias("n"), F.substring("text", 1, chars_per_lang).alias("text"))).alias("x"))
+    order = Window.partitionBy("lang").orderBy(F.col("x.n") > chars_per_lang // 8, "h")
+    rows = few.select("lang", "h", "x.text", F.row_number().over(order).alias("r")).where(F.col("r") <= rows_per_lang).orderBy("lang", "r").collect()
     out: dict[str, str] = {}
     for r in rows:
         if len(out.get(r["lang"], "")) < chars_per_lang:
