@@ -159,6 +159,21 @@ def test_personal_data(spark, docs, none):
     assert pii.detect(docs).count() == docs.count() and pii.detect(none).count() == 0
 
 
+def test_personal_data_partly_in_disguise():
+    spans = lambda t: [(k, t[a:b]) for k, v in pii.all_spans(t)[1].items() for a, b in v]
+    for t, want in (
+        ("call plus four nine 151 23456789 now", ("phone", "plus four nine 151 23456789")),
+        ("call plus 49 151 23456789 now", ("phone", "plus 49 151 23456789")),
+        ("card 4111 1111 1111 111 one ok", ("card", "4111 1111 1111 111 one")),
+        ("host ten one dot two dot 3 dot four end", ("ip", "one dot two dot 3 dot four")),
+        ("write user at seven dot com", ("email", "user at seven dot com")),
+        ("write jane at firma dot nl today", ("email", "jane at firma dot nl")),
+        ("write jane dot doe at mail dot firma dot it", ("email", "jane dot doe at mail dot firma dot it")),
+    ):
+        assert spans(t) == [want], t
+    assert spans("we arrive at this point in one 2 or three days, 5 plus 6") == []
+
+
 def test_language(spark, docs, none):
     langs = {"aa": "tion the and of wherever", "bb": "heit und der nicht schon"}
     rows = [(i, prose(i, 80, w.split()), k) for k, w in langs.items() for i in range(40)]

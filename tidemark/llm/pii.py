@@ -73,7 +73,7 @@ SPELLED = {
 }
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
-_RUN = re.compile(rf"(?<![^\W_])(?:(?:{_NUMBER})|plus|[0-9]+)(?:[\x20.,-]{{1,2}}(?:(?:{_NUMBER})|dot|punkt|point|punto|[0-9]+)(?![^\W_])){{6,}}", re.I)
+_RUN = re.compile(rf"(?<![^\W_])(?:(?:{_NUMBER})|plus|[0-9]+)(?:[\x20.,-]{{1,2}}(?:(?:dot|punkt|point|punto)[\x20.,-]{{1,2}})*(?:(?:{_NUMBER})|[0-9]+)(?![^\W_]))+", re.I)
 _WORD = re.compile(r"[^\W\d_]+|[0-9]+|[\x20.,-]+")
 _AT_BOX = r"[\x20]*[\[({<][\x20]*(?:at|@|arroba|arobase)[\x20]*[\])}>][\x20]*"
 _AT = _AT_BOX + r"|[\x20]+(?:at|arroba|arobase)[\x20]+"
@@ -84,12 +84,13 @@ _ADDRESS = re.compile(rf"[0-9]{{1,3}}(?:(?:{_DOT})[0-9]{{1,3}}){{3}}", re.I)
 #: What a disguise can't do without (in RE2's syntax too): letters of other scripts, bracketed signs, "at" before a host, spelled digits in a row.
 _HINT_TEXT = (
     r"[^\x00-\x{24F}]|\x{AD}|(?i:[\[({<] *(?:at|@|arroba|arobase|dot|\.|punkt|point|punto) *[\])}>]|\b(?:at|arroba|arobase) +[A-Za-z0-9-]+(?:\.[A-Za-z0-9]| +(?:dot|punkt|point|punto)\b)"
-    r"|[0-9] +(?:dot|punkt|point|punto) +[0-9]|\b(?:" + _NUMBER + r")[ .,-]+(?:" + _NUMBER + r")[ .,-]+(?:" + _NUMBER + r")\b|\bplus +(?:" + _NUMBER + r"|[0-9]))"
+    r"|(?:[0-9]|\b(?:" + _NUMBER + r")) +(?:dot|punkt|point|punto) +(?:[0-9]|(?:" + _NUMBER + r")\b)|\b(?:" + _NUMBER + r")[ .,-]+(?:" + _NUMBER + r")[ .,-]+(?:" + _NUMBER + r")\b"
+    r"|\b(?:" + _NUMBER + r")[ .,-]{1,2}[0-9]|[0-9][ .,-]{1,2}(?:" + _NUMBER + r")\b|\bplus[ .,-]{1,2}(?:" + _NUMBER + r"|[0-9]))"
 )
 _HINT = re.compile(_HINT_TEXT.replace(r"\x{24F}", r"\u024f").replace(r"\x{AD}", r"\xad"))
-#: Last labels that a host in plain words must have.
+#: Last labels that a host in plain words must have after a full stop, or after a word for it other than "dot", which may be a word of the sentence.
 _LAST = "com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es|at|ch|us|ai|dev|app|me|example|test|invalid"
-_BARE = re.compile(rf"[A-Za-z0-9._%+-]+(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+[A-Za-z0-9_%+-]+)*[\x20]+(?:at|arroba|arobase)[\x20]+[A-Za-z0-9-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[A-Za-z0-9-]+)*(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)(?:{_LAST})(?![\w-])", re.I)
+_BARE = re.compile(rf"[A-Za-z0-9._%+-]+(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+[A-Za-z0-9_%+-]+)*[\x20]+(?:at|arroba|arobase)[\x20]+[A-Za-z0-9-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[A-Za-z0-9-]+)*(?:[\x20]+dot[\x20]+[A-Za-z]{{2,63}}|(?:[\x20]+(?:punkt|point|punto)[\x20]+|\.)(?:{_LAST}))(?![\w-])", re.I)
 
 Traced = tuple[str, list[int], list[int]]
 
@@ -130,7 +131,7 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
         word = w[0].lower()
         new = SPELLED.get(word) or {"plus": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}.get(word) or ("" if word.strip(" .,-") == "" else word)
         out.append((m.start() + w.start(), m.start() + w.end(), new))
-    return out if any(SPELLED.get(w[0].lower()) for w in _WORD.finditer(m[0])) else []
+    return out if any(w[0].lower() in SPELLED or w[0].lower() == "plus" for w in _WORD.finditer(m[0])) else []
 
 
 def _signs(m: re.Match) -> list[tuple[int, int, str]]:
