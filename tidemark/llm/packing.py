@@ -27,7 +27,7 @@ SHARD = 50_000
 
 
 def combinations(present: np.ndarray, window: int, triples: int = 4096) -> np.ndarray:
-    """Combinations of two and three lengths that add up to window, as columns; of the triples those with the most even use of lengths, at most `triples`."""
+    """Combinations of two and three lengths that add up to window, as columns; of more than `triples` triples so many, at even steps through their sorted list."""
     have = np.zeros(window + 1, bool)
     have[present] = True
     a = present[(present <= window - present) & have[window - present]]
