@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import ann, bpe, exact_dedup, html_wrap, langid, minhash, packing, pii, suffix_dedup, toxicity
 
 VOCAB = tokenizer_path("byte_bpe_50k.json")
+TABLES = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, score string, keep string"
 
 
@@ -86,27 +88,42 @@ def test_exact_duplicates(docs, none):
     assert sorted(map(str, exact_dedup.deduplicate(docs, most_bits=1024).collect())) == sorted(map(str, got))
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeated_strings_equal_brute_force(docs, none, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    count = collections.Counter()
-    for _, t in texts(docs):
-        b = t.encode()
-        count.update(b[i : i + 400] for i in range(len(b) - 399))
-    want = []
-    for i, t in texts(docs):
-        b = t.encode()
+def without_repeats(rows, length=400):
+    """Brute force: (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every text."""
+    data = [(i, t.encode()) for i, t in rows]
+    count = collections.Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
+    out = []
+    for i, b in data:
         gone = bytearray(len(b))
-        for j in range(len(b) - 399):
-            if count[b[j : j + 400]] > 1:
-                gone[j : j + 400] = b"\1" * 400
+        for j in range(len(b) - length + 1):
+            if count[b[j : j + length]] > 1:
+                gone[j : j + length] = b"\1" * length
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-        want.append((str(i), len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and not (j and gone[j - 1])), hashlib.sha256(kept).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 0
+        out.append((str(i), len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and not (j and gone[j - 1])), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_repeated_strings_equal_brute_force(spark, docs, none, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    notice = prose(77, 70)
+    crowd = spark.createDataFrame([(100 + i, prose(200 + i, 5 + i) + " " + notice[i % 3 :] + prose(300 + i, 8), "s", "k") for i in range(40)], SCHEMA)
+    rows = docs.union(crowd).withColumn("cuts", F.lit(1)).withColumn("tkey", F.lit("t"))
+    out = suffix_dedup.remove_repeats(rows)
+    assert {"cuts", "tkey", "score", "keep"} <= set(out.columns)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
+    want = without_repeats(texts(rows))
+    assert got == want and sum(w[2] for w in want) > 0
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="the tables are not here")
+def test_repeated_strings_of_the_table(spark):
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(rows).collect())
+    assert got == without_repeats(texts(rows))
+
+
 def test_tokens_equal_the_library(docs, none):
     lib = Tokenizer.from_file(VOCAB)
     for leaf in (bpe.LEAF, 64):

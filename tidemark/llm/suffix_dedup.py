@@ -9,13 +9,15 @@ shorter string) into an array of range partitions, which is merge-scanned agains
 Arrays of equal size are merged, so that there are as many arrays as the batches' number has binary ones. What is
 found twice are repeated suffixes.
 
-Matches: every occurrence of a repeated suffix is put beside the others together with the bytes around it, and each
-string of `length` bytes that chose this suffix is compared with those of the others. Suffixes that occur very often
-are dealt to SALTS groups; distinct strings of each group are then counted over the groups. Runs of repeated strings
-are merged and cut out of the text.
+Matches: every occurrence of a repeated suffix is put beside the others together with its context, the bytes around it
+that strings of `length` bytes may reach. Equal contexts repeat each other whole, so that one stands for all of them,
+however many there are. Different contexts of a suffix are compared string by string where they are few. Where they
+are many, their strings are halved into classes by where they begin, and dealt by the bytes that a class's strings have
+in common, again and again, so that no group grows with a suffix's occurrences and none is sampled or capped. Runs of
+repeated strings are merged and cut out of the text.
 
 Defined cases: null text is an empty text; texts shorter than `length` bytes lose nothing; repeated rows are copies of
-each other; matches don't cross texts, and all are judged on the input; an empty table gives an empty result.
+each other; columns named like those made here are replaced, all others kept; matches don't cross texts, and all are judged on the input; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bloom_has, bloom_of, column_name, flat_bytes, materialize, mix, plus, prefix_hash, slices, span_hash
 
-HOT, SALTS, STEP = 2000, 32, 1 << 20
-_LOW = np.uint64((1 << 24) - 1)
+#: So many contexts of a suffix at most are compared in one task; more are dealt to classes first.
+HOT, STEP = 256, 1 << 20
+_LOW, _ODD = np.uint64((1 << 24) - 1), np.uint64(0x9E3779B97F4A7C15)
 
 
 def chosen(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +68,7 @@ def chosen(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 class SuffixArrays:
-    """Sorted tables (head, khash, n) of chosen suffixes; each holds a power of two of batches."""
+    """Sorted tables (head, khash, n) of chosen suffixes; each holds a power of two of batches, later ones fewer."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
@@ -82,16 +85,15 @@ class SuffixArrays:
         merged = materialize(merged, "suffixes")
         self.repeated.append(merged.where("n > 1"))
         for _, level in self.levels:
-            both = merged.alias("new").join(level.alias("old"), ["head", "khash"])
-            self.repeated.append(both.select("head", "khash", (F.col("new.n") + F.col("old.n")).alias("n")))
+            self.repeated.append(merged.join(level.select("head", "khash"), ["head", "khash"], "left_semi"))
         self.levels.append((size, merged))
 
     def found(self) -> DataFrame:
-        """Suffixes that occur more than once (a suffix may be listed more than once)."""
+        """Suffixes that occur more than once."""
         out = self.repeated[0]
         for x in self.repeated[1:]:
             out = out.union(x)
-        return out.groupBy("khash").agg(F.max("n").alias("n"))
+        return out.select("khash").distinct()
 
 
 def _suffixes(docs: DataFrame, text: str, length: int, batches: int) -> DataFrame:
@@ -99,6 +101,7 @@ def _suffixes(docs: DataFrame, text: str, length: int, batches: int) -> DataFram
         nth = TaskContext.get().partitionId() % batches
         for b in rows:
             for s in slices(b, text):
+                nth = (nth + 1) % batches
                 data, at = flat_bytes(s.column(text))
                 a, h, _, _ = chosen(data, at, length)
                 uniq, first, n = np.unique(h, return_index=True, return_counts=True)
@@ -115,13 +118,27 @@ def _text_key(data: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _occurrences(docs: DataFrame, text: str, length: int, again: tuple[np.ndarray, int], hot: tuple[np.ndarray, int]) -> DataFrame:
-    """Each occurrence of a repeated suffix: the text, the strings that chose it, and the bytes around it without its own."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((again[0].tobytes(), hot[0].tobytes()))  # at most 8 MB each, see bloom_of
+def _class_key(h: np.ndarray, begin: np.ndarray, khash: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and context of occurrences in the class of strings that begin first..last bytes before the suffix; lo..hi is the occurrence's own part of it.
+
+    begin: where the hi bytes before the suffix begin in what h was made of; the k - lo bytes after it follow. The key is
+    made of the bytes that all strings of the class hold, the context of those that any of the occurrence's strings holds.
+    """
+    at = begin + hi
+    key = mix(span_hash(h, at - first, at + k - last) ^ mix(khash + first.astype(np.uint64) * _ODD + last.astype(np.uint64)))
+    context = mix(span_hash(h, at - hi, at + k - lo) ^ mix(key + lo.astype(np.uint64) * _ODD + hi.astype(np.uint64)))
+    return key, context
+
+
+OCCURRENCE = "key long, context long, tkey binary, start long, lo int, hi int, around binary"
+
+
+def _occurrences(docs: DataFrame, text: str, length: int, again: tuple[np.ndarray, int]) -> DataFrame:
+    """Each occurrence of a repeated suffix: the text, which strings chose it (they begin lo..hi bytes before it), and the bytes around it without its own."""
+    sent = docs.sparkSession.sparkContext.broadcast(again[0].tobytes())  # at most 8 MB, see bloom_of
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, often = (np.frombuffer(x, np.uint8) for x in sent.value)
+        own = np.frombuffer(sent.value, np.uint8)
         k = length // 2
         for b in rows:
             for s in slices(b, text):
@@ -132,45 +149,69 @@ def _occurrences(docs: DataFrame, text: str, length: int, again: tuple[np.ndarra
                 doc = np.searchsorted(at, a, "right") - 1
                 keys = np.array([b""] * s.num_rows, object)
                 keys[:] = _text_key(data, at) if len(a) else keys
-                salt = np.where(bloom_has(often, hot[1], h), 1 + (at[doc] + doc + a + s.num_rows * 7919) % SALTS, 0)
                 whole = data.tobytes()
-                around = [whole[i:j] + whole[j + k : e + length] for i, j, e in zip(p.tolist(), a.tolist(), q.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(keys[doc].tolist(), pa.binary()), pa.array(p - at[doc]), pa.array((q - p).astype(np.int32)), pa.array((a - p).astype(np.int32)), pa.array(around, pa.binary())], ["khash", "salt", "tkey", "start", "more", "before", "around"])
+                around = pa.array([whole[i:j] + whole[j + k : e + length] for i, j, e in zip(p.tolist(), a.tolist(), q.tolist(), strict=True)], pa.binary())
+                flat, begin = flat_bytes(around)
+                lo, hi = a - q, a - p
+                _, context = _class_key(prefix_hash(flat), begin[:-1], h, lo, hi, np.zeros_like(lo), np.full_like(lo, length - k), length - k)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys[doc].tolist(), pa.binary()), pa.array(p - at[doc]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), around], ["key", "context", "tkey", "start", "lo", "hi", "around"])
+
+    return docs.select(text).mapInArrow(run, OCCURRENCE)
+
+
+def _halved(rows: DataFrame, length: int, level: int) -> DataFrame:
+    """Occurrences dealt to the classes of the next level, each of which has half the strings: those whose strings are equal share a class's key."""
+    k = length - length // 2
+    bounds = (np.arange((1 << level) + 1) * (k + 1)) >> level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, begin = flat_bytes(b.column("around"))
+            h = prefix_hash(data)
+            key, start = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64), b.column("start").to_numpy(zero_copy_only=False)
+            lo, hi = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+            low, high = np.searchsorted(bounds, lo, "right") - 1, np.searchsorted(bounds, hi, "right") - 1
+            row = np.r_[np.arange(len(key)), np.flatnonzero(low != high)]
+            part = np.r_[high, low[low != high]]
+            first, last = bounds[part], bounds[part + 1] - 1
+            l2, h2 = np.maximum(lo[row], first), np.minimum(hi[row], last)
+            at = begin[:-1][row] + hi[row] - h2
+            key2, context = _class_key(h, at, key[row], l2, h2, first, last, k)
+            whole = data.tobytes()
+            around = [whole[i:j] for i, j in zip(at.tolist(), (at + h2 + k - l2).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(context.view(np.int64)), b.column("tkey").take(pa.array(row)), pa.array(start[row] + hi[row] - h2), pa.array(l2.astype(np.int32)), pa.array(h2.astype(np.int32)), pa.array(around, pa.binary())], ["key", "context", "tkey", "start", "lo", "hi", "around"])
+
+    return rows.select("key", "context", "tkey", "start", "lo", "hi", "around").mapInArrow(run, OCCURRENCE)
 
-    return docs.select(text).mapInArrow(run, "khash long, salt int, tkey binary, start long, more int, before int, around binary")
 
+RUN = "tkey binary, start long, upto long"
 
-def _matches(found: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
-    """Runs (tkey, start, upto) of repeated strings; of suffixes in several groups also each group's distinct strings (wid), to be counted over the groups, without upto if the group itself shows that they repeat."""
+
+def _judged(rows: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
+    """Runs of repeated strings of occurrences; those with one key (at most HOT) are compared with each other."""
     k = length - length // 2
-    schema = "tkey binary, start long, upto long, wid long"
 
-    def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        khash, salt = t.column("khash").to_numpy().view(np.uint64), t.column("salt").to_numpy()
-        start, more, before = (t.column(c).to_numpy().astype(np.int64) for c in ("start", "more", "before"))
+    def judge(t: pa.Table) -> pa.RecordBatch:
+        key = t.column("key").to_numpy().view(np.uint64)
+        start, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("start", "lo", "hi"))
         col = t.column("around").combine_chunks()
         data, at = flat_bytes(col if isinstance(col, pa.Array) else col.chunk(0))
-        n = more + 1
+        n = hi - lo + 1
         row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        lo = at[row] + nth
-        wid = mix(span_hash(prefix_hash(data), lo, lo + k) ^ mix(khash[row] + (before[row] - nth).astype(np.uint64)))
-        _, back, count = np.unique(wid, return_inverse=True, return_counts=True)
-        twice = count[back] > 1
+        begin = at[row] + nth
+        string = mix(span_hash(prefix_hash(data), begin, begin + k) ^ mix(key[row] + (hi[row] - nth).astype(np.uint64)))
+        _, back = np.unique(string, return_inverse=True)
+        twice = np.bincount(back)[back] > 1
         # consecutive repeated strings of a row are one run
         edge = np.r_[True, (row[1:] != row[:-1]) | (twice[1:] != twice[:-1])]
         first = np.flatnonzero(edge & twice)
         cuts = np.flatnonzero(edge)
         last = np.r_[cuts[1:], len(row)][np.searchsorted(cuts, first)] - 1
         keys = t.column("tkey").combine_chunks()
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[first])), pa.array(start[row[first]] + nth[first]), pa.array(start[row[first]] + nth[last] + length), pa.nulls(len(first), pa.int64())], ["tkey", "start", "upto", "wid"])
-        for i in range(0, len(row), 1 << 20):
-            j = slice(i, i + (1 << 20))
-            often = np.flatnonzero(salt[row[j]] > 0) + i
-            if len(often):
-                _, one = np.unique(wid[often], return_index=True)
-                one = often[one]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[one])), pa.array(start[row[one]] + nth[one]), pa.array(start[row[one]] + nth[one] + length, mask=twice[one]), pa.array(wid[one].view(np.int64))], ["tkey", "start", "upto", "wid"])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row[first])), pa.array(start[row[first]] + nth[first]), pa.array(start[row[first]] + nth[last] + length)], ["tkey", "start", "upto"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -181,20 +222,49 @@ def _matches(found: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
             if rows < chunk:
                 continue
             t = pa.Table.from_batches(held)
-            key, salt = t.column("khash").to_numpy(), t.column("salt").to_numpy()
-            cut = int(np.flatnonzero((key != key[-1]) | (salt != salt[-1]))[-1]) + 1 if (key[0], salt[0]) != (key[-1], salt[-1]) else 0
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if cut:
-                yield from judge(t.slice(0, cut).combine_chunks())
+                yield judge(t.slice(0, cut).combine_chunks())
                 rest = t.slice(cut)
                 held, rows = rest.to_batches(), rest.num_rows
         if rows:
-            yield from judge(pa.Table.from_batches(held).combine_chunks())
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "khash", "salt").sortWithinPartitions("khash", "salt").mapInArrow(run, schema)
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, keep_text: bool = False) -> DataFrame:
+            yield judge(pa.Table.from_batches(held).combine_chunks())
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, RUN)
+
+
+def _runs(rows: DataFrame, length: int) -> DataFrame:
+    """Runs (tkey, start, upto) of repeated strings.
+
+    Occurrences whose context is the same repeat each other whole, and one stands for them. Where at most HOT contexts
+    share a key they are compared; else their strings are halved into classes with keys of more bytes, at most until a
+    class has one string, whose contexts are all the same.
+    """
+    out: list[DataFrame] = []
+    level = 0
+    while True:
+        rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "occurrences")
+        contexts = materialize(rows.groupBy("context").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.first("key").alias("key")), "contexts")
+        sizes = contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
+        kept = materialize(contexts.join(sizes, "key").select("uid", (F.col("contexts") > HOT).alias("hot")), "kept")
+        same = rows.select("context", "tkey", "start", (F.col("start") + F.col("hi") - F.col("lo") + length).alias("upto")).join(contexts.where("n > 1").select("context"), "context", "left_semi")
+        out.append(same.select("tkey", "start", "upto").distinct())
+        out.append(_judged(rows.join(kept.where("not hot").select("uid"), "uid"), length))
+        hot = kept.where("hot")
+        if not hot.limit(1).count():
+            break
+        level += 1
+        rows = _halved(rows.join(hot.select("uid"), "uid"), length, level)
+    out = [materialize(x, "runs") for x in out]
+    runs = out[0]
+    for x in out[1:]:
+        runs = runs.union(x)
+    return runs
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 3, keep_text: bool = False) -> DataFrame:
     """docs' other columns with n_bytes, n_removed, n_spans and kept_sha256; with keep_text also what is left, as kept_bytes."""
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept_bytes"] if keep_text else [])
     spark = docs.sparkSession
@@ -203,19 +273,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     for i in range(batches):
         family.add(entries.where(F.col("batch") == i))
     repeated = materialize(family.found(), "repeated")
-    again, hot = bloom_of(repeated, "khash"), bloom_of(repeated.where(F.col("n") > HOT), "khash")
-    runs = materialize(_matches(_occurrences(docs, text, length, again, hot), length), "runs")
-    open_ = runs.where("wid is not null")
-    over = open_.groupBy("wid").agg(F.count("*").alias("groups")).where("groups > 1").select("wid")
-    cuts = runs.where("wid is null").select("tkey", "start", "upto").union(open_.where("upto is not null").join(over, "wid", "left_semi").select("tkey", "start", "upto"))
+    cuts = _runs(_occurrences(docs, text, length, bloom_of(repeated, "khash")), length)
     # copies of a text list the same runs
+    own = {c: column_name(docs, c) for c in ("tkey", "maybe", "size", "sha", "cuts")}
     listed = cuts.distinct().groupBy("tkey").agg(F.collect_list(F.struct("start", "upto")).alias("cuts"))
     listed = materialize(listed.withColumn("h", F.conv(F.hex(F.substring("tkey", 1, 8)), 16, -10).cast("long")), "cuts")
     cells, bits = bloom_of(listed, "h")
     sent = spark.sparkContext.broadcast(cells.tobytes())
 
     keep = [c for c in docs.columns if c not in made and c != text]
-    own = {c: column_name(docs, c) for c in ("tkey", "maybe", "size", "sha")}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts go on only where runs may be listed for them."""
@@ -231,13 +297,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     schema = plus(docs.select(*keep), {own["tkey"]: "binary", own["size"]: "long", own["sha"]: "string", own["maybe"]: "binary"})
     rows = docs.select(*keep, text).mapInArrow(split, schema)
-    joined = rows.join(listed.select(F.col("tkey").alias(own["tkey"]), "cuts"), own["tkey"], "left")
+    joined = rows.join(listed.select(F.col("tkey").alias(own["tkey"]), F.col("cuts").alias(own["cuts"])), own["tkey"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, own["maybe"]):
                 removed, spans, sha, left = [], [], s.column(own["sha"]).to_pylist(), []
-                for i, (t, c) in enumerate(zip(s.column(own["maybe"]), s.column("cuts").to_pylist(), strict=True)):
+                for i, (t, c) in enumerate(zip(s.column(own["maybe"]), s.column(own["cuts"]).to_pylist(), strict=True)):
                     t = t.as_py()
                     gone = number = 0
                     if c:
