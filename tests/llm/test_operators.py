@@ -163,6 +163,34 @@ def test_packing_is_whole_and_tight(spark, docs, none):
     assert packing.pack_documents(none, VOCAB).count() == 0
 
 
+def luhn(digits):
+    odd, even = digits[::-1][::2], digits[::-1][1::2]
+    return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
+
+
+def plain_spans(text):
+    """The base patterns written out again."""
+    count = lambda s: sum(c in "0123456789" for c in s)
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: max(map(int, s.split("."))) <= 255),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= count(s) <= 19 and luhn(re.sub("[ -]", "", s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= count(s) <= 15),
+    )
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="the tables are not here")
+def test_personal_data_of_the_table(spark):
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    want = {i: plain_spans(t) for i, t in texts(rows)}
+    assert any(want.values())
+    for r in pii.detect(rows).collect():
+        assert r.base_sha256 == hashlib.sha256(",".join(want[r.doc_id]).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in want[r.doc_id]) for k in ("email", "ip", "card", "phone")]
+        assert set(want[r.doc_id]) <= set(r.spans.split(","))
+
+
 def test_personal_data(spark, docs, none):
     t = "mail a.b@c.org, call +1 (632) 555-4827 or 4111-1111-1111-1111 at 10.0.0.1; 300.1.1.1; x [at] y [dot] com; plus one six three two five five five four eight two seven"
     r = pii.detect(spark.createDataFrame([(1, t, "a")], "doc_id long, text string, spans string"), redact=True).first()
@@ -171,7 +199,7 @@ def test_personal_data(spark, docs, none):
     assert ("email", "x [at] y [dot] com") in found and ("email", "a.b@c.org") in found and ("card", "4111-1111-1111-1111") in found
     assert ("phone", "plus one six three two five five five four eight two seven") in found
     assert "4111" not in r.text and "[CARD]" in r.text and "300.1.1.1" in r.text
-    base = [f"{k}:{m.start()}:{m.end()}" for k, p, ok in (("email", pii.EMAIL, lambda s: True), ("ip", pii.IP, pii._is_ip), ("card", pii.CARD, lambda s: 13 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))), ("phone", pii.PHONE, lambda s: 9 <= len(re.sub(r"\D", "", s)) <= 15)) for m in p.finditer(t) if ok(m[0])]
+    base = plain_spans(t)
     assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
     assert pii.detect(docs).count() == docs.count() and pii.detect(none).count() == 0
 
@@ -183,6 +211,9 @@ def test_personal_data_partly_in_disguise():
         ("call plus 49 151 23456789 now", ("phone", "plus 49 151 23456789")),
         ("card 4111 1111 1111 111 one ok", ("card", "4111 1111 1111 111 one")),
         ("host ten one dot two dot 3 dot four end", ("ip", "one dot two dot 3 dot four")),
+        ("call +1\u00a0632\u00a0555\u00a04827 now", ("phone", "+1\u00a0632\u00a0555\u00a04827")),
+        ("card 4111\u00a01111\u00a01111\u00a01111 ok", ("card", "4111\u00a01111\u00a01111\u00a01111")),
+        ("call +49 \u00b9\u00b2\u00b3 45678\u00b9 now", ("phone", "+49 \u00b9\u00b2\u00b3 45678\u00b9")),
         ("write user at seven dot com", ("email", "user at seven dot com")),
         ("write jane at firma dot nl today", ("email", "jane at firma dot nl")),
         ("write jane dot doe at mail dot firma dot it", ("email", "jane dot doe at mail dot firma dot it")),
@@ -212,19 +243,43 @@ def test_language_of_copies(spark):
     assert all(sample["cc"].count(f"number {i} ") <= 1 for i in range(5)) and sample["cc"].count("copy") == 4
 
 
-def test_phrases_equal_greedy_search():
-    model = (("a", "the cat sat on the mat"), ("b", "der hund lief"))
-    text = "the mat sat der hund xyz"
-    got, _ = langid.phrases([text], model)
+def greedy_phrases(model, text):
+    """Longest matches one after the other, by search in the model's texts; a letter that no match begins with is a phrase."""
     _, code, _, _, _ = langid.machine(model)
-    for i, (_, t) in enumerate(model):
-        s, c, n, at = bytes(code[ord(x)] for x in t), bytes(code[ord(x)] for x in text), 0, 0
+    fold = lambda t: re.sub(b"\0+", b"\0", bytes(code[ord(x)] for x in t))
+    out = []
+    for _, known in model:
+        s, c, n, at = fold(known), fold(text), 0, 0
         while at < len(c):
             k = 1
             while at + k < len(c) and c[at : at + k + 1] in s:
                 k += 1
             at, n = at + k, n + 1
-        assert got[0, i] == n
+        out.append(n)
+    return out
+
+
+def test_phrases_equal_greedy_search(monkeypatch):
+    model = (("a", "the cat sat on the mat and the rat ran far from the tall man"), ("b", "der hund lief und der mann kam nie mehr an den see"))
+    r = random.Random(5)
+    words = [w for _, t in model for w in t.split()] + ["xyz", "über", "12"]
+    many = ["the mat sat der hund xyz", "", None, "a", " ".join(r.choices(words, k=900)), " ".join(r.choices(words, k=7000)), "x" * 500]
+    for stretch in (langid.STRETCH, 7):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        got, letters = langid.phrases(many, model)
+        for i, t in enumerate(many):
+            if t:
+                assert got[i].tolist() == greedy_phrases(model, t), i
+    assert letters.tolist() == [sum(x.isalpha() for x in t or "") for t in many]
+
+
+def test_language_is_that_with_the_fewest_phrases(spark):
+    model = {"a": "the cat sat on the mat and the rat ran", "b": "der hund lief und der mann kam", "c": "le chat est sur la table"}
+    rows = [(i, " ".join(random.Random(i).choices(model["abc"[i % 3]].split(), k=3 + i % 40))) for i in range(60)]
+    for r in langid.detect(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text AS was"), model).collect():
+        n = greedy_phrases(tuple(sorted(model.items())), r.was)
+        low, second = sorted(n)[:2]
+        assert r.lang_pred == "abc"[n.index(low)] and abs(r.score - second / (second + low)) < 1e-12
 
 
 def test_toxicity(spark, docs, none):

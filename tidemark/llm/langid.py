@@ -7,7 +7,8 @@ side, one character a step.
 
 Defined cases: a null text or one without letters gives `und` and score 0; no labelled rows give `und` everywhere;
 ties go to the smaller language name; repeated rows are repeated in the result; an empty table gives an empty result.
-Texts are parsed whole, in stretches of `STRETCH` characters, each of which costs at most one phrase more.
+Texts of any length are parsed whole: stretches of a long one are parsed side by side, and again from the state in
+which the stretch before has ended, until no such state changes, so that the count is that of one parse.
 """
 
 from __future__ import annotations
@@ -144,13 +145,28 @@ def phrases(texts: list[str | None], model: tuple[tuple[str, str], ...]) -> tupl
     length = np.minimum(STRETCH, size[owner] - nth * STRETCH)
     order = np.argsort(-length, kind="stable")
     start, length, owner = start[order], length[order], owner[order]
-    state = np.repeat(roots[None, :], len(owner), 0)
-    count = np.ones(state.shape, np.int32)
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
-    for t, k in enumerate(active):
-        v = table[state[:k] + c[start[:k] + t][:, None]]
-        count[:k] += v >> 30
-        state[:k] = v & (_FLAG - 1)
+    nth = nth[order]
+    # where in this order the stretch before and the next one of the same text are
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    follows = np.flatnonzero(nth > 0)
+    before = place[order[follows] - 1]
+    enter = np.repeat(roots[None, :], len(owner), 0)
+    leave, count = enter.copy(), np.zeros(enter.shape, np.int32)
+    todo = np.arange(len(owner))
+    while len(todo):
+        state, found = enter[todo], np.zeros((len(todo), len(langs)), np.int32)
+        n, first = length[todo], start[todo]
+        active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
+        for t, k in enumerate(active):
+            v = table[state[:k] + c[first[:k] + t][:, None]]
+            found[:k] += v >> 30
+            state[:k] = v & (_FLAG - 1)
+        leave[todo], count[todo] = state, found
+        changed = (enter[follows] != leave[before]).any(1)
+        enter[follows] = leave[before]
+        todo = np.sort(follows[changed])
+    count[nth == 0] += 1
     out = np.zeros((len(texts), len(langs)))
     for i in range(len(langs)):
         out[:, i] = np.bincount(owner, count[:, i], len(texts))

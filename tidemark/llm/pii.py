@@ -5,7 +5,7 @@ digits become ASCII, spelled digits become digits, and "at" and "dot" in words o
 Each rewritten character remembers which source characters it stands for, so that what the same patterns find in the
 rewritten text is mapped back to spans of the source. Such a span is added unless it overlaps a plain one of its kind.
 
-Defined cases: null text is an empty text (no spans); ties can't occur, since spans of a kind don't overlap; repeated
+Defined cases: null text is an empty text (no spans); texts of any length are read whole, one at a time; ties can't occur, since spans of a kind don't overlap; repeated
 rows are repeated in the result; an empty table gives an empty result.
 """
 
@@ -81,13 +81,13 @@ _DOT = r"[\x20]*[\[({<][\x20]*(?:dot|\.|punkt|point|punto)[\x20]*[\])}>][\x20]*|
 _MAIL = re.compile(rf"[A-Za-z0-9._%+-]+(?:(?:{_DOT})[A-Za-z0-9_%+-]+)*(?:{_AT_BOX}|@)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
 _MAIL_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _ADDRESS = re.compile(rf"[0-9]{{1,3}}(?:(?:{_DOT})[0-9]{{1,3}}){{3}}", re.I)
-#: What a disguise can't do without (in RE2's syntax too): letters of other scripts, bracketed signs, "at" before a host, spelled digits in a row.
+#: What a disguise can't do without (in RE2's syntax too): letters of other scripts, unbroken blanks, raised digits, bracketed signs, "at" before a host, spelled digits in a row.
 _HINT_TEXT = (
-    r"[^\x00-\x{24F}]|\x{AD}|(?i:[\[({<] *(?:at|@|arroba|arobase|dot|\.|punkt|point|punto) *[\])}>]|\b(?:at|arroba|arobase) +[A-Za-z0-9-]+(?:\.[A-Za-z0-9]| +(?:dot|punkt|point|punto)\b)"
+    r"[^\x00-\x{24F}]|[\x{A0}\x{AD}\x{B2}\x{B3}\x{B9}]|(?i:[\[({<] *(?:at|@|arroba|arobase|dot|\.|punkt|point|punto) *[\])}>]|\b(?:at|arroba|arobase) +[A-Za-z0-9-]+(?:\.[A-Za-z0-9]| +(?:dot|punkt|point|punto)\b)"
     r"|(?:[0-9]|\b(?:" + _NUMBER + r")) +(?:dot|punkt|point|punto) +(?:[0-9]|(?:" + _NUMBER + r")\b)|\b(?:" + _NUMBER + r")[ .,-]+(?:" + _NUMBER + r")[ .,-]+(?:" + _NUMBER + r")\b"
     r"|\b(?:" + _NUMBER + r")[ .,-]{1,2}[0-9]|[0-9][ .,-]{1,2}(?:" + _NUMBER + r")\b|\bplus[ .,-]{1,2}(?:" + _NUMBER + r"|[0-9]))"
 )
-_HINT = re.compile(_HINT_TEXT.replace(r"\x{24F}", r"\u024f").replace(r"\x{AD}", r"\xad"))
+_HINT = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _HINT_TEXT))
 #: Last labels that a host in plain words must have after a full stop, or after a word for it other than "dot", which may be a word of the sentence.
 _LAST = "com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es|at|ch|us|ai|dev|app|me|example|test|invalid"
 _BARE = re.compile(rf"[A-Za-z0-9._%+-]+(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+[A-Za-z0-9_%+-]+)*[\x20]+(?:at|arroba|arobase)[\x20]+[A-Za-z0-9-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[A-Za-z0-9-]+)*(?:[\x20]+dot[\x20]+[A-Za-z]{{2,63}}|(?:[\x20]+(?:punkt|point|punto)[\x20]+|\.)(?:{_LAST}))(?![\w-])", re.I)
