@@ -127,7 +127,7 @@ def test_repeated_strings_of_the_table(spark):
 def test_tokens_equal_the_library(docs, none):
     lib = Tokenizer.from_file(VOCAB)
     for leaf in (bpe.LEAF, 64):
-        got = bpe.encode_decode(docs, VOCAB, ids=True, leaf=leaf).collect()
+        got = bpe.encode_decode(docs.selectExpr("*", "1 AS ids_", "2 AS word_", "3 AS part_ids", "4 AS row_key"), VOCAB, ids=True, leaf=leaf).collect()
         want = sorted((str(i), tuple(lib.encode(t, add_special_tokens=False).ids)) for i, t in texts(docs))
         assert sorted((str(r.doc_id), tuple(r.ids)) for r in got) == want
         assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(i), t) for i, t in texts(docs))

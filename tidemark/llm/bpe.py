@@ -9,7 +9,8 @@ Inside a task the words of many texts are found with array operations, and each
 with letters beyond the Latin blocks go through the tokenizer library itself; results are the same.
 
 Defined cases: null text is an empty text (0 tokens); the special token's own spelling inside a text becomes the
-special token, as in the library; repeated rows are repeated in the result.
+special token, as in the library; repeated rows are repeated in the result; other columns are kept, but for those
+named like a result column, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -271,7 +272,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
                 yield rows(s, voc, [got[at[i] : at[i + 1]] for i in range(s.num_rows)])
 
     no, part = column_name(docs, "part_no"), column_name(docs, "part_text")
-    key = column_name(docs, "row_key")
+    key, own_ids, own_word = (column_name(docs, c) for c in ("row_key", "part_ids", "part_word"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,14 +286,14 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
         voc = vocabulary(path)
         for b in batches:
             found = [leaf_part(voc, t.encode(), 0, len(t.encode())) for t in b.column(part).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.ids.astype("<u4").tobytes() for p in found], pa.binary()), pa.array([np.packbits(p.word).tobytes() for p in found], pa.binary())], [*b.schema.names, "ids_", "word_"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.ids.astype("<u4").tobytes() for p in found], pa.binary()), pa.array([np.packbits(p.word).tobytes() for p in found], pa.binary())], [*b.schema.names, own_ids, own_word])
 
     def whole(t: pa.Table) -> pa.Table:
         voc = vocabulary(path)
         t = t.sort_by(no).combine_chunks()
         texts = [x.encode() for x in t.column(part).to_pylist()]
         parts, lo = [], 0
-        for x, i, w in zip(texts, t.column("ids_").to_pylist(), t.column("word_").to_pylist(), strict=True):
+        for x, i, w in zip(texts, t.column(own_ids).to_pylist(), t.column(own_word).to_pylist(), strict=True):
             got = np.frombuffer(i, "<u4")
             size = voc.lengths[got]
             parts.append(Part(lo, lo + len(x), got, lo + np.cumsum(size) - size, np.unpackbits(np.frombuffer(w, np.uint8), count=len(got)).astype(bool)))
@@ -304,5 +305,5 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
     cut_schema = plus(docs.select(*keep), {key: "long", no: "int", part: "string"})
     pieces = docs.where(long).select(*keep, text, F.monotonically_increasing_id().alias(key)).mapInArrow(cut, cut_schema)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = pieces.repartition(n, key, no).mapInArrow(leaves, plus(pieces, {"ids_": "binary", "word_": "binary"}))
+    done = pieces.repartition(n, key, no).mapInArrow(leaves, plus(pieces, {own_ids: "binary", own_word: "binary"}))
     return small.unionByName(done.groupBy(key).applyInArrow(whole, schema))
