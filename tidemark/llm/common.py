@@ -7,6 +7,7 @@ memory doesn't depend on how many rows it gets.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = spark.conf.get("tidemark.own.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.own.checkpoint.dir", found)
     return found.rstrip("/")

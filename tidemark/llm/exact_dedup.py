@@ -100,7 +100,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", most_b
     asked = rows.mapInArrow(ask, T.StructType([*rows.schema.fields, T.StructField("again", T.BooleanType())]))
     again = asked.where("again")
     order = F.struct(F.isnull("id").alias("none"), "id", "uid")
-    best = again.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    # written, so that both sides of the join are dealt by Spark for the join alone, which then splits the rows of a large group
+    best = materialize(again.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("size")), "groups")
     found = again.join(best, "sha").select("row", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.uid") == F.col("uid")).alias("kept"), F.col("sha").alias("text_sha256"))
     alone = asked.where(~F.col("again")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(found).select("row.*", *made)
