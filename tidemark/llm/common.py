@@ -86,7 +86,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     out = []
@@ -97,8 +96,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = powers(1 << max(16, int(n).bit_length()))
+    if not _powers or len(_powers[0][0]) < n:
+        _powers[:] = [powers(1 << max(16, int(n).bit_length()))]
+    a, b = _powers[0]
     return a[:n], b[:n]
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bloom_has, bloom_of, column_name, flat_bytes, materialize, mix, plus, prefix_hash, slices, span_hash
+from tidemark.llm.common import SLICE_BYTES, bloom_has, bloom_of, column_name, flat_bytes, materialize, mix, plus, prefix_hash, slices, span_hash
 
 #: So many contexts of a suffix at most are compared in one task; more are dealt to classes first.
 HOT, STEP = 256, 1 << 20
@@ -141,7 +141,7 @@ def _occurrences(docs: DataFrame, text: str, length: int, again: tuple[np.ndarra
         own = np.frombuffer(sent.value, np.uint8)
         k = length // 2
         for b in rows:
-            for s in slices(b, text):
+            for s in slices(b, text, SLICE_BYTES // 4):  # contexts overlap: they have about five times the bytes
                 data, at = flat_bytes(s.column(text))
                 a, h, p, q = chosen(data, at, length)
                 some = bloom_has(own, again[1], h)
@@ -189,7 +189,7 @@ def _halved(rows: DataFrame, length: int, level: int) -> DataFrame:
 RUN = "tkey binary, start long, upto long"
 
 
-def _judged(rows: DataFrame, length: int, chunk: int = 8_000) -> DataFrame:
+def _judged(rows: DataFrame, length: int, chunk: int = 4_000) -> DataFrame:
     """Runs of repeated strings of occurrences; those with one key (at most HOT) are compared with each other."""
     k = length - length // 2
 
