@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -335,7 +336,6 @@ def test_main_text_without_shared_texts(spark):
     got = {r.page_id: r.text for r in html_wrap.extract(frame).collect()}
     assert [got[i] for i in range(8)] == [f"Story {i}. Its end {i}." for i in range(8)]
     assert got[20] == "We use cookies. Story {i}. Its end {i}."
-    assert html_wrap.wrappers(frame, "url", "html").where("host = 'a.org'").count() == 1
     assert html_wrap.blocks(page.replace("{i}", "1"))[0][0] == html_wrap.blocks(page.replace("{i}", "23"))[0][0]
 
 
@@ -344,6 +344,46 @@ def test_wrappers_align():
     assert w == ["a", ["+", "b"], ["?", "d"], "c"]
 
 
+def test_positions_are_those_of_the_cheapest_path():
+    """Against all ways to give tokens to positions."""
+    r = random.Random(8)
+    for _ in range(60):
+        pages = [[r.choice("abcd") for _ in range(r.randint(1, 6))] for _ in range(4)]
+        w = html_wrap.Wrapper(html_wrap.functools.reduce(html_wrap.align, map(html_wrap.fold, pages)))
+        for page in pages:
+            got = w.match(page)
+            assert [w.labels[i] for i in got] == page  # the wrapper has every page's tokens
+            cost = lambda way: w.needed[way[0]] + sum(w.step(p, c) for p, c in zip(way, way[1:]))
+            assert cost(got) == min(map(cost, itertools.product(*(w.at[t] for t in page))))
+
+
+def test_main_text_is_chosen_by_position(spark):
+    """Teasers have the path of the story's blocks; only their position in the wrapper tells them apart, and that of a notice its constancy."""
+    page = "<body><div><p>We think that cookies are good for you and for us.</p></div><div><p>Story {i} begins with words that matter.</p><p>It goes on, {i} times.</p><p>It ends, {i}.</p></div><div><p><a href=x>See {i} too</a></p><p><a href=y>And {i}</a></p></div></body>"
+    rows = [(i, "http://a.org/", page.replace("{i}", str(i * 37)), "h", "w") for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string")
+    want = [f"Story {i * 37} begins with words that matter. It goes on, {i * 37} times. It ends, {i * 37}." for i in range(9)]
+    got = html_wrap.extract(frame)
+    assert {"host", "wrapper", "page_id", "url", "text", "n_chars"} == set(got.columns)
+    assert [r.text for r in got.orderBy("page_id").collect()] == want
+    names = {c: c for c in html_wrap.PARSED}
+    parsed = html_wrap.parse(frame.select("page_id", "url", "html"), "url", "html", names, ["page_id"])
+    rule = html_wrap.inferred(parsed, names).first()
+    one = parsed.where("page_id = 1").first()
+    fixed = html_wrap.constants(one.paths, one.texts, html_wrap._shared(rule.shared))
+    flat = html_wrap.json.dumps(list(dict.fromkeys(html_wrap.tokens(one.paths, one.lows, fixed))))  # a set of tokens instead of the wrapper
+    assert html_wrap.main_text(one.paths, one.texts, one.lows, rule.wrapper, rule.shared, rule.weights) == want[1]
+    assert html_wrap.main_text(one.paths, one.texts, one.lows, flat, rule.shared, rule.weights) != want[1]
+
+
+def test_main_text_of_odd_pages(spark):
+    page = "<body><article><p>Long {i}.</p></article></body>"
+    many = "<body><article>" + "".join(f"<p>Block {i}</p>" for i in range(5000)) + "</article></body>"
+    rows = [(1, None, page), (1, None, page), (2, "http://a.org", many), (3, "http://a.org", "<p>un<b>closed"), (4, "", "<<>>&amp; x < y"), (None, "http://a.org", page)]
+    got = sorted((str(r.page_id), r.text) for r in html_wrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got[:2] == [("1", "Long {i}.")] * 2 and got[2] == ("2", " ".join(f"Block {i}" for i in range(5000))) and got[3][1] == "unclosed" and len(got) == 6
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1200, 24)).astype(np.float32)

@@ -1,15 +1,22 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A page is a stream of block tags and text slots; inline markup belongs to the text around it, and end tags that may be
-left out are put in. Each slot is known by its path of tags and marks, from which numbers and titles are left out, and
-carries what was counted over all pages of the host: pages, characters, characters inside links, and whether its text
-is always the same; texts that at least half of an unmarked slot's pages share are counted too. These are the host's wrapper.
-Each page is judged by the slots that it has itself, so that a host may mix templates. A host's pages aren't aligned:
-statistics of paths and texts replace the expression that fold() and align() make.
-
-Defined cases: a null or empty page has an empty text; a page without a host shares a wrapper with others of the kind;
-repeated rows are repeated in the result; an empty table gives an empty result. A page of a host with one page is
-judged by its own wrapper. A shared text stays if the page's main slots hold no other.
+left out are put in. A token is a block of text, known by its path of tags and marks (without numbers and titles) and by
+how far up the page has left its elements since the block before. A text that at least half of the host's pages with
+that path share is a token of its own, a constant of the template.
+
+Wrappers: side-by-side repeats of a page's tokens are folded into repeated groups. The distinct expressions of a host
+are aligned in groups of bounded size, round after round, until one is left: what only some have becomes optional, and
+a group takes in its single form. The expression is free of unions. Each page is then matched against its host's
+wrapper (the cheapest path through it), so that each block falls to a position of it. Constancy, length and links are
+counted for each position over all pages, and a page's main text is chosen from its own positions, so that a host may
+mix templates: positions inside `article` or `main`, else those that vary and hold text rather than links, in the
+deepest element that has most of the host's text.
+
+Defined cases: a null or empty page has an empty text; a page of any length is read whole, in one task; a page without
+a host shares a wrapper with others of the kind; repeated rows are repeated in the result; other columns are kept, but
+for those named text and n_chars; an empty table gives an empty result. A page of a host with one page is judged by its
+own wrapper. A constant stays if the page's main positions hold no other text.
 """
 
 from __future__ import annotations
@@ -53,20 +60,21 @@ def _common(mark: str) -> str:
     return mark
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of each block of text, in page order."""
+def blocks(page: str) -> list[tuple[str, str, int, int]]:
+    """(path, text, characters in links, elements that are open since before the block ahead) of each block of text, in page order."""
     stack: list[tuple[str, str]] = []
-    out: list[tuple[str, str, int]] = []
+    out: list[tuple[str, str, int, int]] = []
     path = ""
     held: list[str] = []
-    in_link = links = at = 0
+    in_link = links = at = low = 0
 
     def flush() -> None:
-        nonlocal held, links
+        nonlocal held, links, low
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             if text:
-                out.append((path, text, links))
+                out.append((path, text, links, low))
+                low = len(stack)
             held, links = [], 0
 
     def text(part: str) -> None:
@@ -104,6 +112,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 continue
             mark = ".".join(_common(x.lower()) for a in ATTRIBUTE.finditer(m[4] or "") for x in (a[1] or a[2] or a[3] or "").split())
             stack.append((name, f"{name}.{mark}" if mark else name))
+        low = min(low, len(stack) - (not m[2]))
         path = ">".join(s for _, s in stack)
     text(page[at:])
     flush()
@@ -168,11 +177,57 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def slots(wrapper: list) -> list[str]:
-    out: list[str] = []
-    for x in wrapper:
-        out += [x] if isinstance(x, str) else slots(x[1:])
-    return list(dict.fromkeys(out))
+class Wrapper:
+    """An expression's positions, and how pages are matched against it."""
+
+    def __init__(self, expression: list):
+        self.labels: list[str] = []
+        self.needed: list[int] = []  # how many positions before each one can't be left out
+        self.groups: list[list[tuple[int, int]]] = []  # repeated groups around each position, from the inside
+        self._add(expression, False)
+        self.needed.append(self.needed[-1] + self._last if self.labels else 0)
+        self.at: dict[str, list[int]] = {}
+        for i, x in enumerate(self.labels):
+            self.at.setdefault(x, []).append(i)
+
+    def _add(self, items: list, optional: bool) -> None:
+        for x in items:
+            if isinstance(x, str):
+                self.needed.append(self.needed[-1] + self._last if self.labels else 0)
+                self._last = int(not optional)
+                self.labels.append(x)
+                self.groups.append([])
+            else:
+                begin = len(self.labels)
+                self._add(x[1:], optional or x[0] == "?")
+                if x[0] == "+":
+                    for g in self.groups[begin:]:
+                        g.append((begin, len(self.labels)))
+
+    def step(self, p: int, c: int) -> int:
+        """Positions that have to be left out to go from p to c; a leap back outside a repeated group costs as much as the whole."""
+        if c > p:
+            return self.needed[c] - self.needed[p + 1]
+        for i, j in self.groups[p]:
+            if i <= c:
+                return self.needed[j] - self.needed[p + 1] + self.needed[c] - self.needed[i]
+        return 1 + len(self.labels)
+
+    def match(self, tokens: list[str]) -> list[int]:
+        """The position of each token on the cheapest path, ties to earlier positions; -1 for a token that the wrapper hasn't."""
+        ways: dict[int, tuple[int, tuple | None]] = {-1: (0, None)}
+        for t in tokens:
+            new = {}
+            for c in self.at.get(t, ()):
+                cost, p = min((w[0] + (self.step(q, c) if q >= 0 else self.needed[c]), q) for q, w in ways.items())
+                new[c] = (cost, (c, ways[p][1]))
+            ways = new or {q: (w[0], (-1, w[1])) for q, w in ways.items()}
+        path = min((w[0], q) for q, w in ways.items())[1]
+        out, x = [], ways[path][1]
+        while x:
+            out.append(x[0])
+            x = x[1]
+        return out[::-1]
 
 
 @functools.lru_cache(10_000)
@@ -192,27 +247,25 @@ def _marked(path: str) -> bool:
     return any(x.split(".")[0] in MAIN or ".main" in x for x in path.split(">"))
 
 
-def main_slots(paths: list[str], weights: dict[str, float]) -> set[str]:
-    """Which of a page's slots are the main text; weights are those of the host's unmarked slots that aren't left out."""
-    own = [p for p in dict.fromkeys(paths) if not _outside(p)]
-    marked = [p for p in own if _marked(p)]
+def main_slots(slots: list[tuple[int, str]], weights: dict[int, float]) -> set[int]:
+    """Which of a page's positions (with their paths) are the main text; weights are those of the host's unmarked positions that vary and aren't left out."""
+    path_of = {s: p for s, p in slots if not _outside(p)}
+    marked = {s for s, p in path_of.items() if _marked(p)}
     if marked:
-        return set(marked)
-    own = [p for p in own if p in weights]
-    named = [p for p in own if any(BODY.search(x.partition(".")[2]) for x in p.split(">"))]
-    if named:
-        own = named
+        return marked
+    own = {s: p for s, p in path_of.items() if s in weights}
+    named = {s: p for s, p in own.items() if any(BODY.search(x.partition(".")[2]) for x in p.split(">"))}
+    own = named or own
     # the deepest element that still holds most of the text
-    weight = {p: weights[p] for p in own}
-    total = sum(weight.values())
+    total = sum(weights[s] for s in own)
     best = ""
-    prefixes = {">".join(p.split(">")[:i]) for p in own for i in range(1, len(p.split(">")) + 1)}
+    prefixes = {">".join(p.split(">")[:i]) for p in own.values() for i in range(1, len(p.split(">")) + 1)}
     for x in sorted(prefixes, key=lambda x: (x.count(">"), x)):
-        if sum(w for p, w in weight.items() if (p + ">").startswith(x + ">")) >= 0.7 * total and x.count(">") >= best.count(">"):
+        if sum(weights[s] for s, p in own.items() if (p + ">").startswith(x + ">")) >= 0.7 * total and x.count(">") >= best.count(">"):
             best = x
     while best.split(">")[-1].split(".")[0] in {"p", "li", "h1", "h2", "h3", "h4", "td", "pre", "blockquote"} and ">" in best:
         best = best.rpartition(">")[0]
-    return {p for p in own if (p + ">").startswith(best + ">")}
+    return {s for s, p in own.items() if (p + ">").startswith(best + ">")}
 
 
 def host_of(url: str | None) -> str:
@@ -220,86 +273,175 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-@functools.lru_cache(100_000)
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, rule): weights of each host's unmarked slots and the texts that its pages share, from all its pages."""
+@functools.lru_cache(100_000)
+def _path_hash(path: str) -> int:
+    return _hash(path)
+
+
+def constants(paths: list[str], texts: list[str], shared: set[tuple[int, int]]) -> list[int | None]:
+    """The hash of each block's text where it is shared on the host's pages."""
+    if not shared:
+        return [None] * len(paths)
+    return [h if (_path_hash(p), h := _hash(t)) in shared else None for p, t in zip(paths, texts, strict=True)]
+
+
+def tokens(paths: list[str], lows: list[int], fixed: list[int | None]) -> list[str]:
+    """A page's stream; constants have their text's hash."""
+    return [f"{low}|{p}" if c is None else f"{low}|{p}={c}" for p, low, c in zip(paths, lows, fixed, strict=True)]
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: Expressions that are aligned in one task, about.
+GROUP = 32
+PARSED = {"host": "string", "paths": "array<string>", "texts": "array<string>", "links": "array<int>", "lows": "array<int>"}
+
+
+def parse(pages: DataFrame, url: str, html: str, names: dict[str, str], keep: list[str]) -> DataFrame:
+    """keep's columns with each page's host and blocks; names are those of the new columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, html):
-                found: dict[tuple[str, str], list] = {}
-                seen: dict[tuple[str, int, int], int] = {}
-                for u, page in zip(s.column(url).to_pylist(), s.column(html).to_pylist(), strict=True):
-                    host = host_of(u)
-                    whole: dict[str, list[str]] = {}
-                    for p, t, n in blocks(page or ""):
-                        x = found.setdefault((host, p), [0, 0, 0, None, None])
-                        x[1] += len(t)
-                        x[2] += n
-                        whole.setdefault(p, []).append(t)
-                    for p, ts in whole.items():
-                        x, h = found[host, p], zlib.crc32(" ".join(ts).encode("utf-8", "replace"))
-                        x[0], x[3], x[4] = x[0] + 1, min(h, h if x[3] is None else x[3]), max(h, h if x[4] is None else x[4])
-                        if not _outside(p) and not _marked(p):
-                            for t in set(ts):
-                                k = (host, _hash(p), _hash.__wrapped__(t))
-                                seen[k] = seen.get(k, 0) + 1
-                rows = [(h, p, _hash(p), None, *x) for (h, p), x in found.items()] + [(h, None, p, t, n, 0, 0, None, None) for (h, p, t), n in seen.items()]
-                kinds = (pa.string(), pa.string(), *[pa.int64()] * 7)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], ["host", "path", "slot", "same", "pages", "chars", "links", "lo", "hi"])
-
-    kinds = "host string, path string, slot long, same long, pages long, chars long, links long, lo long, hi long"
-    parts = pages.select(url, html).mapInArrow(streams, kinds).groupBy("host", "path", "slot", "same").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    parts = materialize(parts.where("path is not null or pages >= 3"), "streams")
-    stats = parts.where("path is not null")
-    # at most two texts for each of a page's blocks of a slot
-    shared = parts.where("path is null").select("host", "slot", "same", F.col("pages").alias("n")).join(stats.select("host", "slot", "pages"), ["host", "slot"]).where("2 * n >= pages")
-    shared = shared.groupBy("host").agg(F.collect_list(F.struct("slot", "same")).alias("shared"))
-    stats = stats.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "links", "lo", "hi")).alias("stats"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                got = [blocks(x or "") for x in s.column(html).to_pylist()]
+                lists = [pa.array([[x[i] for x in g] for g in got], pa.list_(t)) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int32()), (3, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array([host_of(u) for u in s.column(url).to_pylist()], pa.string()), *lists], [*keep, *names.values()])
+
+    return pages.select(*dict.fromkeys([*keep, url, html])).mapInArrow(run, plus(pages.select(*keep), {names[k]: v for k, v in PARSED.items()}))
+
+
+def _rows(b: pa.RecordBatch, names: dict[str, str]) -> Iterator[tuple]:
+    return zip(*(b.column(names[c]).to_pylist() for c in PARSED), strict=True)
+
+
+def shared_texts(parsed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(host, shared): path and text, as hashes, of unmarked blocks that at least three pages and half of those with the path have, as JSON. At most two texts for each of a page's blocks of a path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[tuple[str, int, int | None], int] = {}
+            for host, paths, texts, _, _ in _rows(b, names):
+                own = {(_path_hash(p), _hash(t)) for p, t in zip(paths, texts, strict=True) if not _outside(p) and not _marked(p)}
+                for k in [(host, p, t) for p, t in own] + [(host, p, None) for p in {p for p, _ in own}]:
+                    seen[k] = seen.get(k, 0) + 1
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, n) for k, n in seen.items()), strict=True) if seen else [[]] * 4, kinds, strict=True)], ["host", "path", "same", "pages"])
+
+    counts = materialize(parsed.select(*names.values()).mapInArrow(run, "host string, path long, same long, pages long").groupBy("host", "path", "same").agg(F.sum("pages").alias("pages")).where("pages >= 3"), "shared")
+    whole = counts.where("same is null").select("host", "path", F.col("pages").alias("all"))
+    often = counts.where("same is not null").join(whole, ["host", "path"]).where("2 * pages >= all")
+    return often.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("path", "same")))).alias("shared"))
+
+
+@functools.lru_cache(256)
+def _shared(text: str | None) -> set[tuple[int, int]]:
+    return {tuple(x) for x in json.loads(text or "[]")}
+
+
+def wrappers(parsed: DataFrame, shared: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(host, wrapper): one expression for each host, as JSON."""
+    host = names["host"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for st, sh in zip(b.column("stats").to_pylist(), b.column("shared").to_pylist(), strict=True):
-                own = [x for x in st if not _outside(x["path"]) and not _marked(x["path"])]
-                fine = [x for x in own if not (x["pages"] >= 3 and x["lo"] == x["hi"]) and x["links"] <= 0.5 * x["chars"]]
-                out.append(json.dumps([{x["path"]: max(0, x["chars"] - 2 * x["links"]) for x in fine}, sorted([x["slot"], x["same"]] for x in sh or [])]))
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], ["host", "rule"])
+            out = {(r[0], json.dumps(fold(tokens(r[1], r[4], constants(r[1], r[2], _shared(sh)))))) for r, sh in zip(_rows(b, names), b.column("shared").to_pylist(), strict=True)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], ["host", "wrapper"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        one = functools.reduce(align, map(json.loads, sorted(t.column("wrapper").to_pylist())))
+        return pa.table({"host": [t.column("host")[0].as_py()], "wrapper": [json.dumps(one)]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
-    return stats.join(shared, "host", "left").mapInArrow(judge, "host string, rule string")
+    kinds = "host string, wrapper string"
+    joined = parsed.select(*names.values()).join(shared.withColumnRenamed("host", "its_host"), F.col(host) == F.col("its_host"), "left").drop("its_host")
+    found = materialize(joined.mapInArrow(run, kinds).distinct(), "expressions")
+    while True:
+        number = found.groupBy("host").agg(F.count("*").alias("n"))
+        if not number.where("n > 1").limit(1).count():
+            return found
+        dealt = found.join(number, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / GROUP)))
+        found = materialize(dealt.groupBy("host", "part").applyInArrow(merge, kinds).distinct(), "expressions")
 
 
-@functools.lru_cache(64)
-def _rule(rule: str | None) -> tuple[dict[str, float], set[tuple[int, int]]]:
-    weights, shared = json.loads(rule or "[{}, []]")
-    return weights, {tuple(x) for x in shared}
+@functools.lru_cache(256)
+def _wrapper(text: str) -> tuple[Wrapper, dict[tuple[str, ...], list[int]]]:
+    return Wrapper(json.loads(text)), {}
 
 
-def main_text(page: str, rule: str | None) -> str:
-    """The text of a page's main slots without what the host's pages share in unmarked ones."""
-    weights, shared = _rule(rule)
-    got = blocks(page)
-    keep = main_slots([p for p, _, _ in got], weights)
-    own = [(p, t) for p, t, _ in got if p in keep]
-    return " ".join([t for p, t in own if not shared or (_hash(p), _hash.__wrapped__(t)) not in shared] or [t for _, t in own])
+def positions(wrapper: str, stream: list[str]) -> list[int]:
+    w, known = _wrapper(wrapper)
+    key = tuple(stream)
+    if key not in known:
+        if len(known) > 200:
+            known.clear()
+        known[key] = w.match(stream)
+    return known[key]
+
+
+def judged(parsed: DataFrame, rules: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(host, weights): text that isn't in links for each unmarked position that varies, as JSON."""
+    host = names["host"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[tuple[str, int], list] = {}
+            for (h, paths, texts, links, lows), w, sh in zip(_rows(b, names), b.column("wrapper").to_pylist(), b.column("shared").to_pylist(), strict=True):
+                if all(_outside(p) or _marked(p) for p in paths):
+                    continue
+                whole: dict[int, list[str]] = {}
+                for i, p, t, n in zip(positions(w, tokens(paths, lows, constants(paths, texts, _shared(sh)))), paths, texts, links, strict=True):
+                    if i < 0 or _outside(p) or _marked(p):
+                        continue
+                    x = found.setdefault((h, i), [0, 0, 0, None, None])
+                    x[1] += len(t)
+                    x[2] += n
+                    whole.setdefault(i, []).append(t)
+                for i, ts in whole.items():
+                    x, c = found[h, i], zlib.crc32(" ".join(ts).encode("utf-8", "replace"))
+                    x[0], x[3], x[4] = x[0] + 1, min(c, c if x[3] is None else x[3]), max(c, c if x[4] is None else x[4])
+            kinds = (pa.string(), pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, *x) for k, x in found.items()), strict=True) if found else [[]] * 7, kinds, strict=True)], ["host", "slot", "pages", "chars", "links", "lo", "hi"])
+
+    joined = parsed.select(*names.values()).join(rules.withColumnRenamed("host", "its_host"), F.col(host) == F.col("its_host")).drop("its_host")
+    stats = joined.mapInArrow(run, "host string, slot int, pages long, chars long, links long, lo long, hi long").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    fine = stats.where("not (pages >= 3 and lo = hi) and 2 * links <= chars")
+    return fine.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("slot", F.greatest(F.lit(0), F.col("chars") - 2 * F.col("links")))))).alias("weights"))
+
+
+@functools.lru_cache(256)
+def _weights(text: str | None) -> dict[int, float]:
+    return {int(k): v for k, v in json.loads(text or "{}").items()}
+
+
+def main_text(paths: list[str], texts: list[str], lows: list[int], wrapper: str, shared: str | None, weights: str | None) -> str:
+    """The text of a page's main positions without the template's constants."""
+    fixed = constants(paths, texts, _shared(shared))
+    place = positions(wrapper, tokens(paths, lows, fixed))
+    keep = main_slots(list(zip(place, paths, strict=True)), _weights(weights))
+    own = [(t, c) for i, t, c in zip(place, texts, fixed, strict=True) if i in keep]
+    return " ".join([t for t, c in own if c is None] or [t for t, _ in own])
+
+
+def inferred(parsed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(host, wrapper, shared, weights) from all pages of each host."""
+    shared = materialize(shared_texts(parsed, names), "constants")
+    rules = materialize(wrappers(parsed, shared, names).join(shared, "host", "left"), "wrappers")
+    return materialize(rules.join(judged(parsed, rules, names), "host", "left"), "rules")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages' columns (without the markup) with text and n_chars."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    host, slot = column_name(pages, "host"), column_name(pages, "rule")
-    rules = materialize(wrappers(pages, url, html), "wrappers").select(F.col("host").alias(host), F.col("rule").alias(slot))
-    host_sql = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    joined = pages.select(*keep, html, host_sql.alias(host)).join(rules, host, "left")
+    names = {c: column_name(pages, c) for c in PARSED}
+    parsed = materialize(parse(pages, url, html, names, keep), "blocks")
+    rule = {c: column_name(parsed, c) for c in ("its_host", "wrapper", "shared", "weights")}
+    rules = inferred(parsed, names).select(F.col("host").alias(rule["its_host"]), *(F.col(c).alias(rule[c]) for c in ("wrapper", "shared", "weights")))
+    joined = parsed.join(rules, F.col(names["host"]) == F.col(rule["its_host"]), "left").drop(rule["its_host"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, html):
-                out = [main_text(page or "", r) for page, r in zip(s.column(html).to_pylist(), s.column(slot).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*keep, "text", "n_chars"])
+            out = [main_text(r[1], r[2], r[4], *x) for r, x in zip(_rows(b, names), zip(*(b.column(rule[c]).to_pylist() for c in ("wrapper", "shared", "weights")), strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*keep, "text", "n_chars"])
 
     return joined.mapInArrow(run, plus(pages.select(*keep), {"text": "string", "n_chars": "long"}))
