@@ -63,8 +63,14 @@ def spike_penalty(x: Column, t: float) -> Column:
 
 
 def sign_transition(prev: Column, cur: Column) -> Column:
-    side = lambda c: F.when(c > 0, "positive").when(c < 0, "negative").otherwise("zero")
-    return F.when(prev.isNull() | cur.isNull(), "unknown").when(F.signum(prev) == F.signum(cur), F.concat(F.lit("stays_"), side(cur))).otherwise(F.concat(side(prev), F.lit("_to_"), side(cur)))
+    """How the sign changed; NONE if it didn't."""
+    was, new = F.signum(prev), F.signum(cur)
+    label = F.when(was == new, "NONE").when(new == 0, "TO_ZERO").otherwise(F.concat(_side(was), F.lit("_TO_"), _side(new)))
+    return F.when(prev.isNull() | cur.isNull(), "UNKNOWN").otherwise(label)
+
+
+def _side(sign: Column) -> Column:
+    return F.when(sign > 0, "POSITIVE").when(sign < 0, "NEGATIVE").otherwise("ZERO")
 
 
 def growth(cur: Column, prev: Column) -> tuple[Column, Column]:
@@ -79,15 +85,26 @@ def growth(cur: Column, prev: Column) -> tuple[Column, Column]:
 
 
 def coverage_bucket(c: Column) -> Column:
-    return F.when(c < 0.25, "[0,.25)").when(c < 0.5, "[.25,.5)").when(c < 0.75, "[.5,.75)").when(c < 0.9, "[.75,.9)").when(c.isNotNull(), "[.9,1]")
+    """The quarter, half, three quarters or nine tenths that a share reaches."""
+    steps = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    out = F.when(c.isNull(), None)
+    for low, high in zip(steps, steps[1:]):
+        out = out.when((c < high) | (high == 1.0), f"[{low:.2f},{high:.2f}{']' if high == 1.0 else ')'}")
+    return out
+
 
+# What is taken out of logs, and what stands for it.
+REDACTIONS = ((r"\b(?:proxy-)?authorization\s*[:=]\s*(?:bearer\s+)?\S+", "<redacted-authorization>"), (r"(\bhost\s*=\s*['\"]?)[^,'\")\s]+", "{1}<redacted-host>"), (r"https?://[^\s'\"<>\]\[)]+", "<redacted-url>"))
 
-def redact(c: Column) -> Column:
-    """Secrets, authorization headers, addresses and hosts as placeholders."""
-    c = F.regexp_replace(c, r"(?i)(authorization\s*[:=]\s*)\S+(\s+\S+)?", "$1[redacted]")
-    c = F.regexp_replace(c, r"(?i)\b((?:api[_-]?key|token|secret|password)\s*[:=]\s*)\S+", "$1[redacted]")
-    c = F.regexp_replace(c, r"https?://[^\s\"'<>]+", "[url]")
-    return F.regexp_replace(c, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[host]")
+
+def redact(c: Column, secret: Column | str | None = None) -> Column:
+    """A caller's secret, authorization headers, hosts and addresses as placeholders, in this order."""
+    if secret is not None:
+        s = F.lit(secret) if isinstance(secret, str) else secret
+        c = F.when(F.length(s) > 0, F.replace(c, s, F.lit("<redacted>"))).otherwise(c)
+    for pattern, by in REDACTIONS:
+        c = F.regexp_replace(c, "(?i)" + pattern, by.replace("{1}", "$1"))
+    return c
 
 
 def version_id(dataset: str, *cols: str) -> Column:
@@ -95,6 +112,11 @@ def version_id(dataset: str, *cols: str) -> Column:
     return F.concat(F.lit(dataset + ":"), F.substring(F.sha2(F.to_json(F.struct(*sorted(cols))), 256), 1, 20))
 
 
+def period_number(year: Column, quarter: Column) -> Column:
+    """Quarters as consecutive integers, for tests of continuity; null for a quarter that isn't one."""
+    return F.when(quarter.between(1, 4), year * 4 + quarter - 1)
+
+
 def fiscal_period(c: Column) -> tuple[Column, Column]:
     """The end of the quarter meant by YYYYQn, YYYYH1, YYYYFY or a quarter-end date, and its number year * 4 + quarter - 1; else null."""
     text = F.upper(F.trim(c.cast("string")))
@@ -102,7 +124,7 @@ def fiscal_period(c: Column) -> tuple[Column, Column]:
     named = F.last_day(F.make_date(F.substring(text, 1, 4).try_cast("int"), quarter * 3, F.lit(1)))
     dated = norm_date(c)
     end = F.coalesce(named, F.when(F.date_format(dated, "MM-dd").isin("03-31", "06-30", "09-30", "12-31"), dated))
-    return end, F.year(end) * 4 + F.quarter(end) - 1
+    return end, period_number(F.year(end), F.quarter(end))
 
 
 def first_available(*candidates: tuple[str, Column]) -> tuple[Column, Column]:

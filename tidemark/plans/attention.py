@@ -28,7 +28,7 @@ def f17(v: Views) -> DataFrame:
     return v.events.select("event_id", F.round(positive_penalty(F.col("value"), 50.0), 6).alias("positive"), F.round(spike_penalty(F.col("value"), 50.0), 6).alias("spike"))
 
 
-@query("F21_coverage_bucket", " SELECT user_id, CASE WHEN c < 0.25 THEN '[0,.25)' WHEN c < 0.5 THEN '[.25,.5)' WHEN c < 0.75 THEN '[.5,.75)' WHEN c < 0.9 THEN '[.75,.9)' ELSE '[.9,1]' END AS bucket FROM (SELECT user_id, count(DISTINCT ts::date) / 30 AS c FROM events GROUP BY user_id)")
+@query("F21_coverage_bucket", " SELECT user_id, CASE WHEN c < 0.25 THEN '[0.00,0.25)' WHEN c < 0.5 THEN '[0.25,0.50)' WHEN c < 0.75 THEN '[0.50,0.75)' WHEN c < 0.9 THEN '[0.75,0.90)' ELSE '[0.90,1.00]' END AS bucket FROM (SELECT user_id, count(DISTINCT ts::date) / 30 AS c FROM events GROUP BY user_id)")
 def f21(v: Views) -> DataFrame:
     share = v.events.groupBy("user_id").agg((F.count_distinct(F.to_date("ts")) / 30).alias("c"))
     return share.select("user_id", coverage_bucket(F.col("c")).alias("bucket"))

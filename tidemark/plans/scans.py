@@ -34,7 +34,7 @@ def f05(v: Views) -> DataFrame:
     return rows.select("c_custkey", F.round(safe_change(F.col("c_acctbal"), F.col("p")), 6).alias("change"), F.round(safe_ratio(F.col("c_acctbal"), F.col("p")), 6).alias("ratio"))
 
 
-@query("F06_flags", " SELECT o_orderkey, o_orderstatus = 'F' AS flag, CASE WHEN o_totalprice < 0.25e5 THEN '[0,.25)' WHEN o_totalprice < 0.5e5 THEN '[.25,.5)' WHEN o_totalprice < 0.75e5 THEN '[.5,.75)' WHEN o_totalprice < 0.9e5 THEN '[.75,.9)' ELSE '[.9,1]' END AS bucket FROM orders")
+@query("F06_flags", " SELECT o_orderkey, o_orderstatus = 'F' AS flag, CASE WHEN o_totalprice < 0.25e5 THEN '[0.00,0.25)' WHEN o_totalprice < 0.5e5 THEN '[0.25,0.50)' WHEN o_totalprice < 0.75e5 THEN '[0.50,0.75)' WHEN o_totalprice < 0.9e5 THEN '[0.75,0.90)' ELSE '[0.90,1.00]' END AS bucket FROM orders")
 def f06(v: Views) -> DataFrame:
     text = F.when(F.col("o_orderstatus") == "F", " Yes ").otherwise("no")
     return v.orders.select("o_orderkey", loose_bool(text).alias("flag"), coverage_bucket(F.col("o_totalprice") / 1e5).alias("bucket"))
@@ -47,37 +47,9 @@ def f07(v: Views) -> DataFrame:
     return rows.select("p_partkey", value.alias("value"), source.alias("source"))
 
 
-@query("F22_redact", r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(authorization\s*[:=]\s*)\S+(\s+\S+)?', '\1[redacted]', 'gi'), '\b((?:api[_-]?key|token|secret|password)\s*[:=]\s*)\S+', '\1[redacted]', 'gi'), 'https?://[^\s" + '"' + r"''<>]+', '[url]', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '[host]', 'g') AS text FROM documents")
+@query("F22_redact", r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(t, source, '<redacted>'), '\b(?:proxy-)?authorization\s*[:=]\s*(?:bearer\s+)?\S+', '<redacted-authorization>', 'gi'), '(\bhost\s*=\s*[" + "''" + r'"]?)[^,' + "''" + r'")\s]+' + r"', '\1<redacted-host>', 'gi'), 'https?://[^\s''" + '"' + r"<>\]\[)]+', '<redacted-url>', 'gi') AS text FROM (SELECT doc_id, source, text || ' Authorization: Bearer ' || doc_id || ' host=h' || doc_id || '.lan, key ' || source AS t FROM documents)")
 def f22(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", redact(F.col("text")).alias("text"))
-
-
-@query("J01_full_outer", " SELECT code, idx, a.close, b.vol FROM (SELECT * FROM px WHERE (code + idx) % 5 <> 0) a FULL JOIN (SELECT code, idx, vol FROM px WHERE (code + idx) % 7 <> 0) b USING (code, idx)")
-def j01(v: Views) -> DataFrame:
-    a = v.px.where((F.col("code") + F.col("idx")) % 5 != 0).select("code", "idx", "close")
-    b = v.px.where((F.col("code") + F.col("idx")) % 7 != 0).select("code", "idx", "vol")
-    return a.join(b, ["code", "idx"], "full_outer").select("code", "idx", "close", "vol")
-
-
-@query("J02_as_of_reference", " SELECT a.as_of, r.code, max(p.session_date) AS last_date, arg_max(p.close, p.idx) AS close FROM as_of a CROSS JOIN ref r JOIN px p ON p.code = r.code AND p.idx <= a.idx GROUP BY a.as_of, r.code")
-def j02(v: Views) -> DataFrame:
-    """The latest row on or before each date, found as the row whose successor comes after the date."""
-    nxt = F.lead("idx").over(Window.partitionBy("code").orderBy("idx"))
-    rows = v.px.withColumn("nxt", nxt)
-    a = F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at")))
-    return rows.join(a, (F.col("idx") <= F.col("at")) & (F.col("nxt").isNull() | (F.col("nxt") > F.col("at")))).select("as_of", "code", F.col("session_date").alias("last_date"), "close")
-
-
-@query("J07_semi_anti", " SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has FROM customer")
-def j07(v: Views) -> DataFrame:
-    done = v.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    c = v.customer.select("c_custkey")
-    return c.join(done, "c_custkey", "left_semi").withColumn("has", F.lit(True)).union(c.join(done, "c_custkey", "left_anti").withColumn("has", F.lit(False)))
-
-
-@query("J10_overlap", " SELECT idx, count(a.code) + 0 AS left_n, count(b.code) AS right_n, count(CASE WHEN a.code = b.code THEN 1 END) AS both_n, round(count(CASE WHEN a.code = b.code THEN 1 END) / greatest(count(a.code), count(b.code)), 6) AS coverage FROM (SELECT code, idx FROM px WHERE code % 5 <> 0) a FULL JOIN (SELECT code, idx FROM px WHERE code % 7 <> 0) b USING (code, idx) GROUP BY idx")
-def j10(v: Views) -> DataFrame:
-    a = v.px.where("code % 5 <> 0").select("code", "idx", F.lit(1).alias("a"))
-    b = v.px.where("code % 7 <> 0").select("code", "idx", F.lit(1).alias("b"))
-    g = a.join(b, ["code", "idx"], "full_outer").groupBy("idx").agg(F.count("a").alias("left_n"), F.count("b").alias("right_n"), F.count(F.col("a") + F.col("b")).alias("both_n"))
-    return g.withColumn("coverage", F.round(F.col("both_n") / F.greatest("left_n", "right_n"), 6))
+    """Texts with a header, a host and the row's source as its secret at their end."""
+    own = [F.col("doc_id").cast("string"), F.col("source")]
+    text = F.concat("text", F.lit(" Authorization: Bearer "), own[0], F.lit(" host=h"), own[0], F.lit(".lan, key "), own[1])
+    return v.documents.select("doc_id", redact(text, own[1]).alias("text"))

@@ -51,10 +51,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def run(self, sql: str) -> DataFrame:
+        """A query over the stand-ins."""
+        for b in BASE:
+            self.table(b).createOrReplaceTempView(b)
+        return self.spark.sql(with_views(sql))
+
     def __getattr__(self, name: str) -> DataFrame:
-        if name in BASE:
-            return self.table(name)
-        args = {b: self.table(b) for b in BASE}
-        for b, df in args.items():
-            df.createOrReplaceTempView(b)
-        return self.spark.sql(with_views(f"SELECT * FROM {name}"))
+        return self.table(name) if name in BASE else self.run(f"SELECT * FROM {name}")
