@@ -240,23 +240,24 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
 
     Occurrences whose context is the same repeat each other whole, and one stands for them. Where at most HOT contexts
     share a key they are compared; else their strings are halved into classes with keys of more bytes, at most until a
-    class has one string, whose contexts are all the same.
+    class has one string, whose contexts are all the same. The sides that are hashed hold numbers only, so that the
+    bytes of contexts are dealt out without being sorted, at every size of the input.
     """
     out: list[DataFrame] = []
     level = 0
     while True:
         rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "occurrences")
         contexts = materialize(rows.groupBy("context").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.first("key").alias("key")), "contexts")
-        sizes = contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
-        kept = materialize(contexts.join(sizes, "key").select("uid", (F.col("contexts") > HOT).alias("hot")), "kept")
-        same = rows.select("context", "tkey", "start", (F.col("start") + F.col("hi") - F.col("lo") + length).alias("upto")).join(contexts.where("n > 1").select("context"), "context", "left_semi")
+        sizes = materialize(contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1"), "sizes")
+        kept = materialize(contexts.join(sizes.hint("shuffle_hash"), "key").select("uid", (F.col("contexts") > HOT).alias("hot")), "kept")
+        same = rows.select("context", "tkey", "start", (F.col("start") + F.col("hi") - F.col("lo") + length).alias("upto")).join(contexts.where("n > 1").select("context").hint("shuffle_hash"), "context", "left_semi")
         out.append(same.select("tkey", "start", "upto").distinct())
-        out.append(_judged(rows.join(kept.where("not hot").select("uid"), "uid"), length))
+        out.append(_judged(rows.join(kept.where("not hot").select("uid").hint("shuffle_hash"), "uid"), length))
         hot = kept.where("hot")
         if not hot.limit(1).count():
             break
         level += 1
-        rows = _halved(rows.join(hot.select("uid"), "uid"), length, level)
+        rows = _halved(rows.join(hot.select("uid").hint("shuffle_hash"), "uid"), length, level)
     out = [materialize(x, "runs") for x in out]
     runs = out[0]
     for x in out[1:]:
