@@ -1,8 +1,9 @@
 """Selection of what was knowable on each date, and arithmetic on comparable periods.
 
 All operators work on every entity and every as-of date at once. A version of a fact is current from the day it became
-available until the day of the next version, so that facts are sorted once, whatever the number of as-of dates; the
-as-of table holds a date for each session at most and is small by nature, which Spark's size check decides.
+available until the day of the next version, so that facts are sorted once, whatever the number of as-of dates, and
+meet the dates by the years in which they are current. The as-of table holds a date for each session at most; whether
+it is broadcast is left to Spark's check of its size.
 """
 
 from __future__ import annotations
@@ -15,16 +16,103 @@ from pyspark.sql import functions as F
 from tidemark.functions import growth
 
 
-def versions(facts: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Each version with `until`, the day from which a later one replaces it; versions replaced on their own day go."""
+def versions(facts: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str | Column] = ()) -> DataFrame:
+    """Each version with `until`, the day from which a later one replaces it; versions replaced on their own day go.
+
+    Null is a value of a key. Of versions of one day the last by `ties` stays, nulls being first.
+    """
     w = Window.partitionBy(*keys).orderBy(available, *ties)
     return facts.where(F.col(available).isNotNull()).withColumn("until", F.lead(available).over(w)).where(F.col("until").isNull() | (F.col("until") > F.col(available)))
 
 
-def as_of(facts: DataFrame, dates: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str] = ()) -> DataFrame:
-    """For each as-of date, the latest version available on it of each key."""
-    v = versions(facts, keys, available, ties)
-    return dates.join(v, (F.col(available) <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))).drop("until")
+def as_of(facts: DataFrame, dates: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str | Column] = ()) -> DataFrame:
+    """For each as-of date, the latest version available on it of each key.
+
+    Versions meet the dates of the years that they are current in, so that the join is one by equality.
+    """
+    last = dates.agg(F.max(F.year("as_of"))).scalar()
+    years = F.sequence(F.year(available), F.greatest(F.year(available), F.coalesce(F.year("until"), last)))
+    v = versions(facts, keys, available, ties).withColumn("in_year", F.explode(years))
+    dated = dates.withColumn("in_year", F.year("as_of"))
+    return dated.join(v, (dated["in_year"] == v["in_year"]) & (F.col(available) <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))).drop("until", "in_year")
+
+
+#: What tells simultaneous reports apart; a column that a table hasn't is left out.
+IDENTITY = ("report_family", "statement_type", "duration", "scope", "unit", "accounting", "report_type", "type", "comp_type", "end_type", "bz_item", "curr_type")
+#: The order in which a period that doesn't match is explained.
+MISMATCHES = {"duration": "period_semantics_mismatch", "report_family": "report_family_mismatch", "statement_type": "statement_type_mismatch", "scope": "scope_mismatch", "unit": "unit_mismatch", "accounting": "accounting_semantics_mismatch"}
+
+
+def as_of_identity(facts: DataFrame, dates: DataFrame, entity: str = "code", period: str = "end_date", available: str = "available", notice: str = "notice", flag: str = "update_flag", arrival: str = "ord") -> DataFrame:
+    """For each as-of date, the latest version of each report.
+
+    A report is an entity's period with all columns of IDENTITY that the table has. Later versions are those available
+    later, then announced later, then with the larger number as update flag (none: -1), then those that arrived later.
+    """
+    keys = [entity, period, *(c for c in IDENTITY if c in facts.columns)]
+    rank = F.coalesce(F.col(flag).try_cast("double"), F.lit(-1.0))
+    return as_of(facts.where(F.col(period).isNotNull()), dates, keys, available, [F.col(notice).asc_nulls_first(), rank, F.col(arrival)])
+
+
+def _explained(rows: DataFrame, target: Column, keep: Sequence[str], by: Sequence[str], candidates: Sequence[str]) -> DataFrame:
+    """rows with the row at `target` (a period number) that has the same identity, as `other`, and `matched`: null where the period is missing, else how many identity columns some row of it has alike, in the order of MISMATCHES."""
+    names = list(MISMATCHES)
+    pool = rows.select(*(F.col(c).alias("_" + c) for c in by), F.col("pn").alias("_pn"), F.struct(*names, *candidates).alias("_c"))
+    same = F.col("_target") == F.col("_pn")
+    for c in by:
+        same = same & (F.col(c) == F.col("_" + c))
+    both = rows.withColumn("_target", target).join(pool, same, "left")
+    alike = F.lit(0)
+    for i in range(len(names), 0, -1):
+        all_alike = F.lit(True)
+        for n in names[:i]:
+            all_alike = all_alike & F.col(n).eqNullSafe(F.col("_c")[n])
+        alike = F.when(all_alike, F.greatest(F.lit(i), alike)).otherwise(alike)
+    alike = F.when(F.col("_c").isNotNull(), alike)
+    best = both.groupBy(*keep).agg(F.max(alike).alias("matched"), F.max(F.when(alike == len(names), F.struct(*[F.col("_c")[c].alias(c) for c in candidates]))).alias("other"))
+    return best
+
+
+def _mismatch(matched: Column, missing: str) -> Column:
+    out = F.when(matched.isNull(), missing)
+    for i, why in enumerate(MISMATCHES.values()):
+        out = out.when(matched == i, why)
+    return out
+
+
+def unknown_part(names: Sequence[str] = tuple(MISMATCHES)) -> Column:
+    return F.coalesce(*[F.when(F.col(c).isNull() | (F.col(c) == "UNKNOWN"), f"unknown_{c}") for c in names])
+
+
+def match_comparable(known: DataFrame, value: str, lag: int, by: Sequence[str] = ("as_of", "code"), key: Sequence[str] = ("report_type",)) -> DataFrame:
+    """Each row's comparable period `lag` quarters before, by entity and identity, with guarded growth and the first reason against it.
+
+    Reasons, in this order: a part of the identity that isn't known, quarterly comparison of sums that run from the year's
+    start, no such period, the first identity column by which all of its rows differ, a missing value, and those of growth.
+    """
+    keep = [*by, "pn", *MISMATCHES, *key, value]
+    rows = known.select(*keep)
+    best = _explained(rows, F.col("pn") - lag, keep, by, [value])
+    refused = F.when((F.col("duration") == "CUMULATIVE_YTD") & F.lit(lag == 1), "qoq_requires_validated_single_quarter")
+    base = F.col("other")[value]
+    g, why = growth(F.col(value), base)
+    before = F.coalesce(unknown_part(), refused, _mismatch(F.col("matched"), "missing_comparable_period"))
+    return best.withColumn("reason", F.coalesce(before, why)).withColumn("growth", F.when(F.col("reason").isNull(), g)).withColumn("base", F.when(before.isNull(), base)).drop("other", "matched")
+
+
+def quarters_by_identity(known: DataFrame, value: str, by: Sequence[str] = ("as_of", "code"), key: Sequence[str] = ("report_type",)) -> DataFrame:
+    """Single quarters within one identity and year: a sum less the one a quarter before; single quarters pass; else a reason, and the periods drawn on."""
+    keep = [*by, "pn", *MISMATCHES, *key, value]
+    best = _explained(known.select(*keep), F.col("pn") - 1, keep, by, [value])
+    first, single = F.pmod(F.col("pn"), F.lit(4)) == 0, F.col("duration") == "SINGLE_QUARTER"
+    kind = F.when((F.col("duration") != "CUMULATIVE_YTD") & ~single, "unsupported_duration_semantics")
+    before = F.when(~first & ~single, _mismatch(F.col("matched"), "missing_preceding_cumulative_period"))
+    missing = F.when(F.col(value).isNull() | (~first & ~single & F.col("other")[value].isNull()), "missing_value")
+    reason = F.coalesce(unknown_part(), kind, before, missing)
+    out = F.when(single | first, F.col(value)).otherwise(F.col(value) - F.col("other")[value])
+    own, prev = F.col("pn").cast("string"), (F.col("pn") - 1).cast("string")
+    chain = F.when(single | first, own).otherwise(F.concat_ws("|", own, prev))
+    return best.withColumn("reason", reason).withColumn("quarter_value", F.when(F.col("reason").isNull(), out)).withColumn("source_periods", F.when(F.col("reason").isNull(), chain)).drop("other", "matched")
 
 
 def quarters(known: DataFrame, values: Sequence[str], by: Sequence[str] = ("as_of", "code")) -> DataFrame:

@@ -32,6 +32,17 @@ CTES = {
     "statements": """SELECT code, yr, q, pn, end_date, ann_date, update_flag, revenue, profit, 0.3 * revenue AS gross, 1.2 * profit AS operating,
                        profit * (0.5 + (code % 4) / CAST(4 AS double)) - CASE WHEN (code + q) % 5 = 0 THEN 0.12 * revenue ELSE 0 END AS cfo,
                        10 * revenue AS assets, 4 * revenue AS equity, 0.2 * revenue * (1 + q % 3) AS inventories, 0.1 * revenue * (1 + (code + q) % 2) AS receivables FROM income""",
+    # simultaneous reports: the parent's own, with and without a flag, another basis, unit or duration in some years, and a second version on the same day
+    "filings": """SELECT code, yr, q, pn, end_date, ann_date AS available, CASE WHEN code % 5 <> 0 THEN CAST(ann_date - CAST(code % 2 AS int) AS date) END AS notice, CAST(f AS varchar(1)) AS update_flag, ord,
+                    CASE WHEN own = 1 THEN '6' WHEN code % 9 = 4 AND yr % 4 = 2 THEN '2' WHEN code % 4 <> 3 THEN '1' END AS report_type,
+                    CASE WHEN code % 9 = 4 AND yr % 4 = 2 AND own = 0 THEN 'SINGLE_QUARTER' WHEN code % 17 = 5 AND q = 3 THEN 'UNKNOWN' ELSE 'CUMULATIVE_YTD' END AS duration,
+                    CASE WHEN code % 8 = 6 AND yr % 3 = 1 THEN 'raw:group' ELSE 'source_default' END AS report_family, 'INCOME_STATEMENT' AS statement_type,
+                    CASE WHEN own = 1 THEN 'parent_only' WHEN code % 10 = 7 AND pn % 7 = 1 THEN 'source_default' ELSE 'consolidated' END AS scope,
+                    CASE WHEN code % 10 = 3 AND yr % 5 = 2 THEN 'cny:1000' ELSE 'cny:1' END AS unit, CASE WHEN code % 12 = 8 AND yr >= 1999 THEN 'raw:ifrs' ELSE 'source_default' END AS accounting,
+                    CASE WHEN code % 11 = 2 AND q = 2 THEN CAST(NULL AS double) ELSE revenue * x END AS revenue
+                  FROM (SELECT i.*, 0 AS own, CASE WHEN (code + q) % 7 = 0 AND update_flag = 0 THEN NULL ELSE update_flag END AS f, 1 AS ord, 1.0 AS x FROM income i
+                        UNION ALL SELECT i.*, 1, update_flag, 2, 0.4 FROM income i WHERE code % 6 = 0
+                        UNION ALL SELECT i.*, 0, NULL, 3, 0.9 FROM income i WHERE (code + yr + q) % 9 = 0 AND update_flag = 0) z""",
     "ref": """SELECT s_suppkey AS code, CASE WHEN s_suppkey % 11 = 0 THEN 60 ELSE 1 END AS list_idx, CASE WHEN s_suppkey % 23 = 0 THEN 250 END AS delist_idx,
                 CASE WHEN s_suppkey % 19 = 0 THEN 'ST' || s_name ELSE s_name END AS name, CASE WHEN s_suppkey % 29 = 0 THEN '.BJ' ELSE '.SH' END AS board, s_nationkey AS industry FROM supplier""",
 }
