@@ -77,6 +77,42 @@ def forward(entries: DataFrame, px: DataFrame, bench: DataFrame, horizons: DataF
     return out.withColumn("net", F.when(F.col("gross").isNotNull(), F.greatest(F.lit(-1.0), F.col("gross") - cost))).withColumn("excess", F.col("gross") - (F.col("b1") / F.col("b0") - 1))
 
 
+def forward_observation(entries: DataFrame, quotes: DataFrame, halts: DataFrame, bench: DataFrame, horizons: DataFrame, last_idx: int, cost: float = 0.003) -> DataFrame:
+    """Each entry's adjusted return to the exact session h later, what stands against it, and the deepest fall on the way.
+
+    quotes: code, idx, raw, factor; halts: code, idx. An entry without a return has the first status that applies, in the
+    order in which a reader would meet them: the market's window, the history, the entry's row, price and factor, then
+    the exit's row (a halt explains a missing one), price and factor.
+    """
+    q = quotes.select("code", "idx", "raw", (F.col("raw") * F.col("factor")).alias("adj"), F.lit(True).alias("there"))
+    grid = entries.join(F.broadcast(horizons)).withColumn("exit_idx", F.col("idx") + F.col("h"))
+    enter = q.select("code", "idx", *[F.col(c).alias(c + "0") for c in ("raw", "adj", "there")])
+    leave = q.select("code", F.col("idx").alias("exit_idx"), *[F.col(c).alias(c + "1") for c in ("raw", "adj", "there")])
+    out = grid.join(quotes.select("code").distinct().withColumn("known", F.lit(True)), "code", "left").join(enter, ["code", "idx"], "left").join(leave, ["code", "exit_idx"], "left")
+    out = out.join(halts.select("code", F.col("idx").alias("exit_idx"), F.lit(True).alias("halted")).distinct(), ["code", "exit_idx"], "left")
+    bad = lambda c: F.col(c).isNull() | (F.col(c) <= 0)
+    status = (
+        F.when(F.col("exit_idx") > last_idx, "incomplete_market_window").when(F.col("known").isNull(), "missing_price_history").when(F.col("there0").isNull(), "missing_entry_price")
+        .when(bad("raw0"), "invalid_entry_price").when(F.col("adj0").isNull(), "missing_adjustment_factor_entry").when(F.col("adj0") <= 0, "invalid_entry_price")
+        .when(F.col("there1").isNull(), F.when(F.col("halted"), "suspended_at_exit").otherwise("missing_horizon_price"))
+        .when(bad("raw1"), "invalid_exit_price").when(F.col("adj1").isNull(), "missing_adjustment_factor_exit").when(F.col("adj1") <= 0, "invalid_exit_price").otherwise("observed")
+    )
+    out = out.withColumn("status", status).withColumn("gross", F.when(F.col("status") == "observed", F.col("adj1") / F.col("adj0") - 1))
+    b0, b1 = bench.select("idx", F.col("close").alias("b0")), bench.select(F.col("idx").alias("exit_idx"), F.col("close").alias("b1"))
+    out = out.join(F.broadcast(b0), "idx", "left").join(F.broadcast(b1), "exit_idx", "left").withColumn("benchmark", F.col("b1") / F.col("b0") - 1)
+    net = F.when(F.col("gross").isNotNull(), F.greatest(F.lit(-1.0), F.col("gross") - cost))
+    out = out.withColumn("net", net).withColumn("excess", F.col("gross") - F.col("benchmark")).withColumn("net_excess", F.col("net") - F.col("benchmark"))
+    # the way is walked once for the longest horizon of an entry, and each horizon takes the lowest point up to its own end
+    seen = entries.select("as_of", "code", "idx").distinct()
+    most = horizons.agg(F.max("h")).scalar()
+    way = seen.join(q.select("code", F.col("idx").alias("at"), "adj").where("adj is not null"), "code").where((F.col("at") >= F.col("idx")) & (F.col("at") <= F.col("idx") + most))
+    w = Window.partitionBy("as_of", "code").orderBy("at")
+    low = way.withColumn("fall", F.when(F.max("adj").over(w) > 0, F.col("adj") / F.max("adj").over(w) - 1)).withColumn("low", F.min("fall").over(w))
+    lowest = low.join(F.broadcast(horizons)).where(F.col("at") <= F.col("idx") + F.col("h")).groupBy("as_of", "code", "h").agg(F.min("low").alias("drawdown"))
+    out = out.join(lowest, ["as_of", "code", "h"], "left")
+    return out.withColumn("drawdown", F.when(F.col("status") == "observed", F.col("drawdown"))).drop("raw0", "raw1", "adj0", "adj1", "there0", "there1", "known", "halted", "b0", "b1")
+
+
 def summary(x: Column, name: str = "") -> list[Column]:
     return [F.count(x).alias(name + "n"), F.round(F.avg(x), 6).alias(name + "mean"), F.round(F.percentile(x, F.lit(0.5)), 6).alias(name + "median"), F.round(F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25)), 6).alias(name + "iqr"), F.round(F.avg((x > 0).cast("double")), 6).alias(name + "hit")]
 

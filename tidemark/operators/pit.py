@@ -25,16 +25,21 @@ def versions(facts: DataFrame, keys: Sequence[str], available: str, ties: Sequen
     return facts.where(F.col(available).isNotNull()).withColumn("until", F.lead(available).over(w)).where(F.col("until").isNull() | (F.col("until") > F.col(available)))
 
 
+def current_on(rows: DataFrame, dates: DataFrame, available: str) -> DataFrame:
+    """Rows for each as-of date from their day on and before `until` (null: for ever)."""
+    last = dates.agg(F.max(F.year("as_of"))).scalar()
+    years = F.sequence(F.year(available), F.greatest(F.year(available), F.coalesce(F.year("until"), last)))
+    v = rows.withColumn("in_year", F.explode(years))
+    dated = dates.withColumn("in_year", F.year("as_of"))
+    return dated.join(v, (dated["in_year"] == v["in_year"]) & (F.col(available) <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))).drop("until", "in_year")
+
+
 def as_of(facts: DataFrame, dates: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str | Column] = ()) -> DataFrame:
     """For each as-of date, the latest version available on it of each key.
 
     Versions meet the dates of the years that they are current in, so that the join is one by equality.
     """
-    last = dates.agg(F.max(F.year("as_of"))).scalar()
-    years = F.sequence(F.year(available), F.greatest(F.year(available), F.coalesce(F.year("until"), last)))
-    v = versions(facts, keys, available, ties).withColumn("in_year", F.explode(years))
-    dated = dates.withColumn("in_year", F.year("as_of"))
-    return dated.join(v, (dated["in_year"] == v["in_year"]) & (F.col(available) <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))).drop("until", "in_year")
+    return current_on(versions(facts, keys, available, ties), dates, available)
 
 
 #: What tells simultaneous reports apart; a column that a table hasn't is left out.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import date_text, first_available, safe_change
 from tidemark.operators import panel as P
-
+from tidemark.operators import pit
 from tidemark.plans.fundamentals import change_sql, over, over_sql
 from tidemark.plans.panels import bench, p19
 from tidemark.plans.ranking import OUT, PICKS, _alt, outcomes, picks
@@ -98,8 +98,7 @@ def followed(v: Views) -> DataFrame:
     until = F.min("available").over(w.rowsBetween(1, Window.unboundedFollowing))
     later = F.collect_list(F.struct("pn", "available", *METRICS)).over(w.rowsBetween(1, Window.unboundedFollowing))
     rows = ind.withColumn("until", until).withColumn("later", later)
-    dates = F.broadcast(v.as_of.select("as_of"))
-    base = rows.join(dates, (F.col("available") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of"))))
+    base = pit.current_on(rows, v.as_of.select("as_of"), "available")
     after = F.slice(F.filter("later", lambda x: x["available"] > F.col("as_of")), 1, 2)
     out = base.select("as_of", "code", *[F.col(m).alias("b_" + m) for m in METRICS], F.posexplode(after).alias("i", "r"))
     deltas = {m: F.col("r." + m) - F.col("b_" + m) for m in METRICS}

@@ -104,10 +104,11 @@ def w17(v: Views) -> DataFrame:
     return terciles(v.px, ["idx"], "vol", "code").select("idx", "code", "bucket")
 
 
-@query("W18_forward_eligible", " SELECT session_date, idx + 20 <= max(idx) OVER () AS h20, idx + 60 <= max(idx) OVER () AS h60, idx + 120 <= max(idx) OVER () AS h120 FROM cal")
+@query("W18_forward_eligible", " SELECT session_date, idx + 20 <= max(idx) OVER () AS h20, idx + 60 <= max(idx) OVER () AS h60, idx + 120 <= max(idx) OVER () AS h120, idx + 250 <= max(idx) OVER () AS h250, greatest(0, idx + 250 - max(idx) OVER ()) AS censored FROM cal")
 def w18(v: Views) -> DataFrame:
-    last = v.cal.agg(F.max("idx").alias("last"))
-    return v.cal.crossJoin(F.broadcast(last)).select("session_date", *[(F.col("idx") + h <= F.col("last")).alias(f"h{h}") for h in (20, 60, 120)])
+    """Which horizons end within the calendar, and how many sessions the longest one lacks."""
+    last = v.cal.agg(F.max("idx")).scalar()
+    return v.cal.select("session_date", *[(F.col("idx") + h <= last).alias(f"h{h}") for h in (20, 60, 120, 250)], F.greatest(F.lit(0), F.col("idx") + 250 - last).alias("censored"))
 
 
 @query("W19_nth_session", " SELECT a.as_of, c.session_date AS target FROM as_of a LEFT JOIN cal c ON c.idx = a.idx + 20")

@@ -135,10 +135,12 @@ def k08(v: Views) -> DataFrame:
     return v.orders.groupBy(F.col("o_custkey").alias("code")).agg(last.alias("ref_key"))
 
 
-@query("X02_suspended", " SELECT a.as_of, r.code, (r.code * 31 + a.idx) % 97 = 0 AS suspended FROM as_of a CROSS JOIN ref r")
+@query("X02_suspended", " SELECT a.as_of, r.code, EXISTS (SELECT 1 FROM halts h WHERE h.code = r.code AND h.idx = a.idx AND h.kind = 'S') AS suspended FROM as_of a CROSS JOIN ref r")
 def x02(v: Views) -> DataFrame:
-    grid = v.ref.select("code").crossJoin(F.broadcast(v.as_of.select("as_of", "idx")))
-    return grid.select("as_of", "code", ((F.col("code") * 31 + F.col("idx")) % 97 == 0).alias("suspended"))
+    """Whether a dated table of halts has the entity on the day; of typed rows only halts count, not their ends."""
+    grid = v.ref.select("code").join(F.broadcast(v.as_of.select("as_of", "idx")))
+    halts = v.halts.where("kind = 'S'").select("code", "idx", F.lit(True).alias("halted"))
+    return grid.join(halts, ["code", "idx"], "left").select("as_of", "code", F.coalesce("halted", F.lit(False)).alias("suspended"))
 
 
 @query("X10_population", " SELECT a.as_of, p.code, p.session_date FROM (SELECT a.as_of, max(c.idx) AS idx FROM as_of a JOIN px c ON c.idx <= a.idx GROUP BY 1) a JOIN px p ON p.idx = a.idx JOIN ref r ON r.code = p.code WHERE r.board <> '.BJ'")

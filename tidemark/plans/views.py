@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources import materialize
+
 BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events", "documents")
 
 CTES = {
@@ -18,6 +22,11 @@ CTES = {
     "px": "SELECT p.*, c.idx FROM panel p JOIN cal c ON p.session_date = c.session_date",
     "bench": """SELECT CAST(date_trunc('week', l_shipdate) AS date) AS session_date, CAST(sum(CAST(l_extendedprice AS decimal(18,2))) AS double) / sum(l_quantity) AS close
                 FROM lineitem GROUP BY CAST(date_trunc('week', l_shipdate) AS date)""",
+    # quotes with gaps in prices and factors, and halts: the first is read from the panel, the other from events
+    "quotes": """SELECT code, idx, CASE WHEN (code * 3 + idx) % 41 = 0 THEN 0 ELSE close END AS raw, CASE WHEN (code + idx) % 37 = 0 THEN NULL WHEN idx > 180 AND code % 7 = 0 THEN 2.0E0 ELSE 1.0E0 END AS factor
+                 FROM px WHERE code % 31 <> 0""",
+    "halts": """SELECT DISTINCT CAST(1 + (user_id * 7 + event_id) % n AS bigint) AS code, CAST(100 + (day(ts) * 24 + hour(ts)) % 257 AS int) AS idx, CASE WHEN event_id % 4 = 0 THEN 'R' ELSE 'S' END AS kind
+                FROM events, (SELECT count(*) AS n FROM supplier) s""",
     "as_of": """SELECT min(session_date) AS as_of, min(idx) AS idx FROM cal WHERE idx >= 100 GROUP BY year(session_date), quarter(session_date)""",
     "q_flow": """SELECT c_nationkey AS code, CAST(year(o_orderdate) AS int) AS yr, CAST(quarter(o_orderdate) AS int) AS q,
                   sum(CAST(o_totalprice AS decimal(18,2))) AS r, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS decimal(18,2)) ELSE 0 END) AS f
@@ -49,8 +58,19 @@ CTES = {
 
 
 def with_views(sql: str) -> str:
-    """SQL over the stand-ins, with all of them in front."""
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in CTES.items()) + "\n" + sql
+    """SQL over the stand-ins, with those that it needs in front. SQL may begin with a comma and more of its own."""
+    found: set[str] = set()
+
+    def visit(text: str) -> None:
+        for name in set(re.findall(r"\w+", text)) & CTES.keys() - found:
+            found.add(name)
+            visit(CTES[name])
+
+    visit(sql)
+    front = ",\n".join(f"{k} AS ({v})" for k, v in CTES.items() if k in found)
+    if not front:
+        return "WITH " + sql.lstrip().removeprefix(",") if sql.lstrip().startswith(",") else sql
+    return f"WITH {front}\n{sql}"
 
 
 class Views:
@@ -58,6 +78,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -68,5 +89,20 @@ class Views:
             self.table(b).createOrReplaceTempView(b)
         return self.spark.sql(with_views(sql))
 
+    def stored(self, name: str) -> DataFrame:
+        """A stand-in that a query reads several times, written once."""
+        if name not in self._stored:
+            self._stored[name] = materialize(getattr(self, name), name)
+        return self._stored[name]
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """A result that is read several times, written once."""
+        return materialize(df, label)
+
+    def over(self, px: DataFrame, name: str) -> DataFrame:
+        """A stand-in that reads the panel, over a panel that is at hand."""
+        px.createOrReplaceTempView("px")
+        return self.spark.sql(CTES[name])
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.table(name) if name in BASE else self.run(f"SELECT * FROM {name}")
