@@ -6,38 +6,18 @@ memory doesn't depend on how many rows it gets.
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset and all tasks run in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        found = spark.conf.get("tidemark.own.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("tidemark.own.checkpoint.dir", found)
-    return found.rstrip("/")
+from tidemark.sources import materialize  # noqa: F401  (the operators take it from here)
 
-
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SLICE_BYTES = 2 << 20
 
 
 def bucket_of(col: Column, n: int) -> Column:
