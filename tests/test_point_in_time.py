@@ -58,7 +58,7 @@ def test_growth_reasons(spark):
     g, why = growth(F.col("c"), F.col("p"))
     rows = spark.createDataFrame([(2.0, 1.0), (-1.0, 1.0), (1.0, 0.0), (1.0, -2.0), (None, 1.0)], "c double, p double").select(g.alias("g"), why.alias("w"), sign_transition(F.col("p"), F.col("c")).alias("s")).collect()
     assert [r.w for r in rows] == [None, "sign_transition", "invalid_denominator", "negative_denominator", "missing_value"]
-    assert rows[0].g == 1.0 and rows[1].s == "positive_to_negative" and rows[4].s == "unknown"
+    assert rows[0].g == 1.0 and rows[1].s == "POSITIVE_TO_NEGATIVE" and rows[2].s == "ZERO_TO_POSITIVE" and rows[3].s == "NEGATIVE_TO_POSITIVE" and rows[4].s == "UNKNOWN"
 
 
 def test_dates_and_numbers(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.views import Views
@@ -87,8 +87,17 @@ def j09(v: Views) -> DataFrame:
     return e.exceptAll(v.events.where("event_id % 3 <> 0").select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("A08_fingerprint")
+#: A row as text in which both engines agree, its sha256, and of that the first 12 digits as a number.
+ROW_TEXT = "concat_ws('|', o_orderkey, coalesce(CAST(o_custkey AS varchar(20)), '~'), coalesce(o_orderstatus, '~'), coalesce(CAST(CAST(round(o_totalprice * 100) AS bigint) AS varchar(20)), '~'), coalesce(CAST(CAST(o_orderdate AS date) AS varchar(10)), '~'), coalesce(o_orderpriority, '~'))"
+
+
+@query("A08_fingerprint", f" SELECT count(*) AS n, CAST(sum(h) AS varchar) AS total, CAST(bit_xor(CAST(h AS bigint)) AS bigint) AS mixed, sha256(concat_ws('|', count(*), CAST(sum(h) AS varchar), bit_xor(CAST(h AS bigint)))) AS fingerprint FROM (SELECT CAST('0x' || substr(sha256({ROW_TEXT}), 1, 12) AS bigint) AS h FROM orders)")
 def a08(v: Views) -> DataFrame:
-    """An identity of a table that doesn't depend on the order of rows."""
-    h = F.xxhash64(*sorted(v.orders.columns))
-    return v.orders.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("mixed"))
+    """An identity of a table that doesn't depend on the order of rows: their number, and the sum and xor of their hashes."""
+    return fingerprint(v.orders, F.expr(ROW_TEXT))
+
+
+def fingerprint(df: DataFrame, row_text: Column) -> DataFrame:
+    h = F.conv(F.substring(F.sha2(row_text, 256), 1, 12), 16, 10).cast("long")
+    out = df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("mixed"))
+    return out.withColumn("fingerprint", F.sha2(F.concat_ws("|", "n", "total", "mixed"), 256))

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.history import FEATURES, features
 from tidemark.plans.views import Views
 from tidemark.registry import query
+from tidemark.sources import schema_hash
 
 COLUMNS = ("l_discount", "l_extendedprice", "l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate", "l_suppkey", "l_tax")
 
 
-def schema_hash(columns: list[str] | tuple[str, ...]) -> str:
-    return sha256("|".join(sorted(columns)).encode()).hexdigest()[:16]
-
-
 def manifest(df: DataFrame, day: str) -> DataFrame:
     """Rows, first and last day and schema of each monthly partition."""
     d = F.to_date(day)

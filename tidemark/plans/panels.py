@@ -30,10 +30,14 @@ def p19(v: Views) -> DataFrame:
     return v.cal.where(F.dayofmonth("session_date") >= 15).groupBy(F.to_date(F.date_trunc("month", "session_date")).alias("month")).agg(F.min("session_date").alias("as_of"))
 
 
-@query("P24_period_spine", " SELECT y AS yr, q, make_date(y::int, (q * 3)::int, CASE WHEN q IN (1, 4) THEN 31 ELSE 30 END) AS end_date FROM (SELECT unnest(range(1995, 2002)) AS y), (SELECT unnest(range(1, 5)) AS q)")
+@query("P24_period_spine", " SELECT o.code, y AS yr, s.q, make_date(y::int, (s.q * 3)::int, CASE WHEN s.q IN (1, 4) THEN 31 ELSE 30 END) AS end_date, r.code IS NOT NULL AS reported FROM (SELECT c_nationkey AS code, unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) o CROSS JOIN (SELECT unnest(range(1, 5)) AS q) s LEFT JOIN q_first r ON r.code = o.code AND r.yr = y AND r.q = s.q")
 def p24(v: Views) -> DataFrame:
-    years = v.spark.range(1995, 2002).withColumnRenamed("id", "yr")
-    return years.select("yr", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q")).select("yr", F.col("q").cast("long").alias("q"), F.last_day(F.make_date(F.col("yr").cast("int"), F.col("q") * 3, F.lit(1))).alias("end_date"))
+    """Q1 to FY of every year from an entity's first to its last, and whether it reported them."""
+    years = v.orders.join(v.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("code")).agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    spine = years.select("code", F.explode(F.sequence("a", "b")).alias("yr")).select("code", "yr", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
+    held = v.q_first.select("code", "yr", "q", F.lit(True).alias("r"))
+    end = F.last_day(F.make_date("yr", F.col("q") * 3, F.lit(1)))
+    return spine.join(held, ["code", "yr", "q"], "left").select("code", F.col("yr").cast("long").alias("yr"), F.col("q").cast("long").alias("q"), end.alias("end_date"), F.coalesce("r", F.lit(False)).alias("reported"))
 
 
 BENCH = "bx AS (SELECT b.*, c.idx FROM bench b JOIN cal c USING (session_date))"

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import norm_date
+from tidemark.functions import fiscal_period, norm_date
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +43,7 @@ def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, w
     return df.select(*columns) if columns else df
 
 
-def stamp(df: DataFrame, source: str, api: str, at: Column | None = None) -> DataFrame:
+def stamp(df: DataFrame, source: str | Column, api: str | Column, at: Column | None = None) -> DataFrame:
     """Where rows came from, and when."""
     return df.withColumns({"retrieved_at": F.current_timestamp() if at is None else at, "source": F.lit(source), "source_api": F.lit(api)})
 
@@ -53,12 +58,89 @@ def partitioned(df: DataFrame, by: str, date: str | None = None) -> tuple[DataFr
 
 
 def write(df: DataFrame, path: str, by: str = "none", date: str | None = None) -> None:
-    """Replaces the partitions that df touches; a table without rows changes nothing in a partitioned layout."""
+    """Replaces the partitions that df touches; a table without rows changes nothing."""
     rows, cols = partitioned(df, by, date)
+    _replace(rows, path, cols)
+
+
+def _replace(rows: DataFrame, path: str, cols: Sequence[str]) -> None:
+    if not cols and rows.isEmpty():
+        return
     out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (out.partitionBy(*cols) if cols else out).parquet(path)
 
 
+def write_period(df: DataFrame, path: str, period: str) -> None:
+    """Partitions by year and period, from the column in which a row's period is named or dated; one that isn't a period fails the job."""
+    end, _ = fiscal_period(F.col(period))
+    sure = F.when(end.isNotNull(), end).otherwise(F.raise_error(F.lit(f"invalid period in {period}")).cast("date"))
+    name = F.when(F.quarter(sure) == 2, "H1").when(F.quarter(sure) == 4, "FY").otherwise(F.concat(F.lit("Q"), F.quarter(sure)))
+    _replace(df.withColumn("year", F.year(sure)).withColumn("period", name), path, ["year", "period"])
+
+
+def write_partition(df: DataFrame, path: str, **parts: str) -> None:
+    """One partition, named by the caller."""
+    _replace(df.withColumns({k: F.lit(x) for k, x in parts.items()}), path, list(parts))
+
+
+def write_unit(df: DataFrame, path: str, unit: str) -> None:
+    """A named unit of a dataset; names hold letters, digits, dots, hyphens and underscores only."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", unit) or set(unit) == {"."}:
+        raise ValueError(f"invalid unit {unit!r}")
+    write_partition(df, path, unit=unit)
+
+
+def write_snapshot(scan: DataFrame, path: str, as_of: str = "as_of") -> None:
+    """Scans by their as-of date; a date that is written again replaces its snapshot."""
+    _replace(scan.withColumn("as_of_date", F.date_format(as_of, "yyyyMMdd")), path, ["as_of_date"])
+
+
+def read_snapshot(spark: SparkSession, path: str, as_of_date: str) -> DataFrame:
+    """The scan of one date, which prunes all other folders."""
+    return spark.read.parquet(path).where(F.col("as_of_date") == F.lit(as_of_date).cast("string")).drop("as_of_date")
+
+
+def write_rankings(rows: DataFrame, path: str, variant: str = "variant", as_of: str = "as_of") -> None:
+    """Ranked rows of variants, by variant and as-of date."""
+    _replace(rows.withColumns({"variant": F.col(variant), "as_of_date": F.date_format(as_of, "yyyyMMdd")}), path, ["variant", "as_of_date"])
+
+
+def register(df: DataFrame, name: str) -> str:
+    """A view for SQL; names are plain identifiers."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"invalid view name {name!r}")
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def schemas(spark: SparkSession, path: str) -> DataFrame:
+    """file, columns and schema_hash of each Parquet file of a dataset; tasks read footers only."""
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for f in b["path"]:
+                fs, at = pyarrow.fs.FileSystem.from_uri(f)
+                with fs.open_input_file(at) as file:
+                    found.append(sorted(pyarrow.parquet.ParquetFile(file).schema_arrow.names))
+            yield pd.DataFrame({"file": b["path"], "columns": found, "schema_hash": [schema_hash(c) for c in found]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(footers, "file string, columns array<string>, schema_hash string")
+
+
+def schema_hash(columns: Sequence[str]) -> str:
+    """An identity of a set of column names."""
+    return hashlib.sha256(json.dumps(sorted(columns), separators=(",", ":")).encode()).hexdigest()
+
+
+def drift(files: DataFrame, by: str) -> DataFrame:
+    """For each group of files: how many schemas it has, and which columns some of its files lack of those that the dataset has."""
+    every = files.select(F.explode("columns").alias("c")).distinct().agg(F.sort_array(F.collect_set("c"))).scalar()
+    lacking = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array_except(every, "columns")))))
+    return files.groupBy(by).agg(F.count_distinct("schema_hash").alias("schemas"), F.max("schema_hash").alias("schema_hash"), F.array_join(lacking, "|").alias("lacking"))
+
+
 def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row for each key, null being a value: new rows replace old ones, and among new rows the last by `order` stays."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -66,11 +148,11 @@ def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[
     return both.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_new", "_nth")
 
 
-def observations(spark: SparkSession, path: str, label: str) -> DataFrame:
-    """Rows of a Parquet, CSV or JSON artifact; a JSON artifact holds them in `observations` beside its own fields."""
+def observations(spark: SparkSession, path: str, label: str, lines: bool = False) -> DataFrame:
+    """Rows of a Parquet, CSV or JSON artifact; a JSON artifact holds them in `observations` beside its own fields, and with `lines` has an object in each line."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "json":
-        whole = spark.read.option("multiLine", True).json(path)
+        whole = spark.read.option("multiLine", not lines).json(path)
         others = [c for c in whole.columns if c != "observations"]
         rows = whole.select(*others, F.explode("observations").alias("_row")).select(*others, "_row.*")
     else:
