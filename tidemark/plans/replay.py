@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import bounded, mean_known, positive_penalty, spike_penalty
+from tidemark.functions import bounded, mean_known, positive_penalty, sign_transition, spike_penalty
 from tidemark.operators import panel as P
+from tidemark.operators import pit
 from tidemark.operators.rank import top
 from tidemark.plans.attention import ATTENTION, attention
 from tidemark.plans.fundamentals import FUND_SQL, KNOWN_ALL, QUALITY, TREND_ALL, SHIFTED, fundamentals, quality, trends
 from tidemark.plans.history import MONTHS, months
-from tidemark.plans.panels import WIN
+from tidemark.plans.panels import WIN, bench
 from tidemark.plans.views import Views
-from tidemark.operators import pit
 from tidemark.registry import query
 
 # Weights of the components, cumulative variants, and the cap on penalties.
@@ -36,34 +36,91 @@ def bounded_sql(e: str, scale: float) -> str:
     return f"(50 + 50 * tanh({e} * {scale}))"
 
 
+# What counts as a full penalty for excess returns over 20 and 60 sessions and for spikes of volume and turnover, and when a crowd is flagged.
+EXCESS_20, EXCESS_60, SPIKE, FLAGGED = 0.15, 0.30, 2.0, 70
+PENALTIES = ("repricing_20d", "repricing_60d", "high_proximity", "volume_spike_penalty", "turnover_spike_penalty")
+TRENDS = ("yoy_acceleration", "qoq_acceleration", "consecutive_improvement", "transition", "margin_inflection")
+
+
+def spike_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x} - 1, 0) / {SPIKE - 1}, 1) END"
+
+
+def over_median_sql(x: str, n: str, m: str) -> str:
+    return f"CASE WHEN {n} >= 20 AND {m} <> 0 THEN {x} / {m} END"
+
+
+CROWDING = f"""cb AS (SELECT b.close, c.idx FROM bench b JOIN cal c USING (session_date)),
+  cm AS (SELECT *, median(CASE WHEN vol > 0 THEN vol END) {WIN.format(a=60, b=1)} AS mv, count(CASE WHEN vol > 0 THEN 1 END) {WIN.format(a=60, b=1)} AS nv, median(CASE WHEN turnover > 0 THEN turnover END) {WIN.format(a=60, b=1)} AS mt, count(CASE WHEN turnover > 0 THEN 1 END) {WIN.format(a=60, b=1)} AS nt,
+    max(close) {WIN.format(a=252, b=1)} AS hi, count(close) {WIN.format(a=252, b=1)} AS nh FROM px),
+  ce AS (SELECT m.code, m.idx, CASE WHEN p2.close > 0 THEN m.close / p2.close - 1 END - (b0.close / b2.close - 1) AS e20, CASE WHEN p6.close > 0 THEN m.close / p6.close - 1 END - (b0.close / b6.close - 1) AS e60, CASE WHEN nh >= 126 AND hi > 0 THEN m.close / hi END AS near,
+    {over_median_sql("m.vol", "nv", "mv")} AS vs, {over_median_sql("m.turnover", "nt", "mt")} AS ts FROM cm m LEFT JOIN px p2 ON p2.code = m.code AND p2.idx = m.idx - 20 LEFT JOIN px p6 ON p6.code = m.code AND p6.idx = m.idx - 60
+    LEFT JOIN cb b0 ON b0.idx = m.idx LEFT JOIN cb b2 ON b2.idx = m.idx - 20 LEFT JOIN cb b6 ON b6.idx = m.idx - 60),
+  cy AS (SELECT code, idx, CASE WHEN e20 IS NOT NULL THEN least(greatest(e20, 0) / {EXCESS_20}, 1) END AS repricing_20d, CASE WHEN e60 IS NOT NULL THEN least(greatest(e60, 0) / {EXCESS_60}, 1) END AS repricing_60d, CASE WHEN near IS NOT NULL THEN least(greatest(near, 0), 1) END AS high_proximity,
+    {spike_sql("vs")} AS volume_spike_penalty, {spike_sql("ts")} AS turnover_spike_penalty FROM ce),
+  cw AS (SELECT *, 100 * ({" + ".join(PENALTIES)}) / 5 AS crowding FROM cy)"""
+UP, DOWN = "('NEGATIVE_TO_POSITIVE', 'ZERO_TO_POSITIVE')", "('POSITIVE_TO_NEGATIVE', 'ZERO_TO_NEGATIVE')"
 COMPONENTS = f"""{TREND_ALL}, fx AS (SELECT s.as_of, s.code, s.pn, {', '.join(f'{e} AS {n}' for n, e in FUND_SQL.items())}{SHIFTED}), fu AS (SELECT * FROM fx QUALIFY row_number() OVER (PARTITION BY as_of, code ORDER BY pn DESC) = 1),
-  {QUALITY}, {ATTENTION},
-  cw AS (SELECT p.code, p.idx, CASE WHEN a.close > 0 THEN least(greatest(p.close / a.close - 1, 0) / 0.3, 1) END AS momentum, least(greatest(p.vol / CASE WHEN p.n >= 20 THEN p.m END - 1, 0) / 2, 1) AS spike
-    FROM (SELECT *, median(vol) {WIN.format(a=60, b=1)} AS m, count(vol) {WIN.format(a=60, b=1)} AS n FROM px) p LEFT JOIN px a ON a.code = p.code AND a.idx = p.idx - 20),
-  tw AS (SELECT as_of, code, max(CASE WHEN metric = 'yoy_revenue' THEN c - pc END) AS accel, max(CASE WHEN metric = 'yoy_revenue' THEN length END) AS run, max(CASE WHEN metric = 'net_margin' THEN c - pc END) AS inflect FROM tt GROUP BY 1, 2),
-  cp AS (SELECT f.as_of, f.code, f.pn, {mean_sql(*[bounded_sql(g, 1.5) for g in GROWTHS], *[bounded_sql(m, 2.0) for m in MARGINS])} AS fundamental,
-    {mean_sql(bounded_sql('accel', 0.02), 'least(100, run * 25)', bounded_sql('inflect', 5.0))} AS trend, q.score AS quality, ats.score AS attention,
-    CASE WHEN cw.spike IS NOT NULL AND cw.momentum IS NOT NULL THEN 100 * (1 - (cw.momentum + cw.spike) / 2) WHEN cw.spike IS NOT NULL THEN 100 * (1 - cw.spike) WHEN cw.momentum IS NOT NULL THEN 100 * (1 - cw.momentum) END AS expectation,
+  {QUALITY}, {ATTENTION}, {CROWDING},
+  tz AS (SELECT as_of, code, max(CASE WHEN metric = 'yoy_revenue' THEN c - pc END) AS yoy_acceleration, max(CASE WHEN metric = 'qoq_revenue' THEN c - pc END) AS qoq_acceleration, max(CASE WHEN metric = 'yoy_revenue' THEN length END) AS consecutive_improvement,
+    max(CASE WHEN metric = 'net_margin' THEN c - pc END) AS margin_inflection, max(CASE WHEN metric = 'yoy_profit' THEN value - c END) AS a, max(CASE WHEN metric = 'yoy_profit' AND c IS NOT NULL THEN value END) AS b FROM tt GROUP BY 1, 2),
+  tw AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a < 0 AND b > 0 THEN 'NEGATIVE_TO_POSITIVE' WHEN a > 0 AND b < 0 THEN 'POSITIVE_TO_NEGATIVE' WHEN a = 0 AND b > 0 THEN 'ZERO_TO_POSITIVE' WHEN a = 0 AND b < 0 THEN 'ZERO_TO_NEGATIVE' WHEN a <> 0 AND b = 0 THEN 'TO_ZERO' ELSE 'NONE' END AS transition FROM tz),
+  cp AS (SELECT f.as_of, f.code, f.pn, {', '.join('f.' + x for x in (*GROWTHS, *MARGINS))}, {', '.join('tw.' + x for x in TRENDS)}, ats.t AS turnover_percentile, ats.a AS amount_percentile, ats.v AS abnormal_volume, {', '.join('cw.' + x for x in PENALTIES)}, cw.crowding,
+    {mean_sql(*[bounded_sql(g, 1.5) for g in GROWTHS], *[bounded_sql(m, 2.0) for m in MARGINS])} AS fundamental,
+    {mean_sql(bounded_sql('yoy_acceleration', 0.02), bounded_sql('qoq_acceleration', 0.02), 'least(100, consecutive_improvement * 25)', f"CASE WHEN transition IN {UP} THEN 80 WHEN transition IN {DOWN} THEN 20 WHEN transition = 'NONE' THEN 50 END", bounded_sql('margin_inflection', 5.0))} AS trend,
+    q.score AS quality, ats.score AS attention, 100 - cw.crowding AS expectation,
     q.flags, q.gate, least({CAP}, len(list_filter(string_split(q.flags, '|'), lambda x: x LIKE '%pressure')) * 10 + len(list_filter(string_split(q.flags, '|'), lambda x: x <> '' AND x NOT LIKE '%pressure')) * 15) AS penalty
     FROM fu f JOIN as_of d ON d.as_of = f.as_of LEFT JOIN tw ON tw.as_of = f.as_of AND tw.code = f.code LEFT JOIN qg q ON q.as_of = f.as_of AND q.code = f.code LEFT JOIN ats ON ats.code = f.code AND ats.idx = d.idx LEFT JOIN cw ON cw.code = f.code AND cw.idx = d.idx)"""
 
 
+def crowding(v: Views) -> DataFrame:
+    """Five penalties of each entity and session, all of which a crowd's score needs: excess returns over 20 and 60 sessions, nearness to the former high, and spikes of volume and turnover."""
+    c = F.col
+    px = v.px
+    for n in (20, 60):
+        px = P.at_offset(px, "close", -n, f"then_{n}")
+    px = P.prior_median_ratio(px, "vol", 60, 20).withColumnRenamed("ratio", "vs").drop("base")
+    px = P.prior_median_ratio(px, "turnover", 60, 20).withColumnRenamed("ratio", "ts").drop("base")
+    px = P.prior_high(px, 252, 126)
+    own = bench(v).select("idx", c("close").alias("b_0"))
+    marks = own
+    for n in (20, 60):
+        marks = marks.join(F.broadcast(own.select((c("idx") + n).alias("idx"), c("b_0").alias(f"b_{n}"))), "idx", "left")
+    px = px.join(F.broadcast(marks), "idx", "left")
+    excess = {n: F.when(c(f"then_{n}") > 0, c("close") / c(f"then_{n}") - 1) - (c("b_0") / c(f"b_{n}") - 1) for n in (20, 60)}
+    near = F.when(c("high") > 0, c("close") / c("high"))
+    parts = (positive_penalty(excess[20], EXCESS_20), positive_penalty(excess[60], EXCESS_60), F.when(near.isNotNull(), F.least(F.greatest(near, F.lit(0.0)), F.lit(1.0))), spike_penalty(c("vs"), SPIKE), spike_penalty(c("ts"), SPIKE))
+    out = px.select("code", "idx", *[x.alias(n) for n, x in zip(PENALTIES, parts, strict=True)])
+    return out.withColumn("crowding", 100 * sum((c(n) for n in PENALTIES[1:]), c(PENALTIES[0])) / 5)
+
+
+def trend_inputs(v: Views) -> DataFrame:
+    """The five inputs of the trend component at each date's latest period."""
+    c = F.col
+    of = lambda m, x: F.max(F.when(c("metric") == m, x))
+    rows = trends(v).groupBy("as_of", "code").agg(
+        of("yoy_revenue", c("acceleration")).alias("yoy_acceleration"), of("qoq_revenue", c("acceleration")).alias("qoq_acceleration"), of("yoy_revenue", c("run_length")).alias("consecutive_improvement"),
+        of("net_margin", c("acceleration")).alias("margin_inflection"), of("yoy_profit", c("value") - c("change")).alias("a"), of("yoy_profit", F.when(c("change").isNotNull(), c("value"))).alias("b"),
+    )
+    label = sign_transition(c("a"), c("b"))
+    return rows.withColumn("transition", F.when(label != "UNKNOWN", label)).drop("a", "b")
+
+
 def components(v: Views) -> DataFrame:
-    """The five components of each entity on each date, with the flags and what they cost."""
+    """The inputs and the five components of each entity on each date, with the flags and what they cost."""
     c = F.col
     fund = pit.latest(fundamentals(v), ["as_of", "code"], "pn")
-    fund = fund.select("as_of", "code", "pn", mean_known(*[bounded(c(g), 1.5) for g in GROWTHS], *[bounded(c(m), 2.0) for m in MARGINS]).alias("fundamental"))
-    of = lambda m, x: F.max(F.when(c("metric") == m, c(x)))
-    tr = trends(v).groupBy("as_of", "code").agg(of("yoy_revenue", "acceleration").alias("a"), of("yoy_revenue", "run_length").alias("r"), of("net_margin", "acceleration").alias("i"))
-    tr = tr.select("as_of", "code", mean_known(bounded(c("a"), 0.02), F.when(c("r").isNotNull(), F.least(F.lit(100.0), c("r") * 25.0)), bounded(c("i"), 5.0)).alias("trend"))
+    fund = fund.select("as_of", "code", "pn", *GROWTHS, *MARGINS, mean_known(*[bounded(c(g), 1.5) for g in GROWTHS], *[bounded(c(m), 2.0) for m in MARGINS]).alias("fundamental"))
+    turned = F.when(c("transition").isin("NEGATIVE_TO_POSITIVE", "ZERO_TO_POSITIVE"), 80.0).when(c("transition").isin("POSITIVE_TO_NEGATIVE", "ZERO_TO_NEGATIVE"), 20.0).when(c("transition") == "NONE", 50.0)
+    lasting = F.when(c("consecutive_improvement").isNotNull(), F.least(F.lit(100.0), c("consecutive_improvement") * 25.0))
+    tr = trend_inputs(v)
+    tr = tr.select("as_of", "code", *TRENDS, mean_known(bounded(c("yoy_acceleration"), 0.02), bounded(c("qoq_acceleration"), 0.02), lasting, turned, bounded(c("margin_inflection"), 5.0)).alias("trend"))
     flags = F.filter(F.split("flags", r"\|"), lambda x: x != "")
     cost = F.aggregate(flags, F.lit(0), lambda a, x: a + F.when(x.endswith("pressure"), 10).otherwise(15))
     qu = quality(v).select("as_of", "code", c("score").cast("double").alias("quality"), "flags", "gate", F.least(F.lit(CAP), cost).alias("penalty"))
     dates = F.broadcast(v.as_of.select("as_of", "idx"))
-    at = attention(v).join(dates, "idx").select("as_of", "code", c("score").alias("attention"))
-    crowd = P.prior_median_ratio(P.window_return(v.px, 20), "vol", 60, 20).join(dates, "idx")
-    known = mean_known(positive_penalty(c("ret"), 0.3), spike_penalty(c("ratio"), 3.0))
-    crowd = crowd.select("as_of", "code", (100 * (1 - known)).alias("expectation"))
+    at = attention(v).join(dates, "idx").select("as_of", "code", c("t").alias("turnover_percentile"), c("a").alias("amount_percentile"), c("v").alias("abnormal_volume"), c("score").alias("attention"))
+    crowd = crowding(v).join(dates, "idx").select("as_of", "code", *PENALTIES, "crowding", (100 - c("crowding")).alias("expectation"))
     for part in (tr, qu, at, crowd):
         fund = fund.join(part, ["as_of", "code"], "left")
     return fund
@@ -169,3 +226,86 @@ def x20(v: Views) -> DataFrame:
     rows = v.as_of.select("as_of").join(g, "as_of", "left").fillna(0, ["n", "rejected"])
     status = F.when(F.col("n") == 0, "UNAVAILABLE").when(F.expr("a = 0 or q = 0"), "INCOMPLETE").when(F.col("d") != F.col("n"), "FAILED").otherwise("READY")
     return rows.select("as_of", status.alias("status"), "n", "rejected", "mean")
+
+
+@query("X12_crowding", f", {CROWDING} SELECT code, idx, {', '.join(f'round({p}, 6) AS {p}' for p in PENALTIES)}, round(crowding, 4) AS crowding, round(100 - crowding, 4) AS expectation, round(crowding, 4) >= {FLAGGED} AS flagged FROM cw")
+def x12_crowding(v: Views) -> DataFrame:
+    rows = crowding(v)
+    score = F.round("crowding", 4)
+    return rows.select("code", "idx", *[F.round(p, 6).alias(p) for p in PENALTIES], score.alias("crowding"), F.round(100 - F.col("crowding"), 4).alias("expectation"), (score >= FLAGGED).alias("flagged"))
+
+
+NUMBERS = (*GROWTHS, *MARGINS, "yoy_acceleration", "qoq_acceleration", "margin_inflection")
+
+
+@query("X14_components", f", {COMPONENTS} SELECT as_of, code, {', '.join(f'round({x}, 6) AS {x}' for x in NUMBERS)}, consecutive_improvement, transition, round(fundamental, 4) AS fundamental, round(trend, 4) AS trend FROM cp")
+def x14_components(v: Views) -> DataFrame:
+    """Eleven inputs and the two components that are means of what is known of them."""
+    numbers = [F.round(x, 6).alias(x) for x in NUMBERS]
+    return components(v).select("as_of", "code", *numbers, F.col("consecutive_improvement").cast("long").alias("consecutive_improvement"), "transition", *[F.round(x, 4).alias(x) for x in ("fundamental", "trend")])
+
+
+# The fields that each group of features must have.
+REGISTRY = {
+    "fundamental": (*GROWTHS, *MARGINS),
+    "trend": TRENDS,
+    "quality": ("quality", "gate"),
+    "attention": ("turnover_percentile", "amount_percentile", "abnormal_volume", "attention"),
+    "expectation_crowding": (*PENALTIES, "expectation"),
+}
+FIELDS = [f for fields in REGISTRY.values() for f in fields]
+CRITICAL = [g for g in REGISTRY if g != "quality"]
+
+
+def _group_sql(part: str, fields: tuple[str, ...]) -> str:
+    valid = " + ".join(f"({f} IS NOT NULL)::bigint" for f in fields)
+    missing = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in sorted(fields))
+    return f"SELECT as_of, code, '{part}' AS part, {valid} AS valid, {len(fields)} AS required, concat_ws('|', {missing}) AS missing FROM cp"
+
+
+GROUPS = f"{COMPONENTS}, gp AS ({' UNION ALL '.join(_group_sql(*x) for x in REGISTRY.items())})"
+
+
+def groups(v: Views) -> DataFrame:
+    """Of each group of each entity and date: how many of the required fields are known, and which aren't."""
+    registry = F.broadcast(v.spark.createDataFrame([(f, g) for g, fields in REGISTRY.items() for f in fields], "field string, part string"))
+    long = components(v).select("as_of", "code", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("known")) for f in FIELDS])))
+    missing = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("known"), F.col("field")))), "|")
+    return long.join(registry, "field").groupBy("as_of", "code", "part").agg(F.count_if("known").alias("valid"), F.count("*").alias("required"), missing.alias("missing"))
+
+
+@query("G14_group_coverage", f", {GROUPS} SELECT as_of, code, part, valid, required::bigint AS required, round(valid / required, 6) AS coverage, CASE WHEN valid = required THEN 'COMPLETE' WHEN valid > 0 THEN 'PARTIAL' ELSE 'UNKNOWN' END AS status, missing FROM gp")
+def g14_groups(v: Views) -> DataFrame:
+    status = F.when(F.col("valid") == F.col("required"), "COMPLETE").when(F.col("valid") > 0, "PARTIAL").otherwise("UNKNOWN")
+    return groups(v).select("as_of", "code", "part", "valid", "required", F.round(F.col("valid") / F.col("required"), 6).alias("coverage"), status.alias("status"), "missing")
+
+
+OVERALL = f"""{GROUPS}, ov AS (SELECT as_of, code, sum(valid)::bigint AS valid, string_agg(part, '|' ORDER BY part) FILTER (valid = 0) AS unknown, string_agg(part, '|' ORDER BY part) FILTER (valid < required) AS incomplete, count(*) FILTER (valid = 0 AND part <> 'quality') AS critical FROM gp GROUP BY 1, 2),
+  oc AS (SELECT *, valid / {len(FIELDS)} AS coverage, CASE WHEN critical > 0 OR valid / {len(FIELDS)} < 0.25 THEN 'INSUFFICIENT' WHEN valid / {len(FIELDS)} >= 0.9 THEN 'HIGH' WHEN valid / {len(FIELDS)} >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ov)"""
+
+
+def assessed(v: Views) -> DataFrame:
+    """All 23 required fields of each entity and date, the groups that lack some, and how far the evidence can be relied on."""
+    none = F.col("valid") == 0
+    named = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("part")))), "|")
+    rows = groups(v).groupBy("as_of", "code").agg(F.sum("valid").alias("valid"), named(none).alias("unknown"), named(F.col("valid") < F.col("required")).alias("incomplete"), F.count_if(none & F.col("part").isin(*CRITICAL)).alias("critical"))
+    share = F.col("valid") / len(FIELDS)
+    confidence = F.when((F.col("critical") > 0) | (share < 0.25), "INSUFFICIENT").when(share >= 0.9, "HIGH").when(share >= 0.75, "MEDIUM").otherwise("LOW")
+    return rows.withColumns({"coverage": share, "confidence": confidence})
+
+
+@query("G14_evidence_assessment", f", {OVERALL} SELECT as_of, code, valid, round(coverage, 6) AS coverage, coalesce(unknown, '') AS unknown, coalesce(incomplete, '') AS incomplete, confidence FROM oc")
+def g14_assessment(v: Views) -> DataFrame:
+    return assessed(v).select("as_of", "code", "valid", F.round("coverage", 6).alias("coverage"), "unknown", "incomplete", "confidence")
+
+
+@query("X16_evidence_gate", f", {OVERALL} SELECT as_of, code, CASE WHEN critical > 0 THEN 'critical_unknown' WHEN coverage < 0.5 THEN 'low_coverage' WHEN confidence = 'INSUFFICIENT' THEN 'low_confidence' END AS reason FROM oc")
+def x16_gate(v: Views) -> DataFrame:
+    reason = F.when(F.col("critical") > 0, "critical_unknown").when(F.col("coverage") < 0.5, "low_coverage").when(F.col("confidence") == "INSUFFICIENT", "low_confidence")
+    return assessed(v).select("as_of", "code", reason.alias("reason"))
+
+
+@query("G15_snapshot_report", f", {OVERALL} SELECT as_of, count(*) AS n, count(*) FILTER (critical > 0) AS critical, round(avg(coverage), 6) AS mean_coverage, count(*) FILTER (confidence = 'HIGH') AS high, count(*) FILTER (confidence = 'MEDIUM') AS medium, count(*) FILTER (confidence = 'LOW') AS low, count(*) FILTER (confidence = 'INSUFFICIENT') AS insufficient FROM oc GROUP BY as_of")
+def g15_report(v: Views) -> DataFrame:
+    levels = [F.count_if(F.col("confidence") == x.upper()).alias(x) for x in ("high", "medium", "low", "insufficient")]
+    return assessed(v).groupBy("as_of").agg(F.count("*").alias("n"), F.count_if(F.col("critical") > 0).alias("critical"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), *levels)
