@@ -20,11 +20,11 @@ SINGLE_ALL = f"""{KNOWN_ALL}, s AS (SELECT k.as_of, k.code, k.yr, k.q, k.pn, {",
 
 
 def known_all(v: Views) -> DataFrame:
-    return pit.as_of(v.statements, v.as_of.select("as_of"), KEYS, "ann_date", ["update_flag"])
+    return v.once("known_all", lambda: pit.as_of(v.statements, v.as_of.select("as_of"), KEYS, "ann_date", ["update_flag"]))
 
 
 def single_all(v: Views) -> DataFrame:
-    return pit.quarters(known_all(v), FLOWS)
+    return v.once("single_all", lambda: pit.quarters(known_all(v), FLOWS))
 
 
 def back(columns: list[str], n: int) -> Column:

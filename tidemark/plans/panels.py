@@ -129,8 +129,10 @@ def x12(v: Views) -> DataFrame:
 @query("X01_universe", " SELECT a.as_of, r.code, CASE WHEN r.name LIKE 'ST%' THEN 'st_status' WHEN r.delist_idx <= a.idx THEN 'delisted_by_as_of' WHEN r.board = '.BJ' THEN 'bse_excluded' WHEN r.list_idx > a.idx THEN 'listed_after_as_of' WHEN a.idx - r.list_idx < 17 THEN 'new_listing' WHEN m.n IS NULL THEN 'unknown_liquidity' WHEN m.m < 40 THEN 'low_liquidity' WHEN t.code IS NULL THEN 'suspended_on_as_of' END AS reason FROM as_of a CROSS JOIN ref r LEFT JOIN (SELECT a.as_of, p.code, count(*) AS n, avg(vol) AS m FROM as_of a JOIN px p ON p.idx <= a.idx AND p.idx > a.idx - 20 GROUP BY 1, 2) m ON m.as_of = a.as_of AND m.code = r.code LEFT JOIN px t ON t.code = r.code AND t.idx = a.idx")
 def x01(v: Views) -> DataFrame:
     """One decision for each entity and date; the first rule that fails gives the reason."""
-    grid = v.ref.crossJoin(F.broadcast(v.as_of))
-    near = v.px.join(F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at"))), (F.col("idx") <= F.col("at")) & (F.col("idx") > F.col("at") - 20))
+    grid = v.ref.join(F.broadcast(v.as_of))
+    # a session belongs to the dates of the 20 sessions from it on, which are found by equality
+    ahead = v.px.select("code", "vol", "idx", F.explode(F.sequence("idx", F.col("idx") + 19)).alias("at"))
+    near = ahead.join(F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at"))), "at")
     liquid = near.groupBy("as_of", "code").agg(F.avg("vol").alias("m"), F.max(F.col("idx") == F.col("at")).alias("traded"))
     why = (
         F.when(F.col("name").startswith("ST"), "st_status").when(F.col("delist_idx") <= F.col("idx"), "delisted_by_as_of").when(F.col("board") == ".BJ", "bse_excluded")

@@ -23,6 +23,7 @@ def picks(v: Views, n: int = 20, order: str = "vol") -> DataFrame:
 
 
 def outcomes(v: Views) -> DataFrame:
+    v.keep("px", "as_of", "cal", "bench")
     last = v.cal.agg(F.max("idx")).first()[0]
     horizons = v.spark.range(1).select(F.explode(F.array(F.lit(20), F.lit(60), F.lit(120))).alias("h"))
     return P.forward(picks(v), v.px, bench(v), horizons, last)

@@ -109,6 +109,7 @@ def trend_inputs(v: Views) -> DataFrame:
 def components(v: Views) -> DataFrame:
     """The inputs and the five components of each entity on each date, with the flags and what they cost."""
     c = F.col
+    v.keep("px", "as_of", "cal", "bench", "statements")
     fund = pit.latest(fundamentals(v), ["as_of", "code"], "pn")
     fund = fund.select("as_of", "code", "pn", *GROWTHS, *MARGINS, mean_known(*[bounded(c(g), 1.5) for g in GROWTHS], *[bounded(c(m), 2.0) for m in MARGINS]).alias("fundamental"))
     turned = F.when(c("transition").isin("NEGATIVE_TO_POSITIVE", "ZERO_TO_POSITIVE"), 80.0).when(c("transition").isin("POSITIVE_TO_NEGATIVE", "ZERO_TO_NEGATIVE"), 20.0).when(c("transition") == "NONE", 50.0)
@@ -266,10 +267,10 @@ def _group_sql(part: str, fields: tuple[str, ...]) -> str:
 GROUPS = f"{COMPONENTS}, gp AS ({' UNION ALL '.join(_group_sql(*x) for x in REGISTRY.items())})"
 
 
-def groups(v: Views) -> DataFrame:
+def groups(v: Views, vectors: DataFrame | None = None) -> DataFrame:
     """Of each group of each entity and date: how many of the required fields are known, and which aren't."""
     registry = F.broadcast(v.spark.createDataFrame([(f, g) for g, fields in REGISTRY.items() for f in fields], "field string, part string"))
-    long = components(v).select("as_of", "code", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("known")) for f in FIELDS])))
+    long = (components(v) if vectors is None else vectors).select("as_of", "code", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("known")) for f in FIELDS])))
     missing = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("known"), F.col("field")))), "|")
     return long.join(registry, "field").groupBy("as_of", "code", "part").agg(F.count_if("known").alias("valid"), F.count("*").alias("required"), missing.alias("missing"))
 
@@ -285,10 +286,14 @@ OVERALL = f"""{GROUPS}, ov AS (SELECT as_of, code, sum(valid)::bigint AS valid,
 
 
 def assessed(v: Views) -> DataFrame:
+    return assess(v, components(v))
+
+
+def assess(v: Views, vectors: DataFrame) -> DataFrame:
     """All 23 required fields of each entity and date, the groups that lack some, and how far the evidence can be relied on."""
     none = F.col("valid") == 0
     named = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("part")))), "|")
-    rows = groups(v).groupBy("as_of", "code").agg(F.sum("valid").alias("valid"), named(none).alias("unknown"), named(F.col("valid") < F.col("required")).alias("incomplete"), F.count_if(none & F.col("part").isin(*CRITICAL)).alias("critical"))
+    rows = groups(v, vectors).groupBy("as_of", "code").agg(F.sum("valid").alias("valid"), named(none).alias("unknown"), named(F.col("valid") < F.col("required")).alias("incomplete"), F.count_if(none & F.col("part").isin(*CRITICAL)).alias("critical"))
     share = F.col("valid") / len(FIELDS)
     confidence = F.when((F.col("critical") > 0) | (share < 0.25), "INSUFFICIENT").when(share >= 0.9, "HIGH").when(share >= 0.75, "MEDIUM").otherwise("LOW")
     return rows.withColumns({"coverage": share, "confidence": confidence})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +80,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._stored: dict[str, DataFrame] = {}
+        self._keeping = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -89,11 +91,21 @@ class Views:
             self.table(b).createOrReplaceTempView(b)
         return self.spark.sql(with_views(sql))
 
-    def stored(self, name: str) -> DataFrame:
-        """A stand-in that a query reads several times, written once."""
-        if name not in self._stored:
-            self._stored[name] = materialize(getattr(self, name), name)
-        return self._stored[name]
+    def keep(self, *names: str) -> Views:
+        """Writes stand-ins that a query reads several times, once; they and what once() is asked for are then read back."""
+        self._keeping = True
+        for name in names:
+            if name not in self.__dict__:
+                setattr(self, name, materialize(getattr(self, name), name))
+        return self
+
+    def once(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step that several parts of a query share: written once if the query keeps what it reads."""
+        if not self._keeping:
+            return make()
+        if label not in self._stored:
+            self._stored[label] = materialize(make(), label)
+        return self._stored[label]
 
     def written(self, df: DataFrame, label: str) -> DataFrame:
         """A result that is read several times, written once."""
