@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import os
@@ -72,6 +73,16 @@ def test_near_duplicates_without_a_common_centre(spark):
     assert {got[i] for i in range(12)} == {0} and all(got[100 + i] == 100 + i for i in range(30))
 
 
+def test_circulant_bands_miss_no_pair_at_the_threshold():
+    """Pairs just at the threshold; one in a million may share no bucket."""
+    t, n, size, d = Fraction(85, 100), 4000, 40, 3
+    bands, rows = minhash.shape(t)
+    base = np.random.default_rng(2).integers(0, 2**63, (n, size + d), dtype=np.int64).view(np.uint64)
+    at = np.arange(0, (n + 1) * size, size)
+    a, b = (minhash.band_keys(minhash.signatures(np.ascontiguousarray(v).ravel(), at, bands * rows), bands, rows) for v in (base[:, :size], base[:, d:]))
+    assert 100 * (size - d) >= 85 * (size + d) and (a == b).any(1).all()
+
+
 def test_exact_duplicates(docs, none):
     out = exact_dedup.deduplicate(docs)
     assert set(out.columns) == {"doc_id", "score", "keep", "keep_id", "group_size", "kept", "text_sha256"}
@@ -295,6 +306,57 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none, frame.limit(0), F.lit(True)) is None
 
 
+def all_readings(word, logp):
+    """Every way to read a disguised word, with its score: what each sign may stand for, written out again."""
+    signs = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
+    options = []
+    for i, ch in enumerate(word):
+        run = 1
+        while i - run >= 0 and word[i - run] == ch:
+            run += 1
+        if ch.isalpha():
+            options.append([(ch, 0.0)] + ([("", -0.5 if run > 2 else -3.0)] if run > 1 else []))
+        elif ch in signs:
+            options.append([(y, -0.7) for y in signs[ch]] + [(" ", -4.0), ("", -7.0)])
+        else:
+            options.append([(" ", -0.5), ("", -1.0)])
+    for way in itertools.product(*options):
+        text, score, codes = "", 0.0, [0, 0]
+        for y, cost in way:
+            score += cost
+            if y == " " and codes[-1] == 0 or y == "":
+                text += " " if y == " " and text and text[-1] != " " else ""
+                continue
+            code = ord(y) - 96 if y != " " else 0
+            score += float(logp[codes[-2], codes[-1], code])
+            text, codes = text + y, [*codes, code]
+        yield text, score + (float(logp[codes[-2], codes[-1], 0]) if codes[-1] else 0.0)
+
+
+def test_decoding_equals_all_readings(spark):
+    words = "you are worthless idiot stupid shit and the river stone lamp".split()
+    logp = toxicity.language_model(spark.createDataFrame([(i, prose(i, 60, words)) for i in range(20)], "doc_id long, text string"))
+    for word in ("1d10t", "s.h.1.t", "$tup1d", "stuuupid", "s h ! t", "r1v3r", "l4mp", "aaa", "t-h-3", "0.0", "$$1"):
+        best = max(s for _, s in all_readings(word, logp))
+        assert toxicity.decode(word, logp) in {x for x, s in all_readings(word, logp) if s > best - 1e-4}, word
+
+
+def test_scores_equal_those_of_plain_sets(spark):
+    bad = ["stupid", "worthless", "disgusting"]
+    rows = [(i, prose(i, 40, "river stone lamp green paper winter".split()) + (" " + bad[i % 3] if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame(rows, "doc_id long, text string, toxic int"), F.col("doc_id") % 5 != 0)
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    probe = [t for _, t, _ in rows[:40]] + ["", "you s t u p i d", "1 2 3", "Stupid, STUPID"]
+    got = model.scores(probe, {})
+    for t, y in zip(toxicity.restore(probe, model.logp, {}), got, strict=True):
+        c = [0] + [ord(x) - 96 for x in re.sub("[^a-z]+", "`", t.lower()).strip("`")] + [0]
+        number = lambda cs: functools.reduce(lambda a, b: a * 64 + b, cs)
+        found = {number(c[i : i + 4]) | 1 << 30 for i in range(len(c) - 3)} | {number(c[i : i + 5]) for i in range(len(c) - 4)}
+        w = [weight[g] for g in found if g in weight]
+        z = model.curve @ np.array([1.0, np.log1p(sum(w)), max(w, default=0.0)])
+        assert abs(y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9, t
+
+
 def test_mixed_disguises(spark):
     words = "you are worthless idiot stupid shit and the river stone lamp".split()
     frame = spark.createDataFrame([(i, prose(i, 60, words).translate(str.maketrans("", "", "0123456789"))) for i in range(40)], "doc_id long, text string")

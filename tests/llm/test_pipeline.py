@@ -1,8 +1,11 @@
 """The pipeline's stages, each held against what it should keep."""
 
 import re
+import zlib
 
 import corpus_pipeline as P
+import numpy as np
+from tokenizers import Tokenizer
 
 
 def test_stages(spark, tmp_path):
@@ -28,3 +31,31 @@ def test_stages(spark, tmp_path):
     pieces = P.pack_tokens(spark, masked, str(tmp_path))
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in masked.collect()}
     assert P.run(spark, str(tmp_path)).count() == pieces.count()
+    # the stages after the first, by brute force
+    kept = {}
+    for r in sorted((r for r in clean.collect()), key=lambda r: r.doc_id):
+        kept.setdefault(norm(r.text), r)
+    assert sorted(r.doc_id for r in kept.values()) == sorted(r.doc_id for r in once.collect())
+    words = {r.doc_id: re.findall("[^\x20\x09-\x0d]+", (r.text or "").lower()) for r in kept.values()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    boss = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if a != b and boss[a] != boss[b] and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                    boss[a] = boss[b] = min(boss[a], boss[b])
+                    changed = True
+    assert sorted(i for i in boss if boss[i] == i) == sorted(r.doc_id for r in far.collect())
+    lib = Tokenizer.from_file(P.tokenizer_path("byte_bpe_50k.json"))
+    whole = {r.doc_id: lib.encode(re.sub(r"ann@example\.org", "[EMAIL]", r.text or ""), add_special_tokens=False).ids + [0] for r in far.collect()}
+    got = {}
+    for r in pieces.collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, ids in whole.items():
+        at = 0
+        for start, length, crc in sorted(got[i]):
+            assert start == at and crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
