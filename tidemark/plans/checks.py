@@ -84,7 +84,7 @@ def a09_full(v: Views) -> DataFrame:
     w = Window.partitionBy("as_of").orderBy("rank")
     c = F.col
     v.keep("px", "as_of", "cal", "bench", "statements", "income")
-    rows = ranked(v).withColumn("score", F.round("score", 4))
+    rows = v.once("ranked", lambda: ranked(v)).withColumn("score", F.round("score", 4))
     rows = rows.withColumns({"before": F.lag("score").over(w), "gate_before": F.lag("gate").over(w)})
     ranks = rows.groupBy("as_of").agg(
         F.count("*").alias("n"), (F.max("rank") - F.count("*")).alias("rank_gap"), F.count_if((c("score") > c("before")) & (c("gate") == c("gate_before"))).alias("disorder"),
