@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, whose columns may be null and may have more
 columns than documents has, whatever their names; they are kept up to the last stage. A table without rows passes
-through every stage. run() writes each stage's result to the shared folder and reads it again for the next.
+through every stage. Texts of any length are worked on whole; of rows that tie, one with the smallest doc_id stays, and
+rows repeated with one doc_id are copies like any others. run() writes each stage's result to the shared folder and reads it again for the next.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import ann, bpe, exact_dedup, html_wrap, langid, minhash, packing, pii, suffix_dedup, toxicity
+from tidemark.llm.components import components
 
 VOCAB = tokenizer_path("byte_bpe_50k.json")
 TABLES = "/root/testdata/sf0.001"
@@ -83,6 +84,14 @@ def test_circulant_bands_miss_no_pair_at_the_threshold():
     assert 100 * (size - d) >= 85 * (size + d) and (a == b).any(1).all()
 
 
+def test_components(spark):
+    edges = [(1, 2), (2, 1), (3, 3), (2, 4), (None, 5), (6, None), (9, 7), (7, 8)] + [(i, i + 1) for i in range(20, 60)]
+    frame = spark.createDataFrame([(*e, "x") for e in edges], "a long, b long, node string")
+    got = {r.node: r.component for r in components(frame).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 7: 7, 8: 7, 9: 7} | {i: 20 for i in range(20, 61)}
+    assert components(frame.limit(0)).count() == 0
+
+
 def test_exact_duplicates(docs, none):
     out = exact_dedup.deduplicate(docs)
     assert set(out.columns) == {"doc_id", "score", "keep", "keep_id", "group_size", "kept", "text_sha256"}

@@ -1,4 +1,9 @@
-"""Connected components by labels that jump along pointers."""
+"""Connected components by labels that jump along pointers.
+
+Defined cases: edges may be listed more than once and in either direction; an edge from a node to itself or with a
+null end counts as none; ties can't occur, since the smallest node names a component; an empty table of edges has no
+components; other columns of the edges are left out. The edges stay in Spark, however many there are.
+"""
 
 from __future__ import annotations
 
