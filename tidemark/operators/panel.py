@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import window_shares
+from tidemark.operators.ranges import deepest_fall, fall_blocks
+
 
 def sessions(before: int, after: int, key: str = "code", idx: str = "idx"):
     return Window.partitionBy(key).orderBy(idx).rangeBetween(before, after)
@@ -41,10 +44,7 @@ def prior_median_ratio(px: DataFrame, value: str, window: int, least: int) -> Da
 
 def self_percentile(px: DataFrame, value: str, rows: int, least: int) -> DataFrame:
     """The share of an entity's earlier rows that are not larger."""
-    w = Window.partitionBy("code").orderBy("idx").rowsBetween(-rows, -1)
-    before = F.collect_list(value).over(w)
-    share = F.size(F.filter("before", lambda x: x <= F.col(value))) / F.size("before")
-    return px.withColumn("before", before).withColumn("pct", F.when(F.size("before") >= least, share)).drop("before")
+    return window_shares(px, {"pct": value}, (-rows, -1), least)
 
 
 def cross_percentile(px: DataFrame, by: str, value: str, least: int) -> DataFrame:
@@ -65,7 +65,7 @@ def regime(bench: DataFrame, short: int, long: int) -> DataFrame:
     return out.withColumn("regime", label)
 
 
-def forward(entries: DataFrame, px: DataFrame, bench: DataFrame, horizons: DataFrame, last_idx: int, cost: float = 0.003) -> DataFrame:
+def forward(entries: DataFrame, px: DataFrame, bench: DataFrame, horizons: DataFrame, last_idx: int | Column, cost: float = 0.003) -> DataFrame:
     """Each entry's return to the exact session h later, with benchmark, excess and net of cost, and a status."""
     grid = entries.crossJoin(F.broadcast(horizons)).withColumn("exit_idx", F.col("idx") + F.col("h"))
     enter = px.select("code", "idx", F.col("close").alias("p0"))
@@ -77,7 +77,7 @@ def forward(entries: DataFrame, px: DataFrame, bench: DataFrame, horizons: DataF
     return out.withColumn("net", F.when(F.col("gross").isNotNull(), F.greatest(F.lit(-1.0), F.col("gross") - cost))).withColumn("excess", F.col("gross") - (F.col("b1") / F.col("b0") - 1))
 
 
-def forward_observation(entries: DataFrame, quotes: DataFrame, halts: DataFrame, bench: DataFrame, horizons: DataFrame, last_idx: int, cost: float = 0.003) -> DataFrame:
+def forward_observation(entries: DataFrame, quotes: DataFrame, halts: DataFrame, bench: DataFrame, horizons: DataFrame, last_idx: int | Column, cost: float = 0.003) -> DataFrame:
     """Each entry's adjusted return to the exact session h later, what stands against it, and the deepest fall on the way.
 
     quotes: code, idx, raw, factor; halts: code, idx. An entry without a return has the first status that applies, in the
@@ -102,14 +102,10 @@ def forward_observation(entries: DataFrame, quotes: DataFrame, halts: DataFrame,
     out = out.join(F.broadcast(b0), "idx", "left").join(F.broadcast(b1), "exit_idx", "left").withColumn("benchmark", F.col("b1") / F.col("b0") - 1)
     net = F.when(F.col("gross").isNotNull(), F.greatest(F.lit(-1.0), F.col("gross") - cost))
     out = out.withColumn("net", net).withColumn("excess", F.col("gross") - F.col("benchmark")).withColumn("net_excess", F.col("net") - F.col("benchmark"))
-    # the way is walked once for the longest horizon of an entry, and each horizon takes the lowest point up to its own end
-    seen = entries.select("as_of", "code", "idx").distinct()
-    most = horizons.agg(F.max("h")).scalar()
-    way = seen.join(q.select("code", F.col("idx").alias("at"), "adj").where("adj is not null"), "code").where((F.col("at") >= F.col("idx")) & (F.col("at") <= F.col("idx") + most))
-    w = Window.partitionBy("as_of", "code").orderBy("at")
-    low = way.withColumn("fall", F.when(F.max("adj").over(w) > 0, F.col("adj") / F.max("adj").over(w) - 1)).withColumn("low", F.min("fall").over(w))
-    lowest = low.join(F.broadcast(horizons)).where(F.col("at") <= F.col("idx") + F.col("h")).groupBy("as_of", "code", "h").agg(F.min("low").alias("drawdown"))
-    out = out.join(lowest, ["as_of", "code", "h"], "left")
+    # of each entry's way only its two ends are looked up, in blocks of the whole path
+    shortest = F.length(F.bin(horizons.agg(F.min("h")).scalar().cast("long"))) - 1
+    blocks = fall_blocks(q, "adj", F.lit(last_idx) if isinstance(last_idx, int) else last_idx, lowest=shortest)
+    out = deepest_fall(out, blocks, "idx", "exit_idx")
     return out.withColumn("drawdown", F.when(F.col("status") == "observed", F.col("drawdown"))).drop("raw0", "raw1", "adj0", "adj1", "there0", "there1", "known", "halted", "b0", "b1")
 
 

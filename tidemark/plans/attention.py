@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bounded, coverage_bucket, mean_known, positive_penalty, spike_penalty
 from tidemark.operators import pit
+from tidemark.operators.order import window_shares
 from tidemark.plans.panels import BENCH, bench
 from tidemark.plans.views import Views
 from tidemark.registry import query
@@ -73,16 +74,13 @@ ATTENTION = """av AS (SELECT code, idx, len(list_filter(lt, lambda x: x <= turno
   ats AS (SELECT *, CASE WHEN v IS NOT NULL THEN 100 * (0.4 * (1 - t) + 0.4 * (1 - a) + 0.2 * (1 - least(v, 3) / 3)) END AS score FROM av)"""
 
 
-def share_below(value: str, held: str):
-    return F.size(F.filter(held, lambda x: x <= F.col(value))) / F.size(held)
-
-
 def attention(v: Views) -> DataFrame:
     """Turnover and amount among an entity's own last 252 rows, and volume against its last 20."""
     w = Window.partitionBy("code").orderBy("idx")
     prior = w.rowsBetween(-20, -1)
-    rows = v.px.withColumns({"lt": F.collect_list("turnover").over(w.rowsBetween(-251, 0)), "la": F.collect_list("amount").over(w.rowsBetween(-251, 0)), "n": F.count("vol").over(prior), "m": F.avg("vol").over(prior)})
-    rows = rows.select("code", "idx", share_below("turnover", "lt").alias("t"), share_below("amount", "la").alias("a"), F.when((F.col("n") == 20) & (F.col("m") > 0), F.col("vol") / F.col("m")).alias("v"))
+    px = v.px.select("code", "idx", "vol", "turnover", "amount").withColumns({"n": F.count("vol").over(prior), "m": F.avg("vol").over(prior)})
+    rows = window_shares(px, {"t": "turnover", "a": "amount"}, (-251, 0))
+    rows = rows.select("code", "idx", "t", "a", F.when((F.col("n") == 20) & (F.col("m") > 0), F.col("vol") / F.col("m")).alias("v"))
     score = 100 * (0.4 * (1 - F.col("t")) + 0.4 * (1 - F.col("a")) + 0.2 * (1 - F.least("v", F.lit(3.0)) / 3))
     return rows.withColumn("score", F.when(F.col("v").isNotNull(), score))
 
@@ -106,13 +104,10 @@ LOW = """lw AS (SELECT *, cume_dist() OVER (PARTITION BY idx ORDER BY turnover)
 def low_attention(v: Views) -> DataFrame:
     """Attention on each date against other entities and an entity's own past; unknown unless all four shares are known."""
     w = Window.partitionBy("code").orderBy("idx")
-    own, month = w.rowsBetween(-252, -1), w.rowsBetween(-60, -1)
-    px = v.px.withColumns({
-        "lt": F.collect_list("turnover").over(own), "la": F.collect_list("amount").over(own), "n": F.count("vol").over(month), "md": F.percentile("vol", F.lit(0.5)).over(month),
-        "mv": F.avg("vol").over(w.rowsBetween(-19, 0)), "nxt": F.lead("idx").over(w),
-    })
-    known = lambda held, value: F.when(F.size(held) >= 21, share_below(value, held))
-    px = px.select("code", "idx", "nxt", "turnover", "amount", "mv", known("lt", "turnover").alias("st"), known("la", "amount").alias("sa"), F.when((F.col("n") >= 20) & (F.col("md") > 0), F.least(F.col("vol") / F.col("md"), F.lit(10.0))).alias("surge"))
+    month = w.rowsBetween(-60, -1)
+    px = v.px.select("code", "idx", "vol", "turnover", "amount").withColumns({"n": F.count("vol").over(month), "md": F.percentile("vol", F.lit(0.5)).over(month), "mv": F.avg("vol").over(w.rowsBetween(-19, 0)), "nxt": F.lead("idx").over(w)})
+    px = window_shares(px, {"st": "turnover", "sa": "amount"}, (-252, -1), 21)
+    px = px.select("code", "idx", "nxt", "turnover", "amount", "mv", "st", "sa", F.when((F.col("n") >= 20) & (F.col("md") > 0), F.least(F.col("vol") / F.col("md"), F.lit(10.0))).alias("surge"))
     day = Window.partitionBy("idx")
     px = px.withColumn("ct", F.cume_dist().over(day.orderBy("turnover"))).withColumn("ca", F.cume_dist().over(day.orderBy("amount")))
     dates = F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at")))

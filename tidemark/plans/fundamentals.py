@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import safe_change
-from tidemark.operators import pit
+from tidemark.operators import joins, pit
 from tidemark.plans.facts import KEYS, KNOWN, SINGLE, known, single
 from tidemark.plans.views import Views
 from tidemark.registry import query
@@ -78,10 +78,8 @@ def p10(v: Views) -> DataFrame:
 
 @query("J05_bitemporal", " SELECT a.as_of, i.code, count(*) AS n_versions, max(i.ann_date) AS last_day FROM as_of a JOIN income i ON i.ann_date <= a.as_of GROUP BY 1, 2")
 def j05(v: Views) -> DataFrame:
-    """All versions visible on each date, counted by entity and day before they meet the dates."""
-    days = v.income.groupBy("code", "ann_date").agg(F.count("*").alias("n"))
-    seen = days.join(F.broadcast(v.as_of.select("as_of")), F.col("ann_date") <= F.col("as_of"))
-    return seen.groupBy("as_of", "code").agg(F.sum("n").alias("n_versions"), F.max("ann_date").alias("last_day"))
+    """All versions visible on each date, as counts that run on over versions and dates sorted together."""
+    return joins.visible_counts(v.income, v.as_of, ["code"], "ann_date").withColumnRenamed("n", "n_versions")
 
 
 #: Each feature: its name and its SQL over s (the period), y (the same a year before) and p (the quarter before).

@@ -88,7 +88,7 @@ def w08(v: Views) -> DataFrame:
 
 @query("W10_self_percentile", " SELECT code, idx, round(CASE WHEN len(b) >= 21 THEN len(list_filter(b, lambda x: x <= turnover)) / len(b) END, 6) AS pct FROM (SELECT *, coalesce(list(turnover) OVER (PARTITION BY code ORDER BY idx ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), []) AS b FROM px)")
 def w10(v: Views) -> DataFrame:
-    return P.self_percentile(v.px, "turnover", 252, 21).select("code", "idx", *r6("pct"))
+    return P.self_percentile(v.px.select("code", "idx", "turnover"), "turnover", 252, 21).select("code", "idx", *r6("pct"))
 
 
 @query("W12_cross_percentile", " SELECT code, idx, round(CASE WHEN count(*) OVER (PARTITION BY idx) >= 20 THEN cume_dist() OVER (PARTITION BY idx ORDER BY turnover) END, 6) AS pct FROM px")
@@ -130,10 +130,11 @@ def x12(v: Views) -> DataFrame:
 def x01(v: Views) -> DataFrame:
     """One decision for each entity and date; the first rule that fails gives the reason."""
     grid = v.ref.join(F.broadcast(v.as_of))
-    # a session belongs to the dates of the 20 sessions from it on, which are found by equality
-    ahead = v.px.select("code", "vol", "idx", F.explode(F.sequence("idx", F.col("idx") + 19)).alias("at"))
-    near = ahead.join(F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at"))), "at")
-    liquid = near.groupBy("as_of", "code").agg(F.avg("vol").alias("m"), F.max(F.col("idx") == F.col("at")).alias("traded"))
+    # dates stand among an entity's sessions as rows without a volume; a frame of 20 sessions ends at each
+    both = v.px.select("code", "idx", "vol").unionByName(grid.select("code", "idx", "as_of"), allowMissingColumns=True)
+    near = P.sessions(-19, 0)
+    mean = both.withColumns({"m": F.avg("vol").over(near), "traded": F.count("vol").over(P.sessions(0, 0)) > 0})
+    liquid = mean.where("as_of is not null").select("as_of", "code", "m", "traded")
     why = (
         F.when(F.col("name").startswith("ST"), "st_status").when(F.col("delist_idx") <= F.col("idx"), "delisted_by_as_of").when(F.col("board") == ".BJ", "bse_excluded")
         .when(F.col("list_idx") > F.col("idx"), "listed_after_as_of").when(F.col("idx") - F.col("list_idx") < 17, "new_listing").when(F.col("m").isNull(), "unknown_liquidity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import panel as P
+from tidemark.operators.order import window_shares
 from tidemark.operators.rank import top
 from tidemark.plans.panels import WIN
 from tidemark.plans.ranking import OUT, PICKS, outcomes, picks
@@ -104,16 +104,15 @@ def w03(v: Views) -> DataFrame:
 @query("W09_valuation_percentile", f" SELECT code, idx, round(CASE WHEN len(b) >= 20 THEN len(list_filter(b, lambda x: x <= pe)) / len(b) END, 6) AS pct FROM (SELECT *, coalesce(list(pe) {WIN.format(a=252, b=1)}, []) AS b FROM px WHERE pe > 0)")
 def w09(v: Views) -> DataFrame:
     """The share of an entity's positive values in the previous 252 sessions that are not larger."""
-    rows = v.px.where("pe > 0").withColumn("b", F.collect_list("pe").over(P.sessions(-252, -1)))
-    share = F.size(F.filter("b", lambda x: x <= F.col("pe"))) / F.size("b")
-    return rows.select("code", "idx", F.round(F.when(F.size("b") >= 20, share), 6).alias("pct"))
+    rows = window_shares(v.px.where("pe > 0").select("code", "idx", "pe"), {"pct": "pe"}, (-252, -1), 20, count_rows=False)
+    return rows.select("code", "idx", F.round("pct", 6).alias("pct"))
 
 
 @query("W11_trailing_percentile", " SELECT code, idx, round(len(list_filter(b, lambda x: x <= turnover)) / len(b), 6) AS pct FROM (SELECT *, list(turnover) OVER (PARTITION BY code ORDER BY idx ROWS 251 PRECEDING) AS b FROM px WHERE turnover > 0)")
 def w11(v: Views) -> DataFrame:
-    w = Window.partitionBy("code").orderBy("idx").rowsBetween(-251, 0)
-    rows = v.px.where("turnover > 0").withColumn("b", F.collect_list("turnover").over(w))
-    return rows.select("code", "idx", F.round(F.size(F.filter("b", lambda x: x <= F.col("turnover"))) / F.size("b"), 6).alias("pct"))
+    """As W10, with the row itself and positive values only."""
+    rows = window_shares(v.px.where("turnover > 0").select("code", "idx", "turnover"), {"pct": "turnover"}, (-251, 0))
+    return rows.select("code", "idx", F.round("pct", 6).alias("pct"))
 
 
 @query("W13_prior_row_ratio", " SELECT code, idx, round(vol / CASE WHEN n >= 20 AND m <> 0 THEN m END, 6) AS ratio FROM (SELECT *, median(vol) OVER w AS m, count(vol) OVER w AS n FROM px WINDOW w AS (PARTITION BY code ORDER BY idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))")
