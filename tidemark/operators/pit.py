@@ -85,8 +85,12 @@ def _mismatch(matched: Column, missing: str) -> Column:
     return out
 
 
-def unknown_part(names: Sequence[str] = tuple(MISMATCHES)) -> Column:
-    return F.coalesce(*[F.when(F.col(c).isNull() | (F.col(c) == "UNKNOWN"), f"unknown_{c}") for c in names])
+#: What is said of a part of the identity that isn't known, the first one counts.
+UNKNOWN_PARTS = {"duration": "unsupported_duration_semantics", "report_family": "unsupported_report_family", "statement_type": "unsupported_statement_type", "scope": "unknown_scope", "unit": "unknown_unit", "accounting": "unknown_accounting_semantics"}
+
+
+def unknown_part() -> Column:
+    return F.coalesce(*[F.when(F.col(c).isNull() | (F.col(c) == "UNKNOWN"), why) for c, why in UNKNOWN_PARTS.items()])
 
 
 def match_comparable(known: DataFrame, value: str, lag: int, by: Sequence[str] = ("as_of", "code"), key: Sequence[str] = ("report_type",)) -> DataFrame:

@@ -36,7 +36,7 @@ def _chain(lag: str) -> str:
       max(CASE WHEN {full} THEN p.revenue END) AS base FROM rep c LEFT JOIN rep p ON p.as_of = c.as_of AND p.code = c.code AND p.pn = c.pn - {lag} GROUP BY ALL)"""
 
 
-UNKNOWN = " ".join(f"WHEN {n} = 'UNKNOWN' THEN 'unknown_{n}'" for n in pit.MISMATCHES)
+UNKNOWN = " ".join(f"WHEN {n} = 'UNKNOWN' THEN '{why}'" for n, why in pit.UNKNOWN_PARTS.items())
 DIFFERS = " ".join(f"WHEN NOT m{i} THEN '{why}'" for i, why in enumerate(pit.MISMATCHES.values()))
 
 
@@ -46,7 +46,8 @@ def _match(name: str, lag: int) -> None:
 
     @query(name, f", {REPORTS}, {_chain(str(lag))}, w AS (SELECT *, {why} AS reason FROM mt) SELECT {COLS}, reason, round(CASE WHEN reason IS NULL THEN (revenue - base) / base END, 6) AS growth FROM w")
     def run(v: Views) -> DataFrame:
-        return pit.match_comparable(reports(v), "revenue", lag).select(*OUT, "reason", F.round("growth", 6).alias("growth"))
+        v.keep("as_of")
+        return pit.match_comparable(v.once("reports", lambda: reports(v)), "revenue", lag).select(*OUT, "reason", F.round("growth", 6).alias("growth"))
 
 
 _match("P08_match_yoy", 4)
@@ -58,7 +59,8 @@ QUARTER = f"""CASE {UNKNOWN} WHEN duration NOT IN ('CUMULATIVE_YTD', 'SINGLE_QUA
 
 @query("P09_quarters_identity", f", {REPORTS}, {_chain('1')}, w AS (SELECT *, {QUARTER} AS reason, duration = 'SINGLE_QUARTER' OR pn % 4 = 0 AS whole FROM mt) SELECT {COLS}, reason, round(CASE WHEN reason IS NOT NULL THEN NULL WHEN whole THEN revenue ELSE revenue - base END, 6) AS quarter_value, CASE WHEN reason IS NULL THEN CASE WHEN whole THEN pn::varchar ELSE concat_ws('|', pn, pn - 1) END END AS source_periods FROM w")
 def p09_identity(v: Views) -> DataFrame:
-    return pit.quarters_by_identity(reports(v), "revenue").select(*OUT, "reason", F.round("quarter_value", 6).alias("quarter_value"), "source_periods")
+    v.keep("as_of")
+    return pit.quarters_by_identity(v.once("reports", lambda: reports(v)), "revenue").select(*OUT, "reason", F.round("quarter_value", 6).alias("quarter_value"), "source_periods")
 
 
 @query("P06_latest_identity", f", {REPORTS}, l AS (SELECT *, rank() OVER (PARTITION BY as_of, code ORDER BY pn DESC) AS r FROM rep) SELECT as_of, code, pn, CASE WHEN count(DISTINCT (coalesce(report_type, ''), duration, report_family, statement_type, scope, unit, accounting)) > 1 THEN 'ambiguous_period_chain' END AS reason, round(CASE WHEN count(DISTINCT (coalesce(report_type, ''), duration, report_family, statement_type, scope, unit, accounting)) = 1 THEN max(revenue) END, 6) AS revenue FROM l WHERE r = 1 GROUP BY as_of, code, pn")

@@ -23,7 +23,8 @@ def known(v: Views) -> DataFrame:
 
 
 def single(v: Views) -> DataFrame:
-    return pit.quarters(known(v), ["revenue", "profit"])
+    """Single quarters, written once by queries that keep what they read several times."""
+    return v.once("single", lambda: pit.quarters(v.once("known", lambda: known(v)), ["revenue", "profit"]))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -141,6 +142,7 @@ def _obs(v: Views) -> DataFrame:
 def k02(v: Views) -> DataFrame:
     from tidemark.operators.rank import top
 
+    v.keep("as_of")
     last = pit.latest(_obs(v), ["as_of", "code"], "pn")
     return top(last, ["as_of"], [F.col("growth").desc_nulls_last(), F.col("code")], 10).select("as_of", "code", F.round("growth", 6).alias("growth"), "rank")
 

@@ -49,7 +49,7 @@ CTES = {
                     CASE WHEN code % 8 = 6 AND yr % 3 = 1 THEN 'raw:group' ELSE 'source_default' END AS report_family, 'INCOME_STATEMENT' AS statement_type,
                     CASE WHEN own = 1 THEN 'parent_only' WHEN code % 10 = 7 AND pn % 7 = 1 THEN 'source_default' ELSE 'consolidated' END AS scope,
                     CASE WHEN code % 10 = 3 AND yr % 5 = 2 THEN 'cny:1000' ELSE 'cny:1' END AS unit, CASE WHEN code % 12 = 8 AND yr >= 1999 THEN 'raw:ifrs' ELSE 'source_default' END AS accounting,
-                    CASE WHEN code % 11 = 2 AND q = 2 THEN CAST(NULL AS double) ELSE revenue * x END AS revenue
+                    CASE WHEN code % 11 = 2 AND q = 2 THEN CAST(NULL AS double) ELSE revenue * x END AS revenue, profit * x AS profit
                   FROM (SELECT i.*, 0 AS own, CASE WHEN (code + q) % 7 = 0 AND update_flag = 0 THEN NULL ELSE update_flag END AS f, 1 AS ord, 1.0 AS x FROM income i
                         UNION ALL SELECT i.*, 1, update_flag, 2, 0.4 FROM income i WHERE code % 6 = 0
                         UNION ALL SELECT i.*, 0, NULL, 3, 0.9 FROM income i WHERE (code + yr + q) % 9 = 0 AND update_flag = 0) z""",
