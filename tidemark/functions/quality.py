@@ -18,12 +18,15 @@ UNSAFE = ("stale", "future_unsafe", "future-unsafe", "pit_warning", "pit_unsafe"
 INSUFFICIENT = ("insufficient_history", "insufficient_data", "discontinuous", "stale")
 
 
-def evidence_category(status: Column, reason: Column, value: Column) -> Column:
-    """valid, missing, unsupported or invalid, by status, then reason, then value; a status that isn't known isn't evidence."""
+def evidence_category(status: Column, reason: Column, value: Column, warned: Column | None = None) -> Column:
+    """valid, missing, unsupported or invalid: by warned (something nested in the evidence tells of unsafe use), status, reason and value.
+
+    Only the listed statuses count as valid or missing; all others are invalid.
+    """
     s, r = F.coalesce(F.lower(F.trim(status)), F.lit("missing")), F.coalesce(F.lower(F.trim(reason)), F.lit(""))
     absent = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     return (
-        F.when(s.isin(*UNSUPPORTED) | s.contains("unsupported") | r.contains("unsupported"), "unsupported")
+        F.when(F.coalesce(warned, F.lit(False)) if warned is not None else F.lit(False), "invalid").when(s.isin(*UNSUPPORTED) | s.contains("unsupported") | r.contains("unsupported"), "unsupported")
         .when(r.rlike("|".join(INVALID_TOKENS)) | s.isin(*UNSAFE), "invalid")
         .when(absent, F.when(s.isin(*INSUFFICIENT), "invalid").otherwise("missing"))
         .when(s.isin(*VALID), "valid").when(s.isin(*MISSING), "missing").otherwise("invalid")

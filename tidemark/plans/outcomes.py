@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import panel as P
 from tidemark.operators.rank import top
+from tidemark.operators.segments import by_dimension, segment_figures
 from tidemark.plans.evaluation import FOLLOW, MEMBER, followed, members
 from tidemark.plans.panels import bench
 from tidemark.plans.ranking import PICKS
@@ -46,7 +47,7 @@ def e02_observation(v: Views) -> DataFrame:
 
 MEMBERS = "('member_from_snapshot', 'member_from_history')"
 FULL = f"""{OBSERVED}, {FOLLOW}, v1 AS (SELECT as_of, code, bool_or(CASE WHEN nth = 1 THEN improved END) AS improved, bool_or(CASE WHEN nth = 1 THEN improved END) AND bool_or(CASE WHEN nth = 2 THEN improved END) AS lasting FROM fl GROUP BY ALL),
-  fr AS (SELECT f.*, {MEMBER.replace('k.', 'f.')} AS membership, CASE WHEN f.code % 5 <> 0 THEN CAST(r2.industry AS text) END AS industry, CASE WHEN f.rank % 4 <> 0 THEN f.vol END AS cap, v1.improved, v1.lasting
+  fr AS MATERIALIZED (SELECT f.*, {MEMBER.replace('k.', 'f.')} AS membership, CASE WHEN f.code % 5 <> 0 THEN CAST(r2.industry AS text) END AS industry, CASE WHEN f.rank % 4 <> 0 THEN f.vol END AS cap, v1.improved, v1.lasting
     FROM fw f LEFT JOIN (SELECT * FROM ref WHERE code % 13 <> 0) r ON r.code = f.code LEFT JOIN ref r2 ON r2.code = f.code LEFT JOIN v1 ON v1.as_of = f.as_of AND v1.code = f.code),
   co AS (SELECT h, as_of, avg(gross) AS m FROM fr GROUP BY ALL HAVING avg(gross) IS NOT NULL), cw AS (SELECT h, as_of, m, product(1 + m) OVER (PARTITION BY h ORDER BY as_of) AS w FROM co),
   cd AS (SELECT h, min(w / greatest(1.0, p) - 1) AS d, avg(m) AS top FROM (SELECT *, max(w) OVER (PARTITION BY h ORDER BY as_of) AS p FROM cw) GROUP BY h),
@@ -118,30 +119,27 @@ DIMS = ("yr", "regime", "bucket", "industry", "h")
 #: One dimension at a time, and none.
 CUTS = "GROUPING SETS ((variant), " + ", ".join(f"(variant, {d})" for d in DIMS) + ")"
 MEASURES = "count(*) AS n, count(gross) AS observed, count(gross) / count(*) AS coverage, avg(gross) AS mean, median(gross) AS median, avg(CASE WHEN gross > 0 THEN 1.0 WHEN gross IS NOT NULL THEN 0.0 END) AS hit, CASE WHEN count(gross) >= 2 THEN stddev_pop(gross) END AS std, CASE WHEN count(gross) >= 2 THEN quantile_cont(gross, 0.75) - quantile_cont(gross, 0.25) END AS iqr, min(gross) AS least, max(gross) AS most, avg(excess) AS mean_excess"
-SEGMENT = f"""{FULL}, sv AS (SELECT unnest(['all', 'even']) AS variant), sr AS (SELECT variant, year(as_of) AS yr, CASE WHEN benchmark >= 0.05 THEN 'up' WHEN benchmark <= -0.05 THEN 'down' WHEN benchmark IS NOT NULL THEN 'flat' END AS regime,
+SEGMENT = f"""{FULL}, sv AS (SELECT unnest(['all', 'even']) AS variant), sr AS MATERIALIZED (SELECT variant, year(as_of) AS yr, CASE WHEN benchmark >= 0.05 THEN 'up' WHEN benchmark <= -0.05 THEN 'down' WHEN benchmark IS NOT NULL THEN 'flat' END AS regime,
     CASE WHEN cap IS NULL THEN 'missing' WHEN cap < 100 THEN 'small' WHEN cap < 200 THEN 'mid' ELSE 'large' END AS bucket, coalesce(industry, 'missing') AS industry, h, gross, excess FROM fr CROSS JOIN sv WHERE variant = 'all' OR rank % 2 = 0),
-  sg AS (SELECT variant, {', '.join(DIMS)}, CAST(grouping_id({', '.join(DIMS)}) AS bigint) AS gid, {MEASURES} FROM sr GROUP BY {CUTS})"""
+  sg AS MATERIALIZED (SELECT variant, {', '.join(DIMS)}, CAST(grouping_id({', '.join(DIMS)}) AS bigint) AS gid, {MEASURES} FROM sr GROUP BY {CUTS})"""
 FIGURES = ("coverage", "mean", "median", "hit", "std", "iqr", "least", "most", "mean_excess")
 
 
 @query("G13_segment_metrics", f"{SEGMENT} SELECT s.variant, s.gid, {', '.join('s.' + d for d in DIMS)}, s.n, s.observed, {', '.join(f'round(s.{c}, 6) AS {c}' for c in FIGURES)}, round(s.mean - b.mean, 6) AS delta FROM sg s LEFT JOIN sg b ON b.variant = 'all' AND b.gid = s.gid AND {' AND '.join(f'b.{d} IS NOT DISTINCT FROM s.{d}' for d in DIMS)}")
 def g13_metrics(v: Views) -> DataFrame:
     """Two variants over all outcomes and by year, regime, size, industry and horizon, each against the first."""
-    cap, b, g = F.col("cap"), F.col("benchmark"), F.col("gross")
-    rows = described(v).select(
-        F.explode(F.when(F.col("rank") % 2 == 0, F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all")))).alias("variant"), F.year("as_of").alias("yr"), F.when(b >= 0.05, "up").when(b <= -0.05, "down").when(b.isNotNull(), "flat").alias("regime"),
-        F.when(cap.isNull(), "missing").when(cap < 100, "small").when(cap < 200, "mid").otherwise("large").alias("bucket"), F.coalesce("industry", F.lit("missing")).alias("industry"), "h", "gross", "excess",
-    )
-    two = F.count(g) >= 2
-    measures = [
-        F.count("*").alias("n"), F.count(g).alias("observed"), (F.count(g) / F.count("*")).alias("coverage"), F.avg(g).alias("mean"), F.percentile(g, F.lit(0.5)).alias("median"), F.avg((g > 0).cast("double")).alias("hit"), F.when(two, F.stddev_pop(g)).alias("std"),
-        F.when(two, F.percentile(g, F.lit(0.75)) - F.percentile(g, F.lit(0.25))).alias("iqr"), F.min(g).alias("least"), F.max(g).alias("most"), F.avg("excess").alias("mean_excess"),
-    ]
-    own = [F.col(c) for c in ("variant", *DIMS)]
-    sets = v.written(rows.groupingSets([[own[0]], *[[own[0], c] for c in own[1:]]], *own).agg(F.grouping_id(*own).alias("gid"), *measures), "segments")
-    base = sets.where("variant = 'all'").select(*[F.col(d).alias("base_" + d) for d in ("gid", *DIMS)], F.col("mean").alias("base"))
-    same = F.col("gid") == F.col("base_gid")
-    for d in DIMS:
-        same = same & F.col(d).eqNullSafe(F.col("base_" + d))
-    out = sets.join(base, same, "left")
-    return out.select("variant", "gid", *DIMS, "n", "observed", *[F.round(c, 6).alias(c) for c in FIGURES], F.round(F.col("mean") - F.col("base"), 6).alias("delta"))
+    cap, b = F.col("cap"), F.col("benchmark")
+    both = F.explode(F.when(F.col("rank") % 2 == 0, F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all"))))
+    dims = {
+        "yr": F.year("as_of"), "regime": F.when(b >= 0.05, "up").when(b <= -0.05, "down").when(b.isNotNull(), "flat"),
+        "bucket": F.when(cap.isNull(), "missing").when(cap < 100, "small").when(cap < 200, "mid").otherwise("large"), "industry": F.coalesce("industry", F.lit("missing")), "h": F.col("h"),
+    }
+    long = v.written(by_dimension(described(v).withColumn("variant", both), dims, ["variant", "gross", "excess"]), "dimensions")
+    sets = v.written(segment_figures(long, ["variant", "dim", "seg"], "gross", "excess"), "segments")
+    base = sets.where("variant = 'all'").select("dim", F.col("seg").alias("base_seg"), F.col("mean").alias("base"))
+    out = sets.join(base, (sets["dim"] == base["dim"]) & F.col("seg").eqNullSafe(F.col("base_seg")), "left").select(sets["*"], "base")
+    own = {d: F.when(F.col("dim") == d, F.col("seg")) for d in DIMS} | {d: F.when(F.col("dim") == d, F.col("seg").cast("int")) for d in ("yr", "h")}
+    gid = F.lit(2 ** len(DIMS) - 1)
+    for i, d in enumerate(DIMS):
+        gid = F.when(F.col("dim") == d, 2 ** len(DIMS) - 1 - 2 ** (len(DIMS) - 1 - i)).otherwise(gid)
+    return out.select("variant", gid.cast("long").alias("gid"), *[own[d].alias(d) for d in DIMS], "n", "observed", *[F.round(c, 6).alias(c) for c in FIGURES], F.round(F.col("mean") - F.col("base"), 6).alias("delta"))

@@ -53,6 +53,10 @@ CTES = {
                   FROM (SELECT i.*, 0 AS own, CASE WHEN (code + q) % 7 = 0 AND update_flag = 0 THEN NULL ELSE update_flag END AS f, 1 AS ord, 1.0 AS x FROM income i
                         UNION ALL SELECT i.*, 1, update_flag, 2, 0.4 FROM income i WHERE code % 6 = 0
                         UNION ALL SELECT i.*, 0, NULL, 3, 0.9 FROM income i WHERE (code + yr + q) % 9 = 0 AND update_flag = 0) z""",
+    # nested payloads, parts of which many entities share
+    "payloads": """SELECT s_suppkey AS code, n_name AS nation, r_name AS region, '{"entity":{"code":' || CAST(s_suppkey AS varchar(20)) || ',"nation":{"name":"' || n_name || '","region":{"name":"' || r_name || '"}}},"lines":[{"flag":"A","n":' || CAST(a AS varchar(20)) || '},{"flag":"N","n":' || CAST(nn AS varchar(20)) || '},{"flag":"R","n":' || CAST(r AS varchar(20)) || '}]}' AS payload, a, nn, r
+                 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+                 JOIN (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) % 5 AS a, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) % 5 AS nn, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) % 5 AS r FROM lineitem GROUP BY l_suppkey) z ON l_suppkey = s_suppkey""",
     "ref": """SELECT s_suppkey AS code, CASE WHEN s_suppkey % 11 = 0 THEN 60 ELSE 1 END AS list_idx, CASE WHEN s_suppkey % 23 = 0 THEN 250 END AS delist_idx,
                 CASE WHEN s_suppkey % 19 = 0 THEN 'ST' || s_name ELSE s_name END AS name, CASE WHEN s_suppkey % 29 = 0 THEN '.BJ' ELSE '.SH' END AS board, s_nationkey AS industry FROM supplier""",
 }

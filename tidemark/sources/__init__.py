@@ -158,3 +158,24 @@ def observations(spark: SparkSession, path: str, label: str, lines: bool = False
     else:
         rows = spark.read.option("header", True).csv(path, inferSchema=True) if kind == "csv" else spark.read.parquet(path)
     return rows.withColumn("variant", F.lit(label))
+
+
+def artifact(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """Observations of JSON artifacts, each one document with one array that may be large, with the config and snapshots beside it.
+
+    Columns of all observations are united; the schema is read from them by all tasks. `_artifact_evaluation_config` is the
+    configuration with its names in order, `_artifact_snapshot_ids` the snapshots in order. A document that is an array has
+    neither. Without any observation only those columns are there.
+    """
+    from tidemark.sources.json_array import elements
+
+    rows, headers = elements(spark, path)
+    rows = materialize(rows, "observations")
+    whole = rows.agg(F.schema_of_variant_agg(F.parse_json("json"))).first()[0]
+    v = F.try_parse_json("json")
+    text = lambda at: F.to_json(F.try_variant_get(v, at, "variant"))
+    ids = F.to_json(F.array_sort(F.try_variant_get(v, "$.provenance.scan_snapshot_ids", "array<string>")))
+    beside = headers.select("file", text("$.configuration").alias("_artifact_evaluation_config"), F.try_variant_get(v, "$.provenance.evaluation_config_fingerprint", "string").alias("_artifact_evaluation_fingerprint"), ids.alias("_artifact_snapshot_ids"))
+    known = whole and whole.startswith("OBJECT")
+    rows = rows.select("file", F.from_json("json", re.sub(r"\bOBJECT<", "STRUCT<", whole)).alias("_row") if known else F.struct(F.lit(None).alias("_none")).alias("_row"))
+    return rows.join(beside, "file", "left").select("_row.*", *beside.columns[1:], F.lit(label).alias("variant"))
