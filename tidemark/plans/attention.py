@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bounded, coverage_bucket, mean_known, positive_penalty, spike_penalty
 from tidemark.operators import pit
+from tidemark.operators.attention import FIELDS, Limits
+from tidemark.operators.attention import low_attention as low_attention_gates
+from tidemark.operators.joins import on_dates
 from tidemark.operators.order import window_shares
 from tidemark.plans.panels import BENCH, bench
 from tidemark.plans.views import Views
@@ -156,3 +159,36 @@ def x13(v: Views) -> DataFrame:
     inside = F.col("i1") <= F.col("at")
     status = F.when(~F.coalesce(inside, F.lit(False)), "incomplete_window").when(F.col("p0").isNull() | F.col("p1").isNull(), "missing_price").otherwise("observed")
     return out.select("as_of", "code", "pn", status.alias("status"), F.round(F.when(inside, F.col("p1") / F.col("p0") - F.col("b1") / F.col("b0")), 6).alias("excess"))
+
+
+#: Amounts and turnovers with gaps and days without trade; some entities are listed late, on a day of their own.
+GAPS = """gp AS (SELECT code, session_date AS day, vol, CASE WHEN (code * 3 + idx) % 23 <> 0 THEN turnover END AS turnover, CASE WHEN (code + idx) % 17 = 0 THEN NULL WHEN (code + idx) % 19 = 0 THEN 0 ELSE amount END AS amount FROM px)"""
+FLOOR = 45000.0
+CROSS = ", ".join(f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER (PARTITION BY day) >= 20 THEN cume_dist() OVER (PARTITION BY day, {c} IS NULL ORDER BY {c}) END AS cross_{k}" for k, c in FIELDS.items())
+OWN = ", ".join(f"CASE WHEN {c} IS NOT NULL AND len(l{c}) >= 21 THEN len(list_filter(l{c}, lambda x: x <= {c})) / len(l{c}) END AS self_{k}" for k, c in FIELDS.items())
+LISTS = ", ".join(f"coalesce(list({c}) FILTER ({c} IS NOT NULL) OVER own, []) AS l{c}" for c in FIELDS.values())
+GATES = f"""{GAPS}, ls AS (SELECT r.code, CASE WHEN r.code % 11 = 0 THEN c.session_date END AS list_day FROM ref r LEFT JOIN cal c ON c.idx = 95 + r.code % 9),
+  gc AS (SELECT *, {CROSS} FROM gp), go AS (SELECT g.* FROM gc g JOIN ls l USING (code) WHERE l.list_day IS NULL OR g.day >= l.list_day),
+  gs AS (SELECT * , {OWN} FROM (SELECT *, {LISTS}, CASE WHEN count(vol) OVER b >= 20 THEN median(vol) OVER b END AS bv, CASE WHEN count(turnover) OVER b >= 20 THEN median(turnover) OVER b END AS bt, avg(amount) OVER (PARTITION BY code ORDER BY day ROWS 19 PRECEDING) AS ma FROM go
+    WINDOW own AS (PARTITION BY code ORDER BY day ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY code ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))),
+  gq AS (SELECT a.as_of, (SELECT max(session_date) FROM px WHERE session_date <= a.as_of) AS session, l.code, l.list_day FROM as_of a CROSS JOIN ls l),
+  gj AS (SELECT q.as_of, q.session, q.list_day, q.code, s.* EXCLUDE (code) FROM gq q ASOF LEFT JOIN gs s ON s.code = q.code AND s.day <= q.as_of),
+  g1 AS (SELECT *, CASE WHEN day IS NULL THEN 'no_data' WHEN day = session THEN 'traded' WHEN session - day > 10 THEN 'stale' ELSE 'suspended_session' END AS status, coalesce(as_of - list_day < 120, false) AS young FROM gj),
+  g2 AS (SELECT *, status = 'traded' AS t, CASE status WHEN 'stale' THEN 'stale_data' WHEN 'suspended_session' THEN status WHEN 'traded' THEN CASE WHEN young THEN 'new_listing' END ELSE 'missing_history' END AS self_reason,
+    concat_ws('|', CASE WHEN ma IS NULL THEN 'unknown_liquidity' WHEN ma < {FLOOR} THEN 'low_liquidity' END, CASE WHEN status = 'traded' AND amount IS NULL THEN 'unknown_current_liquidity' WHEN status = 'traded' AND amount <= 0 THEN 'no_trading_activity' END, CASE WHEN young THEN 'new_listing' END, CASE WHEN status <> 'traded' THEN 'no_session_at_decision' END) AS liquidity_reasons FROM g1),
+  g3 AS (SELECT as_of, code, status, liquidity_reasons, self_reason, CASE WHEN self_reason IS NULL THEN self_turnover END AS self_turnover, CASE WHEN self_reason IS NULL THEN self_amount END AS self_amount, CASE WHEN self_reason IS NULL THEN self_volume END AS self_volume,
+    CASE WHEN t THEN cross_turnover END AS cross_turnover, CASE WHEN t THEN cross_amount END AS cross_amount, CASE WHEN t THEN cross_volume END AS cross_volume, CASE WHEN t AND bv <> 0 THEN vol / bv END AS raw, CASE WHEN t AND bt <> 0 THEN turnover / bt END AS change FROM g2),
+  g4 AS (SELECT *, CASE WHEN raw >= 2 OR change >= 2 THEN true WHEN raw IS NOT NULL OR change IS NOT NULL THEN false END AS surge, 100 * ((1 - cross_turnover) + (1 - cross_amount) + (1 - self_turnover) + (1 - self_amount)) / 4 AS score FROM g3)"""
+SHARES = [f"{a}_{k}" for a in ("self", "cross") for k in FIELDS]
+
+
+@query("X09_gates", f", {GATES} SELECT as_of, code, status, liquidity_reasons, self_reason, {', '.join(f'round({x}, 6) AS {x}' for x in SHARES)}, round(CASE WHEN raw IS NOT NULL THEN least(raw, 10.0) END, 6) AS abnormal_volume, coalesce(raw > 10, false) AS capped, round(change, 6) AS baseline_change, surge AS attention_surge, round(score, 4) AS score, CASE WHEN score IS NOT NULL THEN liquidity_reasons = '' AND status = 'traded' AND NOT coalesce(surge, false) END AS opportunity FROM g4")
+def x09_gates(v: Views) -> DataFrame:
+    """Attention with every gate: status, liquidity, listing age, population, both baselines, surge, score and opportunity."""
+    px = v.keep("px", "cal", "as_of").px
+    c = F.col
+    amount = F.when((c("code") + c("idx")) % 17 == 0, None).when((c("code") + c("idx")) % 19 == 0, 0.0).otherwise(c("amount"))
+    rows = px.select("code", c("session_date").alias("day"), "vol", F.when((c("code") * 3 + c("idx")) % 23 != 0, c("turnover")).alias("turnover"), amount.alias("amount"))
+    listed = v.ref.select("code", (95 + c("code") % 9).cast("int").alias("idx")).join(v.cal, "idx", "left").select("code", F.when(c("code") % 11 == 0, c("session_date")).alias("list_day"))
+    out = low_attention_gates(rows, on_dates(listed, v.as_of, "as_of"), Limits(least_amount=FLOOR))
+    return out.select("as_of", "code", "status", "liquidity_reasons", "self_reason", *[F.round(x, 6).alias(x) for x in [*SHARES, "abnormal_volume"]], "capped", F.round("baseline_change", 6).alias("baseline_change"), "attention_surge", F.round("score", 4).alias("score"), "opportunity")

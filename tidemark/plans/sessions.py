@@ -11,6 +11,7 @@ from tidemark.plans.panels import WIN
 from tidemark.plans.ranking import OUT, PICKS, outcomes, picks
 from tidemark.plans.views import Views
 from tidemark.registry import query
+from tidemark.sources import stamp
 
 
 @query("S03_projected_read", " SELECT o_orderkey, o_orderdate::date AS day, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
@@ -27,9 +28,11 @@ def s04(v: Views) -> DataFrame:
     return rows.groupBy("as_of", "code").agg(F.count("*").alias("n"), F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"))
 
 
-@query("S08_provenance_stamp", " SELECT o_orderkey, 'orders' AS source, 'batch' AS source_api FROM orders")
+@query("S08_provenance_stamp", " SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m%d') AS retrieved_at, CASE WHEN o_orderkey % 3 = 0 THEN 'exchange' ELSE 'orders' END AS source, 'batch' AS source_api FROM orders")
 def s08(v: Views) -> DataFrame:
-    return v.orders.select("o_orderkey", F.lit("orders").alias("source"), F.lit("batch").alias("source_api"))
+    """Rows of two feeds, each with when and by what it was fetched: the day after its own."""
+    at = F.date_format(F.date_add("o_orderdate", 1), "yyyyMMdd")
+    return stamp(v.orders.select("o_orderkey", "o_orderdate"), F.when(F.col("o_orderkey") % 3 == 0, "exchange").otherwise("orders"), "batch", at).drop("o_orderdate")
 
 
 @query("F24_reference_predicates", " SELECT code, board = '.BJ' AS is_bse, name LIKE 'ST%' AS is_st, delist_idx IS NULL AS listed FROM ref")
