@@ -65,6 +65,14 @@ def described(v: Views) -> DataFrame:
     return rows.withColumn("cap", F.when(F.col("rank") % 4 != 0, F.col("vol"))).withColumn("lasting", F.col("improved") & F.col("second"))
 
 
+@query("E11_candidates", f"{FULL} SELECT as_of, code, rank, h, status, round(gross, 6) AS gross, round(net_excess, 6) AS net_excess, round(drawdown, 6) AS drawdown, membership, industry, cap, improved, lasting, CASE WHEN improved IS NULL THEN 'unknown' WHEN improved AND lasting THEN 'persistent' WHEN improved AND NOT lasting THEN 'false_turnaround' WHEN improved THEN 'awaiting_second' ELSE 'not_improved' END AS follow_through FROM fr")
+def e11_candidates(v: Views) -> DataFrame:
+    """Every candidate at every horizon: the market's outcome, what it was exposed to, and what its next two reports said."""
+    up, both = F.col("improved"), F.col("lasting")
+    said = F.when(up.isNull(), "unknown").when(up & both, "persistent").when(up & ~both, "false_turnaround").when(up, "awaiting_second").otherwise("not_improved")
+    return described(v).select("as_of", "code", "rank", "h", "status", *[F.round(c, 6).alias(c) for c in ("gross", "net_excess", "drawdown")], "membership", "industry", "cap", "improved", "lasting", said.alias("follow_through"))
+
+
 def _stats(prefix: str, x: str) -> list:
     c = F.col(x)
     return [F.avg(c).alias("mean_" + prefix), F.percentile(c, F.lit(0.5)).alias("median_" + prefix), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(prefix + "_iqr"), F.avg((c > 0).cast("double")).alias(prefix + "_hit_rate")]
