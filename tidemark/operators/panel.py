@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.order import window_shares
 from tidemark.operators.ranges import deepest_fall, fall_blocks
+from tidemark.sources import materialize
 
 
 def sessions(before: int, after: int, key: str = "code", idx: str = "idx"):
@@ -104,7 +105,8 @@ def forward_observation(entries: DataFrame, quotes: DataFrame, halts: DataFrame,
     out = out.withColumn("net", net).withColumn("excess", F.col("gross") - F.col("benchmark")).withColumn("net_excess", F.col("net") - F.col("benchmark"))
     # of each entry's way only its two ends are looked up, in blocks of the whole path
     shortest = F.length(F.bin(horizons.agg(F.min("h")).scalar().cast("long"))) - 1
-    blocks = fall_blocks(q, "adj", F.lit(last_idx) if isinstance(last_idx, int) else last_idx, lowest=shortest)
+    held = q.join(entries.select("code").distinct(), "code", "left_semi")
+    blocks = materialize(fall_blocks(held, "adj", F.lit(last_idx) if isinstance(last_idx, int) else last_idx, lowest=shortest), "falls")  # both ends are looked up in it
     out = deepest_fall(out, blocks, "idx", "exit_idx")
     return out.withColumn("drawdown", F.when(F.col("status") == "observed", F.col("drawdown"))).drop("raw0", "raw1", "adj0", "adj1", "there0", "there1", "known", "halted", "b0", "b1")
 

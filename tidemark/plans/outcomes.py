@@ -30,7 +30,7 @@ OBSERVED = PICKS + f""", hz AS (SELECT unnest({list(HORIZONS)}) AS h), bx AS (SE
 def observed(v: Views) -> DataFrame:
     """Outcomes of the first 20 by volume at each horizon; the panel is written once, since entries, exits and ways all read it."""
     px = v.keep("px", "as_of", "cal", "bench").px
-    rows = top(px.join(F.broadcast(v.as_of), "idx"), ["as_of"], [F.col("vol").desc(), F.col("code")], 20).select("as_of", "code", "idx", "vol", "rank")
+    rows = v.written(top(px.join(F.broadcast(v.as_of), "idx"), ["as_of"], [F.col("vol").desc(), F.col("code")], 20).select("as_of", "code", "idx", "vol", "rank"), "entries")
     quotes = v.over(px, "quotes")
     last = v.cal.agg(F.max("idx")).scalar()
     horizons = v.spark.createDataFrame([(h,) for h in HORIZONS], "h int")
