@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 UNKNOWN, DEFAULT = "UNKNOWN", "source_default"
 
-# Report types 1 to 8 and the words for scopes and units.
+# Report types 1 to 8 and the words for durations, scopes and units.
 SINGLE_TYPES, CUMULATIVE_TYPES = ("2", "3", "7", "8"), ("1", "4", "5", "6")
-SINGLE_WORDS = ("singlequarter", "quarterly", "quarter", "single")
-CUMULATIVE_WORDS = ("cumulative", "cumulativeytd", "ytd", "yeartodate", "annual", "fy")
-POINT_WORDS = ("pointintime", "point", "stock", "snapshot", "instant")
+DURATIONS = {
+    "SINGLE_QUARTER": "single|quarter(ly)?|.*single.*quarter.*|.*quarter.*single.*",
+    "CUMULATIVE_YTD": "annual|fy|.*ytd|.*(cumulative|yeartodate).*",
+    "POINT_IN_TIME": "stock|instant|.*(point|snapshot).*",
+}
 YES, NO = ("1", "true", "yes", "y"), ("0", "false", "no", "n")
 CONSOLIDATED_TYPES, PARENT_TYPES = ("1", "2", "3", "4"), ("5", "6", "7", "8")
 CONSOLIDATED = ("consolidated", "consolidation", "合并", "合并报表")
@@ -44,11 +46,10 @@ def compact(c: Column) -> Column:
 
 
 def duration_word(c: Column) -> Column:
-    """The duration that a word or phrase names; null where nothing is said."""
+    """The duration whose pattern a word or phrase fits, UNKNOWN if none; null where nothing is said."""
     w = compact(c)
-    exact = F.when(w.isin(*SINGLE_WORDS), "SINGLE_QUARTER").when(w.isin(*CUMULATIVE_WORDS), "CUMULATIVE_YTD").when(w.isin(*POINT_WORDS), "POINT_IN_TIME").when(w.isin(*UNSUPPORTED), UNKNOWN)
-    part = F.when(w.contains("single") & w.contains("quarter"), "SINGLE_QUARTER").when(w.contains("cumulative") | w.contains("yeartodate") | w.endswith("ytd"), "CUMULATIVE_YTD").when(w.contains("point") | w.contains("snapshot"), "POINT_IN_TIME")
-    return F.when(w.isNotNull(), F.coalesce(exact, part, F.lit(UNKNOWN)))
+    fits = [F.when(w.rlike(f"(?s)^({pattern})$"), name) for name, pattern in DURATIONS.items()]
+    return F.when(w.isNotNull(), F.coalesce(*fits, F.lit(UNKNOWN)))
 
 
 def said_yes(c: Column, yes: str, no: str, more: Sequence[str] = ()) -> Column:

@@ -21,7 +21,7 @@ INSUFFICIENT = ("insufficient_history", "insufficient_data", "discontinuous", "s
 def evidence_category(status: Column, reason: Column, value: Column, warned: Column | None = None) -> Column:
     """valid, missing, unsupported or invalid: by warned (something nested in the evidence tells of unsafe use), status, reason and value.
 
-    Only the listed statuses count as valid or missing; all others are invalid.
+    A status that is in none of the lists makes the evidence invalid, whatever its value.
     """
     s, r = F.coalesce(F.lower(F.trim(status)), F.lit("missing")), F.coalesce(F.lower(F.trim(reason)), F.lit(""))
     absent = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))

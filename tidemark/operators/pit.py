@@ -162,6 +162,21 @@ def latest(known: DataFrame, by: Sequence[str], order: str, n: int = 1) -> DataF
     return known.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
 
 
+def next_periods(first: DataFrame, dates: DataFrame, keys: Sequence[str] = ("code",), period: str = "pn", day: str = "first_day") -> DataFrame:
+    """For each as-of date the next two periods whose day comes after it, with nth (1 or 2).
+
+    A period is one of the two from the second latest day of the periods before it until its own day, so that each meets
+    only the dates of that time, in a join by year. Periods without a day are never ahead; an entity's periods are unique.
+    """
+    before = Window.partitionBy(*keys).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    rows = first.where(F.col(day).isNotNull()).withColumn("_latest", F.max(day).over(before))
+    # the second latest so far is the latest of what a later maximum replaced or what fell short of one
+    second = F.max(F.when(F.col("_latest").isNotNull(), F.least(day, "_latest"))).over(before)
+    rows = rows.withColumn("_since", F.coalesce(second, dates.agg(F.min("as_of")).scalar())).withColumn("until", F.col(day)).where("_since < until")
+    nth = F.when(F.col("_latest") > F.col("as_of"), 2).otherwise(1)
+    return current_on(rows, dates, "_since").withColumn("nth", nth).drop("_latest", "_since")
+
+
 def trend(obs: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Change, former change and acceleration between consecutive periods, and how long the latest direction has lasted."""
     w = Window.partitionBy(*by).orderBy("pn")

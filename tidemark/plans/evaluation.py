@@ -91,16 +91,16 @@ FOLLOW = f"""{IND}, ib AS (SELECT a.as_of, i.* FROM as_of a JOIN ind i ON i.avai
 def followed(v: Views) -> DataFrame:
     """The next two reports after each date against the last one known on it, by metric and by vote.
 
-    A report carries its two successors, so that one sorted run of each entity serves all dates.
+    A report is the last one known until the first later one comes, so that its two successors are the next two reports
+    on all those dates; one sorted run of each entity serves them. Reports without a day are never known.
     """
-    ind = indicators(v)
+    ind = indicators(v).where("available is not null")
     w = Window.partitionBy("code").orderBy("pn")
     until = F.min("available").over(w.rowsBetween(1, Window.unboundedFollowing))
-    later = F.collect_list(F.struct("pn", "available", *METRICS)).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = ind.withColumn("until", until).withColumn("later", later)
+    after = F.array_compact(F.array(*[F.lead(F.struct(*METRICS), n).over(w) for n in (1, 2)]))
+    rows = ind.withColumn("until", until).withColumn("after", after)
     base = pit.current_on(rows, v.as_of.select("as_of"), "available")
-    after = F.slice(F.filter("later", lambda x: x["available"] > F.col("as_of")), 1, 2)
-    out = base.select("as_of", "code", *[F.col(m).alias("b_" + m) for m in METRICS], F.posexplode(after).alias("i", "r"))
+    out = base.select("as_of", "code", *[F.col(m).alias("b_" + m) for m in METRICS], F.posexplode("after").alias("i", "r"))
     deltas = {m: F.col("r." + m) - F.col("b_" + m) for m in METRICS}
     out = out.select("as_of", "code", (F.col("i") + 1).cast("long").alias("nth"), *[d.alias("d_" + m) for m, d in deltas.items()])
     known = sum((F.col("d_" + m).isNotNull().cast("long") for m in METRICS), F.lit(0))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import evidence_class, first_available, fiscal_period, norm_date, version_id
 from tidemark.operators import pit
-from tidemark.operators.rank import top
 from tidemark.plans.facts import GROWTH, KNOWN, SINGLE, known, single
 from tidemark.plans.panels import REGIME, p21
 from tidemark.plans.views import Views
@@ -189,8 +188,7 @@ def p27(v: Views) -> DataFrame:
 def e08(v: Views) -> DataFrame:
     """The next two periods whose first version came after the date."""
     first = v.income.groupBy("code", "pn").agg(F.min("ann_date").alias("first_day"))
-    later = first.join(F.broadcast(v.as_of.select("as_of")), F.col("first_day") > F.col("as_of"))
-    return top(later, ["as_of", "code"], [F.col("pn")], 2, "nth").select("as_of", "code", "pn", "nth")
+    return pit.next_periods(first, v.as_of.select("as_of")).select("as_of", "code", "pn", F.col("nth").cast("long").alias("nth"))
 
 
 @query("X06_turnaround_state", f", {SINGLE}, tp AS (SELECT s.as_of, s.code, s.pn, s.sq_profit AS c, p.sq_profit AS p FROM s LEFT JOIN s p ON p.as_of = s.as_of AND p.code = s.code AND p.pn = s.pn - 1) SELECT as_of, code, pn, CASE WHEN c IS NULL OR p IS NULL THEN 'INSUFFICIENT' WHEN p < 0 AND c > 0 THEN 'STRONG_TURNAROUND' WHEN c > p THEN 'IMPROVING' WHEN c < p THEN 'DETERIORATING' ELSE 'STABLE' END AS state FROM tp")

@@ -40,15 +40,16 @@ def s05(v: Views) -> DataFrame:
     return sources.read(v.spark, path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("S06_period_write", " SELECT yr AS year, CASE q WHEN 2 THEN 'H1' WHEN 4 THEN 'FY' ELSE 'Q' || q END AS period, count(*) AS n FROM income WHERE code % 3 = 0 GROUP BY yr, q")
+@query("S06_period_write", " SELECT 'third-' || code % 3 AS unit, yr AS year, CASE q WHEN 2 THEN 'H1' WHEN 4 THEN 'FY' ELSE 'Q' || q END AS period, count(*) AS n FROM income GROUP BY code % 3, yr, q")
 def s06(v: Views) -> DataFrame:
-    """By year and period, then one unit of it, and nothing for a unit without rows."""
+    """By year and period, then all of it by units, and nothing for a unit without rows."""
     path, unit = place(v, "by-period"), place(v, "by-unit")
     sources.write_period(v.income.withColumn("end", F.date_format("end_date", "yyyyMMdd")), path, "end")
     rows = v.spark.read.parquet(path)
-    sources.write_unit(rows.where("code % 3 = 0"), unit, "third")
+    for n in range(3):
+        sources.write_unit(rows.where(F.col("code") % 3 == n), unit, f"third-{n}")
     sources.write_unit(rows.where("code < 0"), unit, "none")
-    return v.spark.read.parquet(unit).where("unit = 'third'").groupBy("year", "period").agg(F.count("*").alias("n"))
+    return v.spark.read.parquet(unit).groupBy("unit", "year", "period").agg(F.count("*").alias("n"))
 
 
 @query("S09_snapshots", f"{PICKS} SELECT as_of, code, rank FROM pk WHERE as_of = (SELECT max(as_of) FROM as_of)")
@@ -56,7 +57,7 @@ def s09(v: Views) -> DataFrame:
     """All scans as snapshots, of which one date is read back."""
     path = place(v, "scans")
     sources.write_snapshot(picks(v).select("as_of", "code", "rank"), path)
-    last = v.as_of.agg(F.date_format(F.max("as_of"), "yyyyMMdd")).first()[0]
+    last = v.as_of.agg(F.date_format(F.max("as_of"), "yyyyMMdd")).scalar()
     return sources.read_snapshot(v.spark, path, last).select("as_of", "code", "rank")
 
 

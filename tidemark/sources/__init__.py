@@ -95,7 +95,7 @@ def write_snapshot(scan: DataFrame, path: str, as_of: str = "as_of") -> None:
     _replace(scan.withColumn("as_of_date", F.date_format(as_of, "yyyyMMdd")), path, ["as_of_date"])
 
 
-def read_snapshot(spark: SparkSession, path: str, as_of_date: str) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, as_of_date: str | Column) -> DataFrame:
     """The scan of one date, which prunes all other folders."""
     return spark.read.parquet(path).where(F.col("as_of_date") == F.lit(as_of_date).cast("string")).drop("as_of_date")
 
