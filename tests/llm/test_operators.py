@@ -377,6 +377,20 @@ def test_mixed_disguises(spark):
     assert toxicity.restore([long], logp, {})[0].split() == ["you", "are"] * 2000
 
 
+def test_only_gains_replace_text(spark):
+    """Disguised words are restored; French, German and Spanish words, addresses, numbers and hashes stay as they are."""
+    words = "you are worthless idiot stupid trash and the river stone lamp créée désagréé schifffahrt seeelefant schnee kaffee allée carro arrado a".split()
+    logp = toxicity.language_model(spark.createDataFrame([(i, prose(i, 60, words)) for i in range(60)], "doc_id long, text string"))
+    plain = ["Schifffahrt", "Seeelefant,", "créée", "A a a", "mail.07@mail2.example.com", '"8249aa8292c8e2d7dc8d8b760c301111bee22a2c"', "3rd 4th b2b", "1 2 3", "10.5.2.1", "…", ""]
+    assert toxicity.restore(plain, logp, {}) == plain
+    for disguised, word in (("stuuupid", "stupid"), ("$tup1d", "stupid"), ("1d1ot!", None), ("s.t.u.p.i.d", "stupid"), ("w0rthle$s", "worthless"), ("tr4sh", "trash"), ("i d i o t", "idiot")):
+        got = toxicity.restore([disguised], logp, {})[0]
+        assert got == word if word else got != disguised, disguised
+    for w in ("stuuupid", "tr4sh", "s t u p i d", "llll", "a.b"):
+        # nothing gains less than what is written; what is written is one of the readings
+        assert toxicity._decoded(w, logp)[1] >= toxicity.as_written(w, logp) - 1e-6
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=x>menu</a></ul></nav><div class=ad>Buy</div><article><h1>Head {i}</h1><p>One&amp;two  {i}<p>three<br>four</p></article><div class='comments'><p>me too</div><footer>&copy; x</footer></body></html>"
     plain = "<html><body><div class='menu'><a href=1>a</a></div><div id='c'><p>Text number {i} is long enough to count as such.</p><p>And more {i}.</p></div><div class='sidebar'>s</div></body></html>"

@@ -2,7 +2,9 @@
 
 The channel writes letters as look-alike signs, parts them with blanks or marks, and repeats them. Each suspicious
 stretch becomes a lattice of what every sign may stand for; Viterbi search under a character language model, counted
-over all texts, picks the likeliest original. The restored text is scored by its distinct letter sequences: those that
+over all texts, picks the likeliest original. It replaces the stretch only if each sign that it changes makes the text
+e**GAIN times likelier on average than the stretch as it is written, so that ordinary words with doubled letters, numbers,
+addresses and hashes stay. The restored text is scored by its distinct letter sequences: those that
 labelled toxic rows have far more often than others are weighed by their log-odds, and a logistic curve turns the sum
 into a score.
 
@@ -10,7 +12,8 @@ Sequences are chosen on one half of a bounded sample of labelled rows and the cu
 
 Defined cases: a null or empty text has no sequence and gets the score of such texts (the curve's start); without
 labels of both kinds every score is 0; documents labelled both ways are not learned from; repeated rows are repeated
-in the result; an empty table gives an empty result.
+in the result; an empty table gives an empty result; very long texts are decoded and scored whole; of readings that are
+equally likely the last in order counts.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from tidemark.llm.langid import _letters
 #: What signs may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 MARKS = ".-_*~'^"
+#: What each changed sign must add to the log-likelihood, on average.
+GAIN = 4.0
 _CODES = 64
 
 
@@ -119,38 +124,66 @@ def suspicious(texts: list[str]) -> list[list[tuple[int, int]]]:
     return [sorted(x) for x in out]
 
 
+def _options(ch: str, run: int) -> list[tuple[str, float, int]]:
+    """What a sign may stand for, what the channel takes for it, and whether that changes the sign."""
+    if _tables()[0][ord(ch)]:
+        return [(ch, 0.0, 0)] + ([("", -0.5 if run > 2 else -3.0, 1)] if run > 1 else [])
+    if ch in SIGNS:
+        return [(x, -0.7, 1) for x in SIGNS[ch]] + [(" ", -4.0, 0), ("", -7.0, 1)]
+    if ch == " " or ch in MARKS:
+        return [(" ", -0.5, 0), ("", -1.0, 1)]
+    return [(" ", 0.0, 0)]
+
+
 def decode(word: str, logp: np.ndarray) -> str:
-    """The likeliest original of a stretch: Viterbi search over the last two codes."""
+    """The likeliest original of a stretch."""
+    return _decoded(word, logp)[0]
+
+
+def _decoded(word: str, logp: np.ndarray) -> tuple[str, float, int]:
+    """The likeliest original, its log-likelihood and how many signs it changes: Viterbi search over the last two codes."""
     code = _tables()[0]
-    # each state's path is its last piece and the path before
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    # each state has its score, the signs changed, and its path: the last piece and the path before
+    states: dict[tuple[int, int], tuple[float, int, tuple | None]] = {(0, 0): (0.0, 0, None)}
     chars = word.lower()
     run = 0
     for i, ch in enumerate(chars):
         run = run + 1 if i and ch == chars[i - 1] else 1
-        options: list[tuple[str, float]]
-        if code[ord(ch)]:
-            options = [(ch, 0.0)]
-            if run > 1:
-                options.append(("", -0.5 if run > 2 else -3.0))
-        elif ch in SIGNS:
-            options = [(x, -0.7) for x in SIGNS[ch]] + [(" ", -4.0), ("", -7.0)]
-        elif ch == " " or ch in MARKS:
-            options = [(" ", -0.5), ("", -1.0)]
-        else:
-            options = [(" ", 0.0)]
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in states.items():
-            for x, cost in options:
+        options = _options(ch, run)
+        new: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
+        for (a, b), (score, n, path) in states.items():
+            for x, cost, changed in options:
                 if x == "" or x == " " and b == 0:
                     key, value, text = (a, b), score + cost, (x, path) if x == " " and path and path[0] != " " else path
                 else:
                     d = int(code[ord(x)])
                     key, value, text = (b, d), score + cost + float(logp[a, b, d]), (x, path)
                 if key not in new or value > new[key][0]:
-                    new[key] = (value, text)
+                    new[key] = (value, n + changed, text)
         states = new
-    return max(((score + float(logp[a, b, 0]) if b else score, _joined(path)) for (a, b), (score, path) in states.items()), key=lambda x: (x[0], x[1]))[1]
+    best = max(((score + float(logp[a, b, 0]) if b else score, _joined(path), n) for (a, b), (score, n, path) in states.items()), key=lambda x: (x[0], x[1]))
+    return best[1], best[0], best[2]
+
+
+def as_written(word: str, logp: np.ndarray) -> float:
+    """The log-likelihood of a stretch none of whose signs is changed, under the same channel."""
+    code = _tables()[0]
+    a = b = 0
+    score = 0.0
+    for ch in word.lower():
+        x, cost, _ = next(o for o in _options(ch, 1) if not o[2])
+        d = int(code[ord(x)])
+        score += cost
+        if d or b:
+            score += float(logp[a, b, d])
+            a, b = b, d
+    return score + (float(logp[a, b, 0]) if b else 0.0)
+
+
+def original(word: str, logp: np.ndarray) -> str:
+    """The likeliest original of a stretch if it gains enough for what it changes, else the stretch."""
+    text, score, n = _decoded(word, logp)
+    return text if n and score - as_written(word, logp) >= GAIN * n else word
 
 
 def _joined(path: tuple | None) -> str:
@@ -171,7 +204,7 @@ def restore(texts: list[str], logp: np.ndarray, cache: dict[str, str]) -> list[s
                     continue
                 w = t[a:b]
                 if (r := cache.get(w)) is None:
-                    r = decode(w, logp)
+                    r = original(w, logp)
                     if len(cache) > 50_000:
                         cache.clear()
                     if len(w) <= 40:
