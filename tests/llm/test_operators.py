@@ -266,8 +266,9 @@ def test_language_of_copies(spark):
 
 def greedy_phrases(model, text):
     """Longest matches one after the other, by search in the model's texts; a letter that no match begins with is a phrase."""
-    _, code, _, _, _ = langid.machine(model)
-    fold = lambda t: re.sub(b"\0+", b"\0", bytes(code[ord(x)] for x in t))
+    learned = {x.lower() for _, t in model for x in t if x.isalpha()}
+    sign = lambda x: " " if not x.isalpha() else x.lower() if x.lower() in learned else "?"
+    fold = lambda t: re.sub(" +", " ", "".join(map(sign, t)))
     out = []
     for _, known in model:
         s, c, n, at = fold(known), fold(text), 0, 0
@@ -294,6 +295,26 @@ def test_phrases_equal_greedy_search(monkeypatch):
     assert letters.tolist() == [sum(x.isalpha() for x in t or "") for t in many]
 
 
+@pytest.mark.parametrize("columns", [0, 3, 44, 1000])
+def test_every_letter_has_its_own_code(monkeypatch, columns):
+    """Scripts of 600 letters: phrases are those of greedy search, however many letters have a column."""
+    monkeypatch.setattr(langid, "COLUMNS", columns)
+    langid.machine.cache_clear()
+    r = random.Random(7)
+    han, hangul = [chr(0x4E00 + i) for i in range(600)], [chr(0xAC00 + i * 7) for i in range(600)]
+    write = lambda signs, n: " ".join("".join(r.choices(signs, k=r.randint(1, 4))) for _ in range(n))
+    pools = {"a": han[:400], "b": han[200:], "c": hangul, "d": list("abcdefghijklmnop")}
+    model = tuple((k, write(p, 400)) for k, p in pools.items())
+    assert len(set(langid.machine(model).code[[ord(x) for _, t in model for x in t if x != " "]])) == len({x for _, t in model for x in t} - {" "}) > 700
+    known = dict(model)
+    many = [known[k][60:160] + write(pools[k], 9) + " \u0416 zz " + known[k][:40] for k in "abcdabcd"] + [known["a"], "\u0416" * 9, known["c"][:1]]
+    got, _ = langid.phrases(many, model)
+    for i, t in enumerate(many):
+        assert got[i].tolist() == greedy_phrases(model, t), i
+    assert ["abcd"[x] for x in got[:8].argmin(1)] == list("abcdabcd")
+    langid.machine.cache_clear()
+
+
 def test_language_is_that_with_the_fewest_phrases(spark):
     model = {"a": "the cat sat on the mat and the rat ran", "b": "der hund lief und der mann kam", "c": "le chat est sur la table"}
     rows = [(i, " ".join(random.Random(i).choices(model["abc"[i % 3]].split(), k=3 + i % 40))) for i in range(60)]

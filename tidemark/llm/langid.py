@@ -3,10 +3,12 @@
 A suffix automaton is built from labelled text of each language. A text is cut greedily into the longest phrases
 that the automaton recognises; the language that needs the fewest phrases for each letter wins. Automata are turned
 into tables whose missing transitions restart at the root and count a phrase, so that many texts are parsed side by
-side, one character a step.
+side, one character a step. Every learned letter has a code of its own: common ones a column of the table, the others
+a sorted list of transitions, so that a script of thousands of letters costs what its sample holds.
 
 Defined cases: a null text or one without letters gives `und` and score 0; no labelled rows give `und` everywhere;
-ties go to the smaller language name; repeated rows are repeated in the result; an empty table gives an empty result.
+ties go to the smaller language name; repeated rows are repeated in the result; an empty table gives an empty result;
+a letter that no language's sample holds is a phrase of its own in all of them.
 Texts of any length are parsed whole: stretches of a long one are parsed side by side, and again from the state in
 which the stretch before has ended, until no such state changes, so that the count is that of one parse.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import functools
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import flat_codes, plus, slices
 
 STRETCH = 4096
-#: Letters with a code of their own; rarer letters share the codes after them.
-OWN_LETTERS, SHARED = 44, 18
-_FLAG = 1 << 30
+#: Letters whose transitions are columns of a table; those of rarer letters are sorted lists. Results don't depend on it.
+COLUMNS = 44
 
 
 def sample_texts(docs: DataFrame, rows_per_lang: int = 64, chars_per_lang: int = 20_000) -> dict[str, str]:
@@ -52,8 +54,8 @@ def sample_texts(docs: DataFrame, rows_per_lang: int = 64, chars_per_lang: int =
     return out
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of codes as a table of states by codes, -1 where there is no transition."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of codes: the transitions of each state."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -80,11 +82,7 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     moves[p][c] = twin
                     p = link[p]
         last = cur
-    table = np.full((len(moves), width), -1, np.int32)
-    for s, m in enumerate(moves):
-        if m:
-            table[s, list(m)] = list(m.values())
-    return table
+    return moves
 
 
 @functools.lru_cache(1)
@@ -98,38 +96,79 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return alpha, small
 
 
+class Machine(NamedTuple):
+    """The automata of all languages. A state is where its row of the table begins; a move holds the next state and a flag."""
+
+    langs: list[str]
+    code: np.ndarray  #: of each code point: 0 no letter, 1 a letter not learned, then the learned ones, the commonest first
+    width: int  #: codes from here on have no column
+    table: np.ndarray
+    roots: np.ndarray
+    flag: int  #: added to a move that ends a phrase
+    keys: np.ndarray  #: state * rare + code - width of the moves that have no column, in order
+    moves: np.ndarray
+    restarts: np.ndarray  #: by language and code - width: the state in which a phrase that begins with it is
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The moves of states, by texts and languages, on one code for each text."""
+        far = np.flatnonzero(c >= self.width)
+        if not len(far):
+            return self.table[state + c[:, None]]
+        out = self.table[state + np.where(c < self.width, c, 0)[:, None]]
+        s, r = state[far].astype(np.int64), c[far].astype(np.int64) - self.width
+        key = s * self.restarts.shape[1] + r[:, None]
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        fresh = self.restarts[:, r].T + np.where(s == self.roots[None, :], 0, self.flag)
+        out[far] = np.where(self.keys[at] == key, self.moves[at], fresh)
+        return out
+
+
 @functools.lru_cache(2)
-def machine(texts: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, int]:
-    """Languages, code of each code point, all transitions in one array, where each language's root is, and the codes' number."""
+def machine(texts: tuple[tuple[str, str], ...]) -> Machine:
     alpha, small = _letters()
     sets = {k: small[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for k, t in texts}
     seen = Counter(int(x) for s in sets.values() for x in s[alpha[s]])
-    own = sorted(seen, key=lambda x: (-seen[x], x))[:OWN_LETTERS]
-    width = 1 + len(own) + SHARED
-    code = np.zeros(0x110000, np.uint8)
-    code[alpha] = 1 + len(own) + small[alpha] % SHARED
-    for i, x in enumerate(own):
-        code[alpha & (small == x)] = 1 + i
-    tables, roots, base = [], [], 0
+    own = sorted(seen, key=lambda x: (-seen[x], x))
+    width, rare = 2 + min(COLUMNS, len(own)), max(0, len(own) - COLUMNS)
+    of_small = np.ones(0x110000, np.int32)
+    of_small[own] = 2 + np.arange(len(own))
+    code = np.where(alpha, of_small[small], 0).astype(np.int32)
+    graphs = []
     for k, _ in texts:
         c = code[sets[k]]
-        c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
-        t = automaton(c.tolist(), width).astype(np.int64)
+        graphs.append(automaton(c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]].tolist() if len(c) else []))
+    size = sum(len(g) + 1 for g in graphs) * width
+    kind, flag = (np.int32, 1 << 30) if size < 1 << 30 else (np.int64, 1 << 62)
+    tables, roots, keys, moves, restarts = [], [], [], [], np.zeros((len(texts), rare), np.int64)
+    base = 0
+    for i, g in enumerate(graphs):
         # a code that no phrase holds is a phrase of its own: after it, in the last state, all codes begin a phrase
-        t = np.concatenate([t, np.full((1, width), -1)])
-        restart = np.where(t[0] >= 0, t[0], len(t) - 1)
-        flag = np.where(t >= 0, 0, _FLAG)
-        flag[0] = 0
-        flat = (np.where(t >= 0, t, restart[None, :]) * width + base) | flag
-        tables.append(flat.astype(np.int32).ravel())
+        t = np.full((len(g) + 1, width), -1, np.int64)
+        restarts[i] = base + len(g) * width
+        for s, m in enumerate(g):
+            for x, to in m.items():
+                if x < width:
+                    t[s, x] = to
+                else:
+                    keys.append((base + s * width) * rare + x - width)
+                    moves.append(base + to * width)
+                    if s == 0:
+                        restarts[i, x - width] = base + to * width
+        restart = np.where(t[0] >= 0, t[0], len(g))
+        ends = np.where(t >= 0, 0, flag)
+        ends[0] = 0
+        tables.append(((np.where(t >= 0, t, restart[None, :]) * width + base) | ends).astype(kind).ravel())
         roots.append(base)
         base += t.size
-    return [k for k, _ in texts], code, np.concatenate(tables), np.array(roots, np.int32), width
+    order = np.argsort(np.array(keys, np.int64))
+    table = np.concatenate(tables)
+    return Machine([k for k, _ in texts], code, width, table, np.array(roots, kind), flag, np.array(keys, np.int64)[order], np.array(moves, np.int64)[order], restarts)
 
 
 def phrases(texts: list[str | None], model: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text in each language, and each text's letters."""
-    langs, code, table, roots, _ = machine(model)
+    m = machine(model)
+    langs, code, roots = m.langs, m.code, m.roots
     points, at = flat_codes(texts)
     c = code[points]
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
@@ -159,9 +198,9 @@ def phrases(texts: list[str | None], model: tuple[tuple[str, str], ...]) -> tupl
         n, first = length[todo], start[todo]
         active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
         for t, k in enumerate(active):
-            v = table[state[:k] + c[first[:k] + t][:, None]]
-            found[:k] += v >> 30
-            state[:k] = v & (_FLAG - 1)
+            v = m.step(state[:k], c[first[:k] + t])
+            found[:k] += v >= m.flag
+            state[:k] = v & (m.flag - 1)
         leave[todo], count[todo] = state, found
         changed = (enter[follows] != leave[before]).any(1)
         enter[follows] = leave[before]
