@@ -59,10 +59,10 @@ def as_of_identity(facts: DataFrame, dates: DataFrame, entity: str = "code", per
     return as_of(facts.where(F.col(period).isNotNull()), dates, keys, available, [F.col(notice).asc_nulls_first(), rank, F.col(arrival)])
 
 
-def _explained(rows: DataFrame, target: Column, keep: Sequence[str], by: Sequence[str], candidates: Sequence[str]) -> DataFrame:
-    """rows with the row at `target` (a period number) that has the same identity, as `other`, and `matched`: null where the period is missing, else how many identity columns some row of it has alike, in the order of MISMATCHES."""
+def _explained(rows: DataFrame, target: Column, keep: Sequence[str], by: Sequence[str], candidates: Sequence[str], among: DataFrame | None = None) -> DataFrame:
+    """rows with the row at `target` (a period number) that has the same identity, as `other`, and `matched`: null where the period is missing, else how many identity columns some row of it has alike, in the order of MISMATCHES. The other rows are those of `among`, if it is given."""
     names = list(MISMATCHES)
-    pool = rows.select(*(F.col(c).alias("_" + c) for c in by), F.col("pn").alias("_pn"), F.struct(*names, *candidates).alias("_c"))
+    pool = (rows if among is None else among).select(*(F.col(c).alias("_" + c) for c in by), F.col("pn").alias("_pn"), F.struct(*names, *candidates).alias("_c"))
     same = F.col("_target") == F.col("_pn")
     for c in by:
         same = same & (F.col(c) == F.col("_" + c))

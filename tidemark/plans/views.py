@@ -53,6 +53,15 @@ CTES = {
                   FROM (SELECT i.*, 0 AS own, CASE WHEN (code + q) % 7 = 0 AND update_flag = 0 THEN NULL ELSE update_flag END AS f, 1 AS ord, 1.0 AS x FROM income i
                         UNION ALL SELECT i.*, 1, update_flag, 2, 0.4 FROM income i WHERE code % 6 = 0
                         UNION ALL SELECT i.*, 0, NULL, 3, 0.9 FROM income i WHERE (code + yr + q) % 9 = 0 AND update_flag = 0) z""",
+    # three statements of each report: some lack the cash flow or have another basis in one of them, some values are null or zero
+    "filed": """SELECT f.code, f.pn, f.end_date, f.available, f.notice, f.update_flag, f.ord, f.report_type, d.dataset, CASE WHEN d.dataset = 'balancesheet' THEN 'POINT_IN_TIME' ELSE f.duration END AS duration, f.report_family,
+                  CASE WHEN d.dataset = 'income' THEN f.statement_type ELSE upper(d.dataset) END AS statement_type, CASE WHEN d.dataset = 'cashflow' AND f.code % 10 = 1 AND f.pn % 6 = 2 THEN 'source_default' ELSE f.scope END AS scope,
+                  CASE WHEN d.dataset = 'balancesheet' AND f.code % 9 = 2 THEN 'cny:10000' ELSE f.unit END AS unit, f.accounting,
+                  CASE WHEN d.dataset = 'income' THEN revenue END AS revenue, CASE WHEN d.dataset = 'income' THEN profit END AS profit, CASE WHEN d.dataset = 'income' THEN 0.3 * revenue END AS gross, CASE WHEN d.dataset = 'income' THEN 1.2 * profit END AS operating,
+                  CASE WHEN d.dataset = 'cashflow' THEN profit * (0.5 + (f.code % 4) / CAST(4 AS double)) - CASE WHEN (f.code + f.pn) % 5 = 0 THEN 0.12 * revenue ELSE 0 END END AS cfo,
+                  CASE WHEN d.dataset = 'balancesheet' THEN 10 * revenue END AS assets, CASE WHEN d.dataset = 'balancesheet' THEN CASE WHEN f.code % 13 = 3 THEN 0 ELSE 4 * revenue END END AS equity,
+                  CASE WHEN d.dataset = 'balancesheet' THEN 0.2 * revenue * (1 + f.pn % 3) END AS inventories, CASE WHEN d.dataset = 'balancesheet' AND f.code % 15 <> 4 THEN 0.1 * revenue * (1 + (f.code + f.pn) % 2) END AS receivables
+                FROM filings f CROSS JOIN (SELECT 'income' AS dataset UNION ALL SELECT 'cashflow' UNION ALL SELECT 'balancesheet') d WHERE d.dataset = 'income' OR (f.code + f.pn) % 11 <> CASE WHEN d.dataset = 'cashflow' THEN 3 ELSE 4 END""",
     # nested payloads, parts of which many entities share
     "payloads": """SELECT s_suppkey AS code, n_name AS nation, r_name AS region, '{"entity":{"code":' || CAST(s_suppkey AS varchar(20)) || ',"nation":{"name":"' || n_name || '","region":{"name":"' || r_name || '"}}},"lines":[{"flag":"A","n":' || CAST(a AS varchar(20)) || '},{"flag":"N","n":' || CAST(nn AS varchar(20)) || '},{"flag":"R","n":' || CAST(r AS varchar(20)) || '}]}' AS payload, a, nn, r
                  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tidemark.plans import adversarial, attention, audits, checks, comparables, corpus, evaluation, facts, fundamentals, history, identity, joins, observed, outcomes, panels, payloads, ranking, replay, scans, schedules, sessions, stability, stored, trailing  # noqa: F401
+    from tidemark.plans import adversarial, attention, audits, checks, comparables, corpus, evaluation, facts, fundamentals, groups, history, identity, joins, observed, outcomes, panels, payloads, ranking, replay, scans, schedules, sessions, stability, stored, trailing  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
