@@ -4,7 +4,8 @@ Payloads are walked level by level; each level is one pass over the values that
 that a deep payload costs as many passes as it has levels and no task holds more than a value. In a store every distinct
 part is a node named by the hash of its content, in which nested parts stand as references. Nodes are put together
 from the leaves up, each once, however many payloads share it; what is left when no node can be finished has a
-reference that leads nowhere, or one that leads back.
+reference that leads nowhere, or one that leads back. Both sides of these joins grow with the payloads, so that they are
+sorted and merged, and no part of a store is collected by the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -87,6 +88,11 @@ def pit_warnings(rows: DataFrame, keys: Sequence[str], payload: str) -> DataFram
 # Content-addressed stores
 
 
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the store: neither passes through the driver, however small its files are."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def store(rows: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Payloads of JSON text as roots (key, ref_id), nodes (ref_id, kind) and entries (ref_id, at, name, text, child).
 
@@ -114,16 +120,16 @@ def store(rows: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame
     piece = F.concat(_label(F.col("name")), F.coalesce(F.concat(F.lit("->"), "child"), "text"))
     named = whole.limit(0).select("whole", "kind", F.lit("").alias("ref_id"))
     while True:
-        known = entries.join(named.select(F.col("whole").alias("inner"), F.col("ref_id").alias("child")), "inner", "left")
+        known = merged(entries, named.select(F.col("whole").alias("inner"), F.col("ref_id").alias("child")), "inner", "left")
         ready = known.groupBy("whole").agg(F.count_if(F.col("nested") & F.col("child").isNull()).alias("open"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))), lambda x: x["p"])).alias("content"))
-        every = whole.join(ready, "whole", "left").where("coalesce(open, 0) = 0")
+        every = merged(whole, ready, "whole", "left").where("coalesce(open, 0) = 0")
         new = materialize(every.select("whole", "kind", F.sha2(F.concat("kind", F.lit(":"), F.coalesce("content", F.lit(""))), 256).alias("ref_id")), "named")
         before, named = named.count(), new
         if new.count() == before:
             break
     ids = named.select("whole", "ref_id")
-    roots = asked.select(key, F.sha2("json", 256).alias("whole")).join(ids, "whole", "left").select(key, "ref_id")
-    out = entries.join(ids, "whole").join(named.select(F.col("whole").alias("inner"), F.col("ref_id").alias("child")), "inner", "left")
+    roots = merged(asked.select(key, F.sha2("json", 256).alias("whole")), ids, "whole", "left").select(key, "ref_id")
+    out = merged(merged(entries, ids, "whole"), named.select(F.col("whole").alias("inner"), F.col("ref_id").alias("child")), "inner", "left")
     return roots, named.select("ref_id", "kind").distinct(), out.select("ref_id", "at", "name", F.when(~F.col("nested"), F.col("text")).alias("text"), "child").distinct()
 
 
@@ -137,23 +143,23 @@ def expand(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     done = nodes.limit(0).select("ref_id", F.lit("").alias("json"), F.lit(0).alias("height"))
     count = 0
     while True:
-        e = entries.join(done.select(F.col("ref_id").alias("child"), "json", "height"), "child", "left")
+        e = merged(entries, done.select(F.col("ref_id").alias("child"), "json", "height"), "child", "left")
         body = e.groupBy("ref_id").agg(F.count_if(F.col("child").isNotNull() & F.col("json").isNull()).alias("open"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))), lambda x: x["p"])).alias("body"), F.max(F.col("height") + 1).alias("height"))
         text = F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.coalesce("body", F.lit("")), F.lit("}"))).otherwise(F.concat(F.lit("["), F.coalesce("body", F.lit("")), F.lit("]")))
-        done = materialize(nodes.join(body, "ref_id", "left").where("coalesce(open, 0) = 0").select("ref_id", text.alias("json"), F.coalesce("height", F.lit(0)).alias("height")), "expanded")
+        done = materialize(merged(nodes, body, "ref_id", "left").where("coalesce(open, 0) = 0").select("ref_id", text.alias("json"), F.coalesce("height", F.lit(0)).alias("height")), "expanded")
         if (n := done.count()) == count:
             break
         count = n
-    left = nodes.join(done, "ref_id", "left_anti").select("ref_id")
-    edges = materialize(entries.where("child is not null").select("ref_id", "child").distinct().join(left, "ref_id", "left_semi"), "edges")
-    dangling = edges.join(nodes.select(F.col("ref_id").alias("child")), "child", "left_anti").select("ref_id").distinct()
-    marked = materialize(dangling, "marked")
+    left = merged(nodes, done, "ref_id", "left_anti").select("ref_id")
+    edges = materialize(merged(entries.where("child is not null").select("ref_id", "child").distinct(), left, "ref_id", "left_semi"), "edges")
+    dangling = materialize(merged(edges, nodes.select(F.col("ref_id").alias("child")), "child", "left_anti").select("ref_id").distinct(), "dangling")
+    marked = dangling
     count = marked.count()
     while count:
-        marked = materialize(marked.union(edges.join(marked.select(F.col("ref_id").alias("child")), "child", "left_semi").select("ref_id")).distinct(), "marked")
+        marked = materialize(marked.union(merged(edges, marked.select(F.col("ref_id").alias("child")), "child", "left_semi").select("ref_id")).distinct(), "marked")
         if (n := marked.count()) == count:
             break
         count = n
-    why = left.join(dangling.withColumn("d", F.lit(True)), "ref_id", "left").join(marked.withColumn("m", F.lit(True)), "ref_id", "left")
+    why = merged(merged(left, dangling.withColumn("d", F.lit(True)), "ref_id", "left"), marked.withColumn("m", F.lit(True)), "ref_id", "left")
     why = why.select("ref_id", F.when(F.col("d"), "dangling").when(F.col("m"), "below").otherwise("loop").alias("status"))
     return done.select("ref_id", F.lit("ok").alias("status"), "json", "height").unionByName(why, allowMissingColumns=True)

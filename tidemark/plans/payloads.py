@@ -45,7 +45,7 @@ def a13_integrity(v: Views) -> DataFrame:
     back = named("EUROPE").join(named("FRANCE").select(F.col("ref_id").alias("child")))  # one row each
     entries = entries.unionByName(back.select("ref_id", F.lit("up").alias("at"), F.lit("up").alias("name"), F.lit(None).cast("string").alias("text"), "child"))
     out = nested.expand(nodes.join(named("ASIA"), "ref_id", "left_anti"), entries)
-    return roots.join(out, "ref_id", "left").select("code", "status", F.col("json").alias("payload"))
+    return nested.merged(roots, out, "ref_id", "left").select("code", "status", F.col("json").alias("payload"))
 
 
 #: What an evidence holds beside its value: warnings at several depths, and what only looks like one.
