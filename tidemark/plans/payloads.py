@@ -34,7 +34,7 @@ def a13_graph(v: Views) -> DataFrame:
     """Every distinct part of the payloads once, under the hash of its content, how high it stands and how many others refer to it."""
     _, nodes, entries = nested.store(v.payloads, "code", "payload")
     uses = entries.where("child is not null").groupBy(F.col("child").alias("ref_id")).agg(F.count("*").alias("uses"))
-    return nested.expand(nodes, entries).join(nodes, "ref_id").join(uses, "ref_id", "left").select("ref_id", "kind", "height", F.coalesce("uses", F.lit(0)).alias("uses"))
+    return nested.merged(nested.merged(nested.expand(nodes, entries), nodes, "ref_id"), uses, "ref_id", "left").select("ref_id", "kind", "height", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 @query("A13_integrity", " SELECT code, CASE WHEN region = 'ASIA' THEN 'below' WHEN region = 'EUROPE' AND (SELECT count(*) FROM payloads WHERE nation = 'FRANCE') > 0 THEN 'loop' ELSE 'ok' END AS status, CASE WHEN region <> 'ASIA' AND NOT (region = 'EUROPE' AND (SELECT count(*) FROM payloads WHERE nation = 'FRANCE') > 0) THEN payload END AS payload FROM payloads")
