@@ -1,7 +1,7 @@
 """Low attention on a date: an entity against its own past and against the market, what surges, and which gates it passes.
 
-All entities and dates at once: figures of every session first, then for each date the entity's last session, carried to
-it in one sorted union. Every value is unknown with a reason rather than guessed.
+All entities and dates at once: figures of every session that is an entity's last on some date first, then for each date
+that session, carried to it in one sorted union. Every value is unknown with a reason rather than guessed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import as_of_join
-from tidemark.operators.order import window_shares
+from tidemark.operators.order import Figure, window_figures
+from tidemark.sources import materialize
 
 
 @dataclass(frozen=True)
@@ -35,16 +36,24 @@ class Limits:
 FIELDS = {"turnover": "turnover", "amount": "amount", "volume": "vol"}
 
 
-def session_figures(px: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """px with its entity's shares, medians and means over earlier rows, and its place among all entities of the session."""
+def session_figures(px: DataFrame, limits: Limits = Limits(), dates: DataFrame | None = None) -> DataFrame:
+    """px with its entity's shares, medians and means over earlier rows, and its place among all entities of the session.
+
+    With dates (as_of, session: the market's last day on that date), only the rows that are an entity's last on one of the
+    dates are told of and kept, and places only for these sessions, of which every row is kept.
+    """
     w = Window.partitionBy("code").orderBy("day")
-    before, recent = w.rowsBetween(-limits.base_window, -1), w.rowsBetween(1 - limits.amount_window, 0)
-    rows = window_shares(px.withColumn("_n", F.row_number().over(w)), {f"self_{k}": c for k, c in FIELDS.items()}, (-limits.own_window, -1), limits.own_least, at="_n", count_rows=False).drop("_n")
-    base = lambda c: F.when(F.count(c).over(before) >= limits.base_least, F.percentile(c, F.lit(0.5)).over(before))
-    rows = rows.withColumns({"base_vol": base("vol"), "base_turnover": base("turnover"), "mean_amount": F.avg("amount").over(recent)})
+    px = px.withColumns({"mean_amount": F.avg("amount").over(w.rowsBetween(1 - limits.amount_window, 0)), "_next": F.lead("day").over(w)})
+    if dates is not None:
+        px = px.crossJoin(F.broadcast(dates.agg(F.collect_set("as_of").alias("_dates"))))  # one row
+    asked = F.lit(True) if dates is None else F.exists("_dates", lambda d: (d >= F.col("day")) & (F.col("_next").isNull() | (d < F.col("_next"))))
+    own = {f"self_{k}": Figure("share", c, (-limits.own_window, -1), limits.own_least) for k, c in FIELDS.items()}
+    base = {f"base_{c}": Figure("median", c, (-limits.base_window, -1), limits.base_least) for c in ("vol", "turnover")}
+    rows = window_figures(px.withColumn("_asked", asked).drop("_dates"), own | base, at="day", only="_asked").drop("_next", "_asked")
     for k, c in FIELDS.items():
         day = Window.partitionBy("day", F.col(c).isNull())
-        rows = rows.withColumn(f"cross_{k}", F.when(F.col(c).isNotNull() & (F.count("*").over(day) >= limits.population), F.cume_dist().over(day.orderBy(c))))
+        whole = F.lit(True) if dates is None else F.array_contains(dates.agg(F.collect_set("session")).scalar(), F.col("day"))
+        rows = rows.withColumn(f"cross_{k}", F.when(whole & F.col(c).isNotNull() & (F.count("*").over(day) >= limits.population), F.cume_dist().over(day.orderBy(c))))
     return rows
 
 
@@ -63,9 +72,11 @@ def low_attention(px: DataFrame, asked: DataFrame, limits: Limits = Limits()) ->
     c = F.col
     # rows before an entity was listed are not its own, but they stay in the market of their day
     listed = asked.where("list_day is not null").groupBy("code").agg(F.min("list_day").alias("_listed"))
-    all_days = session_figures_of_listed(px, listed, limits)
     market = px.select("day").distinct().withColumn("market", F.lit(1))
     dates = as_of_join(asked.select("as_of").distinct().withColumn("market", F.lit(1)), market, ["market"], "as_of", "day").select("as_of", c("match.day").alias("session"))
+    dates = materialize(dates, "dates")  # a row for each date
+    # written, since the join reads it several times
+    all_days = materialize(session_figures_of_listed(px, listed, limits, dates), "figures")
     rows = as_of_join(asked, all_days, ["code"], "as_of", "day").join(F.broadcast(dates), "as_of", "left")
     m = lambda x: c("match." + x)
     lag = F.datediff("session", m("day"))
@@ -93,10 +104,10 @@ def low_attention(px: DataFrame, asked: DataFrame, limits: Limits = Limits()) ->
     return rows.withColumn("opportunity", F.when(c("score").isNotNull(), open_to)).drop("match", "session", "age")
 
 
-def session_figures_of_listed(px: DataFrame, listed: DataFrame, limits: Limits) -> DataFrame:
+def session_figures_of_listed(px: DataFrame, listed: DataFrame, limits: Limits, dates: DataFrame | None = None) -> DataFrame:
     """session_figures, in which an entity's own windows begin with its listing."""
     rows = px.join(listed, "code", "left").withColumn("_own", F.col("_listed").isNull() | (F.col("day") >= F.col("_listed")))
     early = rows.where("not _own")
     # all rows of a day count for its cross-section, so early ones take part under another name
     both = rows.where("_own").withColumn("_was", F.lit(False)).unionByName(early.withColumn("code", -1 - F.col("code")).withColumn("_was", F.lit(True)))
-    return session_figures(both.drop("_listed", "_own"), limits).where("not _was").drop("_was")
+    return session_figures(both.drop("_listed", "_own"), limits, dates).where("not _was").drop("_was")
