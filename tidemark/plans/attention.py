@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bounded, coverage_bucket, mean_known, positive_penalty, spike_penalty
@@ -10,7 +10,7 @@ from tidemark.operators import pit
 from tidemark.operators.attention import FIELDS, Limits
 from tidemark.operators.attention import low_attention as low_attention_gates
 from tidemark.operators.joins import on_dates
-from tidemark.operators.order import window_shares
+from tidemark.operators.order import Figure, window_figures
 from tidemark.plans.panels import BENCH, bench
 from tidemark.plans.views import Views
 from tidemark.registry import query
@@ -77,12 +77,12 @@ ATTENTION = """av AS (SELECT code, idx, len(list_filter(lt, lambda x: x <= turno
   ats AS (SELECT *, CASE WHEN v IS NOT NULL THEN 100 * (0.4 * (1 - t) + 0.4 * (1 - a) + 0.2 * (1 - least(v, 3) / 3)) END AS score FROM av)"""
 
 
-def attention(v: Views) -> DataFrame:
-    """Turnover and amount among an entity's own last 252 rows, and volume against its last 20."""
+def attention(v: Views, only: Column | None = None) -> DataFrame:
+    """Turnover and amount among an entity's own last 252 rows, and volume against its last 20; with `only`, a condition, of the rows that meet it."""
     w = Window.partitionBy("code").orderBy("idx")
     prior = w.rowsBetween(-20, -1)
-    px = v.px.select("code", "idx", "vol", "turnover", "amount").withColumns({"n": F.count("vol").over(prior), "m": F.avg("vol").over(prior)})
-    rows = window_shares(px, {"t": "turnover", "a": "amount"}, (-251, 0))
+    px = v.px.select("code", "idx", "vol", "turnover", "amount").withColumns({"n": F.count("vol").over(prior), "m": F.avg("vol").over(prior), "asked": F.lit(True) if only is None else only})
+    rows = window_figures(px, {"t": Figure("share", "turnover", (-251, 0)), "a": Figure("share", "amount", (-251, 0))}, only="asked")
     rows = rows.select("code", "idx", "t", "a", F.when((F.col("n") == 20) & (F.col("m") > 0), F.col("vol") / F.col("m")).alias("v"))
     score = 100 * (0.4 * (1 - F.col("t")) + 0.4 * (1 - F.col("a")) + 0.2 * (1 - F.least("v", F.lit(3.0)) / 3))
     return rows.withColumn("score", F.when(F.col("v").isNotNull(), score))
@@ -105,14 +105,20 @@ LOW = """lw AS (SELECT *, cume_dist() OVER (PARTITION BY idx ORDER BY turnover)
 
 
 def low_attention(v: Views) -> DataFrame:
-    """Attention on each date against other entities and an entity's own past; unknown unless all four shares are known."""
+    """Attention on each date against other entities and an entity's own past; unknown unless all four shares are known.
+
+    Only the rows that are an entity's last on some date are told of. Among them are all rows of the dates' own sessions,
+    so that cross-sections of these are whole; no other session's is asked for.
+    """
     w = Window.partitionBy("code").orderBy("idx")
-    month = w.rowsBetween(-60, -1)
-    px = v.px.select("code", "idx", "vol", "turnover", "amount").withColumns({"n": F.count("vol").over(month), "md": F.percentile("vol", F.lit(0.5)).over(month), "mv": F.avg("vol").over(w.rowsBetween(-19, 0)), "nxt": F.lead("idx").over(w)})
-    px = window_shares(px, {"st": "turnover", "sa": "amount"}, (-252, -1), 21)
-    px = px.select("code", "idx", "nxt", "turnover", "amount", "mv", "st", "sa", F.when((F.col("n") >= 20) & (F.col("md") > 0), F.least(F.col("vol") / F.col("md"), F.lit(10.0))).alias("surge"))
-    day = Window.partitionBy("idx")
-    px = px.withColumn("ct", F.cume_dist().over(day.orderBy("turnover"))).withColumn("ca", F.cume_dist().over(day.orderBy("amount")))
+    v.keep("as_of")
+    px = v.px.select("code", "idx", "vol", "turnover", "amount").withColumns({"mv": F.avg("vol").over(w.rowsBetween(-19, 0)), "nxt": F.lead("idx").over(w)})
+    px = px.crossJoin(F.broadcast(v.as_of.agg(F.collect_set("idx").alias("dates"))))  # one row
+    px = px.withColumn("asked", F.exists("dates", lambda d: (d >= F.col("idx")) & (F.col("nxt").isNull() | (d < F.col("nxt"))))).drop("dates")
+    px = window_figures(px, {"st": Figure("share", "turnover", (-252, -1), 21), "sa": Figure("share", "amount", (-252, -1), 21), "md": Figure("median", "vol", (-60, -1), 20)}, only="asked")
+    px = px.select("code", "idx", "nxt", "turnover", "amount", "mv", "st", "sa", F.when(F.col("md") > 0, F.least(F.col("vol") / F.col("md"), F.lit(10.0))).alias("surge"))
+    day, whole = Window.partitionBy("idx"), F.array_contains(v.as_of.agg(F.collect_set("idx")).scalar(), F.col("idx"))
+    px = px.withColumn("ct", F.when(whole, F.cume_dist().over(day.orderBy("turnover")))).withColumn("ca", F.when(whole, F.cume_dist().over(day.orderBy("amount"))))
     dates = F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at")))
     last = px.join(dates, (F.col("idx") <= F.col("at")) & (F.col("nxt").isNull() | (F.col("nxt") > F.col("at")))).drop("at")
     grid = v.ref.select("code").crossJoin(F.broadcast(v.as_of.select("as_of", F.col("idx").alias("at")))).join(last, ["as_of", "code"], "left")
