@@ -102,12 +102,14 @@ def window_figures(rows: DataFrame, figures: Mapping[str, Figure], by: Sequence[
     home = F.floor(F.col("_place") / block)
     near_end = F.col("_place") >= (F.col("_home") + 1) * block + first
     dealt = rows.withColumn("_place", place).withColumn("_home", home).withColumn("_block", F.explode(F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))))
+    dealt = dealt.where(F.col("_place").isNotNull()).withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_block").orderBy("_place")))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DoubleType()) for n in figures)])
 
-    def count(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("_place")
-        p = t["_place"].to_numpy()
-        own = t["_home"].to_numpy() == key[-1].as_py()
+    def count(t: pa.Table) -> pa.Table:
+        # blocks lie one after the other, each with its places from -block on, too far apart to meet in a window
+        nth = t["_nth"].to_numpy()
+        p = t["_place"].to_numpy() - t["_block"].to_numpy() * block + np.cumsum(nth == 1) * 4 * block
+        own = t["_home"].to_numpy() == t["_block"].to_numpy()
         if only:
             own &= t[only].fill_null(False).to_numpy()
         asked = np.flatnonzero(own)
@@ -121,4 +123,18 @@ def window_figures(rows: DataFrame, figures: Mapping[str, Figure], by: Sequence[
         t = t.take(pa.array(asked))
         return pa.table([*(t[c] for c in keep), *out], [*keep, *figures])
 
-    return dealt.where(F.col("_place").isNotNull()).groupBy(*by, "_block").applyInArrow(count, schema)
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole blocks, many small ones at once: what a batch begins and doesn't end waits for the next."""
+        held: list[pa.RecordBatch] = []
+        for b in found:
+            starts = np.flatnonzero(b["_nth"].to_numpy() == 1)
+            if held and len(starts):
+                cut = int(starts[-1])
+                yield from count(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()).to_batches()
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield from count(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return dealt.mapInArrow(batches, schema)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import window_shares
+from tidemark.operators.order import Figure, window_figures, window_shares
 from tidemark.operators.ranges import deepest_fall, fall_blocks
 from tidemark.sources import materialize
 
@@ -37,10 +37,9 @@ def prior_high(px: DataFrame, window: int, least: int, value: str = "close") ->
 
 
 def prior_median_ratio(px: DataFrame, value: str, window: int, least: int) -> DataFrame:
-    w = sessions(-window, -1)
-    good = F.when(F.col(value) > 0, F.col(value))
-    base = F.when(F.count(good).over(w) >= least, F.percentile(good, F.lit(0.5)).over(w))
-    return px.withColumn("base", base).withColumn("ratio", F.col(value) / F.col("base"))
+    good = px.withColumn("_good", F.when(F.col(value) > 0, F.col(value)))
+    rows = window_figures(good, {"base": Figure("median", "_good", (-window, -1), least)}, count_rows=False).drop("_good")
+    return rows.withColumn("ratio", F.col(value) / F.col("base"))
 
 
 def self_percentile(px: DataFrame, value: str, rows: int, least: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import bounded, mean_known, positive_penalty, sign_transition, spike_penalty
 from tidemark.operators import panel as P
 from tidemark.operators import pit
+from tidemark.operators.order import Figure, window_figures
 from tidemark.operators.rank import top
 from tidemark.plans.attention import ATTENTION, attention
 from tidemark.plans.fundamentals import FUND_SQL, KNOWN_ALL, QUALITY, TREND_ALL, SHIFTED, fundamentals, quality, trends
@@ -73,15 +74,18 @@ COMPONENTS = f"""{TREND_ALL}, fx AS (SELECT s.as_of, s.code, s.pn, {', '.join(f'
     FROM fu f JOIN as_of d ON d.as_of = f.as_of LEFT JOIN tw ON tw.as_of = f.as_of AND tw.code = f.code LEFT JOIN qg q ON q.as_of = f.as_of AND q.code = f.code LEFT JOIN ats ON ats.code = f.code AND ats.idx = d.idx LEFT JOIN cw ON cw.code = f.code AND cw.idx = d.idx)"""
 
 
-def crowding(v: Views) -> DataFrame:
-    """Five penalties of each entity and session, all of which a crowd's score needs: excess returns over 20 and 60 sessions, nearness to the former high, and spikes of volume and turnover."""
+def crowding(v: Views, only: Column | None = None) -> DataFrame:
+    """Five penalties of each entity and session, all of which a crowd's score needs: excess returns over 20 and 60 sessions, nearness to the former high, and spikes of volume and turnover.
+
+    With `only`, a condition on rows of the panel, windows hold all rows, but only those that meet it are told of.
+    """
     c = F.col
-    px = v.px
+    px = v.px.select("code", "idx", "close", "vol", "turnover").withColumns({"v": F.when(c("vol") > 0, c("vol")), "t": F.when(c("turnover") > 0, c("turnover")), "asked": F.lit(True) if only is None else only})
     for n in (20, 60):
         px = P.at_offset(px, "close", -n, f"then_{n}")
-    px = P.prior_median_ratio(px, "vol", 60, 20).withColumnRenamed("ratio", "vs").drop("base")
-    px = P.prior_median_ratio(px, "turnover", 60, 20).withColumnRenamed("ratio", "ts").drop("base")
-    px = P.prior_high(px, 252, 126)
+    # one pass in which an entity's rows meet once
+    px = window_figures(px, {"vm": Figure("median", "v", (-60, -1), 20), "tm": Figure("median", "t", (-60, -1), 20), "high": Figure("max", "close", (-252, -1), 126)}, count_rows=False, only="asked")
+    px = px.withColumns({"vs": c("vol") / c("vm"), "ts": c("turnover") / c("tm")})
     own = bench(v).select("idx", c("close").alias("b_0"))
     marks = own
     for n in (20, 60):
@@ -120,8 +124,9 @@ def components(v: Views) -> DataFrame:
     cost = F.aggregate(flags, F.lit(0), lambda a, x: a + F.when(x.endswith("pressure"), 10).otherwise(15))
     qu = quality(v).select("as_of", "code", c("score").cast("double").alias("quality"), "flags", "gate", F.least(F.lit(CAP), cost).alias("penalty"))
     dates = F.broadcast(v.as_of.select("as_of", "idx"))
-    at = attention(v).join(dates, "idx").select("as_of", "code", c("t").alias("turnover_percentile"), c("a").alias("amount_percentile"), c("v").alias("abnormal_volume"), c("score").alias("attention"))
-    crowd = crowding(v).join(dates, "idx").select("as_of", "code", *PENALTIES, "crowding", (100 - c("crowding")).alias("expectation"))
+    on_date = F.array_contains(v.as_of.agg(F.collect_set("idx")).scalar(), c("idx"))
+    at = attention(v, on_date).join(dates, "idx").select("as_of", "code", c("t").alias("turnover_percentile"), c("a").alias("amount_percentile"), c("v").alias("abnormal_volume"), c("score").alias("attention"))
+    crowd = crowding(v, on_date).join(dates, "idx").select("as_of", "code", *PENALTIES, "crowding", (100 - c("crowding")).alias("expectation"))
     for part in (tr, qu, at, crowd):
         fund = fund.join(part, ["as_of", "code"], "left")
     return fund
