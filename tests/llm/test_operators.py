@@ -138,6 +138,18 @@ def test_repeated_strings_equal_brute_force(spark, docs, none, monkeypatch, hot)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [400, 250])
+def test_passages_shorter_than_the_length_stay(spark, length):
+    """A passage of 51 words in 300 to 399 bytes is kept at 400 bytes, as op8's contract says, and removed at 250."""
+    passage = " ".join(f"{i:02d}words"[: 6 + i % 2] for i in range(51))
+    assert 300 <= len(passage) < 390
+    rows = [(i, f"{i}{prose(600 + i, 20)} {i}|{passage}|{i} {prose(700 + i, 20)}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length=length).collect())
+    assert got == without_repeats(rows, length)
+    assert [g[3] for g in got] == [int(length == 250)] * 6
+
+
 @pytest.mark.skipif(not os.path.exists(TABLES), reason="the tables are not here")
 def test_repeated_strings_of_the_table(spark):
     rows = spark.read.parquet(f"{TABLES}/documents.parquet")
