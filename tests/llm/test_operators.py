@@ -542,3 +542,26 @@ def test_neighbours_with_copies_and_ties(spark):
         if q % 20 == 0:
             best = sorted((-s, i) for s, i in zip((x @ v).tolist(), ids.tolist(), strict=True) if i != q)[:20]
             assert sorted(got[int(q)]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_neighbours_joins_without_broadcasts(spark, monkeypatch):
+    """Files of repeated or simple vectors are small, what tasks make of their rows isn't: no join may go by the files' sizes."""
+    plans, written = [], ann.materialize
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(ann, "materialize", lambda df, label: written(plan(df), label))
+    x = np.random.default_rng(6).integers(-3, 4, (150, 8)).astype(np.float64)
+    x = np.concatenate([x] * 4 + [x[:1]] * 300)
+    x[~x.any(1)] = 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in plan(ann.neighbours(frame, "vec_id % 20 = 0", curves=2, windows=2)).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert sum(p.count("SortMergeJoin") for p in plans) == 4 and not any("Broadcast" in p for p in plans)
+    assert set(got) == set(range(0, 900, 20))
+    for q in got:
+        best = sorted((-s, i) for i, s in enumerate((x @ x[q]).tolist()) if i != q)[:20]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]

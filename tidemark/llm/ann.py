@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
@@ -73,6 +73,11 @@ def _first(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= n).drop("nth")
 
 
+def _joined(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """A join by sorting. Spark guesses sizes from compressed files, of which a row may become many: a side that looks small may not fit the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def best_of(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, candidate and score of the n candidates with the largest inner product for each query, ties to the smaller id."""
     out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -111,10 +116,11 @@ def neighbours(table: DataFrame, is_query: str, key: str = "vec_id", vector: str
     whole = rows.where(F.size("v") == d).withColumn("q", F.coalesce("q", F.lit(False)))
     groups = materialize(whole.groupBy("v").agg(F.min(key).alias(key), F.bool_or("q").alias("q"), F.count("*").alias("n")), "distinct")
     several = groups.where("n > 1").select("v", F.col(key).alias("same"))
-    members = materialize(whole.join(several, "v", "left").select(key, "q", "same"), "copies")
+    members = materialize(_joined(whole, several, "v", "left").select(key, "q", "same"), "copies")
     copies = members.where("same is not null").select("same", key, F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part"))
     copies = _first(_first(copies, ["same", "part"], [key], most), ["same"], [key], most)
-    copies = copies.groupBy("same").agg(F.collect_list(key).alias("ids"))  # at most `most` each
+    # at most `most` each; written, so that a join can split the rows that meet a vector found by many
+    copies = materialize(copies.groupBy("same").agg(F.collect_list(key).alias("ids")), "alike")
     rows = groups
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,7 @@ def neighbours(table: DataFrame, is_query: str, key: str = "vec_id", vector: str
                             out += [(c, w, w + o, j, own % mine[1], i, True) for j in range(other[0])]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())], ["curve", "wq", "wc", "bc", "bq", key, "ask"])
 
-    dealt = placed.mapInArrow(deal, f"curve int, wq int, wc int, bc int, bq int, {key} long, ask boolean").join(rows.select(key, "v"), key)
+    dealt = _joined(placed.mapInArrow(deal, f"curve int, wq int, wc int, bc int, bq int, {key} long, ask boolean"), rows.select(key, "v"), key)
 
     def best(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -165,9 +171,10 @@ def neighbours(table: DataFrame, is_query: str, key: str = "vec_id", vector: str
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     merged = _first(merged, ["query_id"], [F.desc("score"), "vec_id"], most)
     ids = F.explode(F.coalesce("ids", F.array("vec_id")))
-    spread = merged.join(copies, merged["vec_id"] == copies["same"], "left").select("query_id", (-F.col("score")).alias("s"), ids.alias("i"))
+    spread = _joined(merged, copies, merged["vec_id"] == copies["same"], "left").select("query_id", (-F.col("score")).alias("s"), ids.alias("i"))
     lists = spread.groupBy(F.col("query_id").alias("same")).agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "i"))), 1, most).alias("list"))  # from most * most entries
+    lists = materialize(lists, "lists")
     asked = members.where("q").select(F.col(key).alias("query_id"), F.coalesce("same", key).alias("same"))
     own = F.slice(F.filter("list", lambda x: x["i"] != F.col("query_id")), 1, top)
-    out = asked.join(lists, "same").select("query_id", F.posexplode(own).alias("rank", "x"))
+    out = _joined(asked, lists, "same").select("query_id", F.posexplode(own).alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
